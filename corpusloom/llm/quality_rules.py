@@ -33,7 +33,7 @@ def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0)).cast("int")
 
 
-RULES = ("symbols", "repeats", "lines", "word_length", "capitals", "stops", "variety")
+RULES = ("symbols", "letters", "repeats", "lines", "word_length", "capitals", "stops", "variety")
 
 
 def _rules() -> dict[str, Column]:
@@ -43,8 +43,9 @@ def _rules() -> dict[str, Column]:
     long = F.col("n_words") >= 20
     return {
         "symbols": _vote(symbols <= 0.02, symbols >= 0.2),
+        "letters": _vote(_per("n_letters", "word_chars") >= 0.8, long & (_per("n_letters", "word_chars") < 0.65)),
         "repeats": _vote(repeats <= 0.02, repeats > 0.2),
-        "lines": _vote((F.col("n_dup_lines") == 0) & (F.col("n_lines") > 1), (F.col("n_dup_lines") >= 2) & (lines >= 0.3)),
+        "lines": _vote((F.col("n_dup_lines") == 0) & (F.col("n_lines") > 1), (F.col("n_dup_lines") >= 3) & (lines >= 0.5)),
         "word_length": _vote((length >= 3) & (length <= 10), (length < 2) | (length > 20)),
         "capitals": _vote(capitals <= 0.1, long & (capitals >= 0.5)),
         "stops": _vote(long & (stops >= 0.01) & (stops <= 0.35), long & ((stops > 0.7) | (stops < 0.002))),
@@ -66,6 +67,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         {
             "word_chars": F.length(F.array_join("_w", "")).cast("long"),
             "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
+            "n_letters": F.regexp_count(text, F.lit("\\p{L}")).cast("long"),
             "n_capitals": F.regexp_count(text, F.lit("\\p{Lu}")).cast("long"),
             "n_stops": F.regexp_count(text, F.lit("[.!?]")).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
@@ -100,12 +102,13 @@ def good_probability(model: tuple[float, list, list]) -> Column:
 
 
 def estimate(votes: DataFrame, rounds: int = ROUNDS) -> tuple[float, list, list]:
-    """Prior and each rule's vote rates among good and bad documents, by expectation-maximisation from a column ``votes``.
+    """Prior and each rule's vote rates among good and bad documents, by expectation-maximisation.
 
-    An empty table leaves the starting rates.
+    Takes columns ``votes`` and ``base_failed``; what fails the base test is decided without the rules, and would teach them
+    only that test. An empty table leaves the starting rates.
     """
     n = len(RULES)
-    patterns = Scratch(votes.sparkSession, "votes").keep(votes.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).coalesce(1), "patterns")
+    patterns = Scratch(votes.sparkSession, "votes").keep(votes.filter("not base_failed").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).coalesce(1), "patterns")
     model = (PRIOR_GOOD, [RATES_GOOD] * n, [RATES_BAD] * n)
     for _ in range(rounds):
         weighted = patterns.select("votes", "n", (F.col("n") * good_probability(model)).alias("g"))
@@ -145,5 +148,5 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def good_documents(docs: DataFrame) -> DataFrame:
     """The kept documents, with the columns of ``docs``. Texts stay where they are; the measures are taken a second time instead."""
     own = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("_text"))
-    model = estimate(measured(own, "_text").select("votes"))
+    model = estimate(measured(own, "_text").select("votes", "base_failed"))
     return judged(measured(own, "_text"), model).filter("kept").select("_doc.*")
