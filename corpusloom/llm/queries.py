@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, language_id, mixing, quality_rules, sharding, simhash, warc
+from corpusloom.llm import bpe, language_id, licenses, lm_scoring, media, mixing, quality_rules, sharding, simhash, warc
 from corpusloom.session import Scratch, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality(table(spark, sf_dir, "documents"))
@@ -41,6 +47,28 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    out = media.features(media.headers(media.store(table(spark, sf_dir, "documents"))))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
+
+
+@query
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the files of a tree: a folder for each source, in it one for each thousand ids, in it one for each hundred.
+
+    Files whose ids end in 0 lie one folder up, those whose ids end in 00 two, and of these the ones with a notice are licence files.
+    """
+    docs = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    thousand, hundred = F.concat(F.lit("t"), F.floor(i / 1000).cast("string")), F.concat(F.lit("h"), F.floor(i / 100).cast("string"))
+    name = F.concat(F.when(i % 10 == 0, F.lit("LICENSE.")).otherwise(F.lit("file.")), i.cast("string"))
+    folder = F.when(i % 100 == 0, F.array(F.col("source"))).when(i % 10 == 0, F.array(F.col("source"), thousand)).otherwise(F.array(F.col("source"), thousand, hundred))
+    files = docs.select("doc_id", "text", F.concat(F.array_join(folder, "/"), F.lit("/"), name).alias("path"))
+    return licenses.scan(files, keep=("doc_id",)).select("doc_id", "path", "licence", "cosine", "origin", "from_dir")
+
+
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
