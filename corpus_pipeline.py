@@ -2,13 +2,41 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.session import Scratch, table
+from corpusloom.llm import bpe, language_id, mixing, quality_rules, simhash
+from corpusloom.session import Scratch, ship, table
 
-STAGES: list = []
+RANKS = "byte_bpe_50k.tiktoken"
 
-#: Byte-pair encoding and expectation-maximisation over the corpus are beyond SQL; the tests hold the run against brute force.
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.good_documents(docs)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return language_id.identified_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return simhash.unique_documents(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return bpe.digests(docs, public_tokenizers.path(RANKS))
+
+
+STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
+
+#: Byte-pair encoding is beyond SQL; the tests hold the run against a brute-force version.
 ORACLE_SQL = None
 
 
