@@ -104,7 +104,7 @@ def good_probability(model: tuple[float, list, list]) -> Column:
 def estimate(votes: DataFrame, rounds: int = ROUNDS) -> tuple[float, list, list]:
     """Prior and each rule's vote rates among good and bad documents, by expectation-maximisation.
 
-    Takes columns ``votes`` and ``base_failed``; what fails the base test is decided without the rules, and would teach them
+    Takes columns ``votes`` and ``base_failed`` of a written table; what fails the base test is decided without the rules, and would teach them
     only that test. An empty table leaves the starting rates.
     """
     n = len(RULES)
@@ -146,7 +146,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The kept documents, with the columns of ``docs``. Texts stay where they are; the measures are taken a second time instead."""
-    own = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("_text"))
-    model = estimate(measured(own, "_text").select("votes", "base_failed"))
-    return judged(measured(own, "_text"), model).filter("kept").select("_doc.*")
+    """The kept documents, with the columns of ``docs``.
+
+    Documents are written with their votes once, and read again to be judged: no text is measured twice or shuffled, and
+    the test for ``kept`` meets plain columns, not the measures' expressions.
+    """
+    rows = measured(docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("_text")), "_text")
+    rows = Scratch(docs.sparkSession, "quality").keep(rows.select("_doc", "votes", "base_failed"), "documents")
+    return judged(rows, estimate(rows)).filter("kept").select("_doc.*")
