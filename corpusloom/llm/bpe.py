@@ -30,7 +30,7 @@ SENTINEL = 0x110000
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Characters scanned at a time, and the length of a block.
 CHUNK, BLOCK = 1 << 20, 256
-CACHE, LONGEST_CACHED = 1 << 18, 48
+CACHE, LONGEST_CACHED = 1 << 17, 48
 
 
 @lru_cache(1)
@@ -194,59 +194,70 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-#: Characters encoded at a time; a longer text is encoded alone.
-TOGETHER = 1 << 20
+#: Characters encoded at a time, and rows of a batch taken up at a time; a longer text is encoded alone.
+TOGETHER, ROWS = 1 << 20, 512
 
 
-def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    i, held, size = 0, [], 0
-    for k, x in enumerate(texts):
-        x = x or ""
-        if held and size + len(x) > TOGETHER:
-            yield i, held
-            i, held, size = k, [], 0
-        held.append(x)
-        size += len(x)
+def _groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Position and texts of the rows to be encoded together; only these are held as Python strings."""
+    at, held, size = 0, [], 0
+    for i in range(0, len(column), ROWS):
+        for x in column.slice(i, ROWS).to_pylist():
+            x = x or ""
+            if held and size + len(x) > TOGETHER:
+                yield at, held
+                at, held, size = at + len(held), [], 0
+            held.append(x)
+            size += len(x)
     if held:
-        yield i, held
+        yield at, held
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_tokens, ids, ends``.
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """One row per input row: ``doc_id, n_tokens, ids, ends`` and, if asked for, ``decoded``.
 
-    ``ids`` and ``ends``, the byte offset at which each token ends, are little-endian unsigned 32-bit integers in a binary.
-    A null text is empty and has no tokens. Rows stay in their partitions; an empty table gives an empty table.
+    ``ids`` and ``ends``, the byte offset at which each token ends, are little-endian unsigned 32-bit integers in a binary;
+    ``decoded`` is what decode() gives for them, made where the ids are. A null text is empty and has no tokens. Rows stay in
+    their partitions; an empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for batch in batches:
-            for i, texts in _groups(batch.column(1).to_pylist()):
+            for i, texts in _groups(batch.column(1)):
                 ids = t.encode(texts)
-                ends = [np.cumsum(t.lengths[x], dtype="<u4").tobytes() for x in ids]
-                columns = [batch.column(0).slice(i, len(texts)), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(ends, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "ends"])
+                ends = [np.cumsum(t.lengths[x], dtype="<u4") for x in ids]
+                columns = [batch.column(0).slice(i, len(texts)), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.tobytes() for x in ends], pa.binary())]
+                if decoded:
+                    columns.append(pa.array([_decoded(t, x, y) for x, y in zip(ids, ends, strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "ends", "decoded"][: len(columns)])
 
     rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, ends binary")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, ends binary" + ", decoded binary" * decoded)
+
+
+def _decoded(t: Tokenizer, ids: np.ndarray, ends: np.ndarray) -> bytes:
+    out = t.decode(ids)
+    if len(out) != (ends[-1] if len(ends) else 0):
+        raise ValueError("token offsets and decoded bytes disagree")
+    return out
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The rows of encode() with ``decoded``, the bytes of the tokens, which ends where the last token's offset says."""
+    """The rows of encode() with ``decoded``, the bytes of the tokens, which end where the last token's offset says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for batch in batches:
-            decoded = [t.decode(np.frombuffer(x, dtype="<u4")) for x in batch.column(2).to_pylist()]
-            for x, ends in zip(decoded, batch.column(3).to_pylist(), strict=True):
-                if len(x) != int.from_bytes(ends[-4:], "little"):
-                    raise ValueError("token offsets and decoded bytes disagree")
-            yield batch.append_column("decoded", pa.array(decoded, pa.binary()))
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                ids, ends = ([np.frombuffer(x, dtype="<u4") for x in part.column(c).to_pylist()] for c in (2, 3))
+                yield part.append_column("decoded", pa.array([_decoded(t, x, y) for x, y in zip(ids, ends, strict=True)], pa.binary()))
 
     return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids binary, ends binary, decoded binary")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of texts encoded and decoded again."""
-    both = decode(encode(docs, path), path)
+    both = encode(docs, path, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
