@@ -96,9 +96,9 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BOXES = """boxes AS (SELECT l_orderkey AS page, 10.0::DOUBLE * l_linenumber AS y0, x - 20.0::DOUBLE AS x0, x + l_suppkey % 5 AS x1, printf('%.2f', v) AS word
   FROM (SELECT l_orderkey, l_linenumber, l_suppkey, unnest([100.0::DOUBLE, 200.0::DOUBLE, 300.0::DOUBLE, 400.0::DOUBLE]) AS x, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM lineitem)),
-rowed AS (SELECT *, sum(CASE WHEN y0 - prev > 4.5 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y0, x0, x1, word ROWS UNBOUNDED PRECEDING) AS row FROM (SELECT *, lag(y0) OVER (PARTITION BY page ORDER BY y0, x0, x1, word) AS prev FROM boxes))"""
+rowed AS (SELECT *, sum(CASE WHEN y0 - prev > 4.5 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y0, x0, x1, word) AS row FROM (SELECT *, lag(y0) OVER (PARTITION BY page ORDER BY y0, x0, x1, word) AS prev FROM boxes))"""
 CENTRES = """, many AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY page) AS n FROM boxes) WHERE n >= 15),
-clustered AS (SELECT *, sum(CASE WHEN x1 - prev > 28 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY x1 ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT *, lag(x1) OVER (PARTITION BY page ORDER BY x1) AS prev FROM many)),
+clustered AS (SELECT *, sum(CASE WHEN x1 - prev > 28 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY x1) AS c FROM (SELECT *, lag(x1) OVER (PARTITION BY page ORDER BY x1) AS prev FROM many)),
 centres AS (SELECT page, c, avg(x1) AS centre, row_number() OVER (PARTITION BY page ORDER BY c DESC) AS r FROM clustered GROUP BY page, c),
 kept AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY c) - 1 AS col, centre FROM centres WHERE r <= 4)"""
 
