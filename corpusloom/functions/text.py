@@ -142,10 +142,15 @@ def compact(text: Column) -> Column:
     return F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)\\s+", ""), "％", "%")
 
 
+def trim_of(text: Column, chars: str) -> Column:
+    """Without leading and trailing characters of a set."""
+    return F.btrim(text, F.lit(chars))
+
+
 def title_compact(text: Column) -> Column:
-    """A title without blanks, dots of leaders and surrounding punctuation."""
-    plain = F.regexp_replace(F.translate(text, "\u00a0\u3000\uff0e…", "  "), "(?U)\\s+", "")
-    return F.regexp_replace(plain, "^[ \\-—:：;；,，.。·]+|[ \\-—:：;；,，.。·]+$", "")
+    """A title without blanks, wide dots and leaders, trimmed of bullets and punctuation."""
+    plain = F.translate(text, "\u00a0\u3000 \t\r\n．…", "")
+    return trim_of(plain, "·•◆◇*-—_，,。；;：:")
 
 
 def clean_page(text: Column) -> Column:

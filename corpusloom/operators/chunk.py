@@ -49,7 +49,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     piece = "array<struct<page:int,text:string>>"
     paged = F.flatten(F.transform(F.arrays_zip(numbers.alias("n"), bodies.alias("b")), lambda z: F.transform(_pieces(F.array(z["b"])), lambda p: F.struct(z["n"].cast("int").alias("page"), p.alias("text")))))
     clauses = F.split(text, CLAUSE, -1)
-    whole = F.when(F.size(clauses) > LEAST_CLAUSES, clauses).otherwise(F.array(text))
+    whole = F.when(F.regexp_count(text, F.lit(CLAUSE)) >= LEAST_CLAUSES, clauses).otherwise(F.array(text))
     plain = F.transform(_pieces(whole), lambda p: F.struct(F.lit(None).cast("int").alias("page"), p.alias("text")))
     d = d.withColumn("pieces", F.when(F.size(numbers) > 0, paged.cast(piece)).otherwise(plain.cast(piece)))
 
