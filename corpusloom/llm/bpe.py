@@ -28,6 +28,12 @@ START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, AFTER_BLANK, ONE_LEFT, TW
 SENTINEL = 0x110000
 #: Code points with the White_Space property.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+# Letters and numbers that Unicode 16.0, which the tokenizer library goes by, has beyond 15.1.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NUMBERS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 #: Characters scanned at a time, and the length of a block.
 CHUNK, BLOCK = 1 << 20, 256
 CACHE, LONGEST_CACHED = 1 << 17, 48
@@ -40,6 +46,9 @@ def classes() -> np.ndarray:
     out = np.full(SENTINEL + 1, OTHER, dtype=np.uint8)
     out[:-1][major == ord("L")] = LETTER
     out[:-1][major == ord("N")] = NUMBER
+    for kind, added in ((LETTER, LETTERS_16), (NUMBER, NUMBERS_16)):
+        for first, last in added:
+            out[first : last + 1] = kind
     out[WHITE] = BLANK
     out[0x20] = SPACE
     out[SENTINEL] = END
@@ -170,10 +179,12 @@ class Tokenizer:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
+        if not texts:
+            return []
         points = [np.frombuffer(x.encode("utf-32-le"), dtype="<u4") for x in texts]
         end = np.array([SENTINEL], dtype="<u4")
-        whole = np.concatenate([y for x in points for y in (x, end)]) if points else end[:0]
-        at = np.flatnonzero(piece_starts(whole)) if len(whole) else np.zeros(0, dtype=np.int64)
+        whole = np.concatenate([y for x in points for y in (x, end)])
+        at = np.flatnonzero(piece_starts(whole))
         out, first = [], 0
         bounds = np.cumsum([len(x) + 1 for x in points])
         ends = np.searchsorted(at, bounds - 1)

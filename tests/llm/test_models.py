@@ -40,7 +40,7 @@ def test_pieces_of_any_text(reference, texts):
 
 
 def test_every_code_point(reference):
-    points = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x3100, 0x110000, 37) if not 0xD800 <= c < 0xE000]
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x20000 or c % 97 == 0)]
     same(reference, ["".join(f"a{c} {c}1{c}'s" for c in points[i : i + 200]) for i in range(0, len(points), 200)])
 
 
