@@ -16,8 +16,8 @@ from corpusloom.session import Scratch
 
 SHARDS = 8
 SMALL_ITEMS = 4096
-#: A group is an item of its own beyond this part of a shard, and is cut in pieces of about that size.
-LARGE_PART = 1 / 16
+#: A group is an item of its own beyond this part of a shard; beyond CUT_PART it is cut in pieces of about that size.
+LARGE_PART, CUT_PART = 1 / 16, 1 / 4
 ROWS_PER_BUCKET = 20_000
 DIMS = ("size", "tokens", "n_rows")
 
@@ -44,7 +44,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     """One row per input row: ``doc_id, size, tokens, text_crc32, shard, slot``.
 
     ``size`` is the text's UTF-8 bytes plus 1. Shards get near-equal sizes, token counts and row counts. Null texts count as
-    empty, and equal ones (null and empty alike) form one group. A group over ``LARGE_PART`` of a shard is cut by a hash
+    empty, and equal ones (null and empty alike) form one group. A group over ``CUT_PART`` of a shard is cut by a hash
     of the id. Slots count from 0 in each shard without gaps; rows equal in id and text are interchangeable. An empty
     table gives an empty table.
     """
@@ -58,9 +58,10 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows")]
     total = rows.agg(*sums).first()
     most = {d: max(1.0, (total[d] or 0) / shards * LARGE_PART) for d in DIMS}
-    pieces = F.ceil(F.greatest(*[F.col(d) / most[d] for d in DIMS])).cast("int")
+    part = F.greatest(*[F.col(d) / most[d] for d in DIMS])
+    pieces = F.when(part > CUT_PART / LARGE_PART, F.ceil(part)).when(part > 1, 1).otherwise(0).cast("int")
     # at most len(DIMS) * shards / LARGE_PART groups can be this large
-    large = rows.groupBy("grp").agg(*sums).withColumn("pieces", pieces).filter("pieces > 1").select("grp", "pieces")
+    large = rows.groupBy("grp").agg(*sums).withColumn("pieces", pieces).filter("pieces > 0").select("grp", "pieces")
     large = spark.createDataFrame([(r.grp, r.pieces) for r in large.collect()], "large_grp long, pieces int")
     rows = rows.join(F.broadcast(large), F.col("grp") == F.col("large_grp"), "left")
     piece = F.when(F.col("pieces").isNull(), F.lit(-1)).otherwise(F.expr("pmod(xxhash64(doc_id), pieces)")).cast("int")

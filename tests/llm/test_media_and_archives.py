@@ -92,7 +92,8 @@ def test_media_round_trip(spark, monkeypatch):
         assert r.payload_sha256 == r.digest == hashlib.sha256(whole).hexdigest()
         assert (r.width, r.height, r.bit_depth) == (64, len(whole) // 64, 8)
         fs, at = media.open_folder(r.shard)
-        members = {m.name: m for m in (tar := tarfile.open(fileobj=io.BytesIO(fs.open_input_file(at).read()))).getmembers()}
+        tar = tarfile.open(fileobj=io.BytesIO(fs.open_input_file(at).read()))
+        members = {m.name: m for m in tar.getmembers()}
         member = members[f"{r.digest}.png"]
         image = tar.extractfile(member).read()
         assert (member.offset_data, member.size) == (r.offset, r.length) and r.media_bytes == len(image)
