@@ -195,8 +195,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(prints, scratch), scratch)
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     first = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # fingerprints with links take the least id of their component; all others keep their own
-    least = first.groupBy("root").agg(F.min("first").alias("component_id"))
+    # tables of their own: a component of very many fingerprints is then a hot key of a plain join, which is split over tasks
+    first = scratch.keep(first, "first")
+    least = scratch.keep(first.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     named = scratch.keep(first.select("fp", "root").join(least, "root").select("fp", "component_id"), "components")
     out = prints.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
