@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.session import Scratch
 
 # Legal suffixes, labels, markers and product kinds of policies.
 INSURER = "[一-鿿]{2,32}(?:保险股份有限公司|保险有限责任公司)"
@@ -60,17 +61,20 @@ def plain_lines(text: Column) -> Column:
 def _clean_insurer(found: Column) -> Column:
     for marker in MEANS:
         found = F.substring_index(found, marker, -1)
-    name = F.regexp_extract(found, INSURER, 0)
-    for bound in BOUNDS:
-        tail = F.substring_index(name, bound, -1)
-        name = F.when(tail.rlike(INSURER_END) & (F.length(tail) >= 8), tail).otherwise(name)
-    return name
+    bounds = F.array(*[F.lit(b) for b in BOUNDS])
+
+    def shorter(name: Column, bound: Column) -> Column:
+        tail = F.element_at(F.split(name, F.concat(F.lit("\\Q"), bound, F.lit("\\E")), -1), -1)
+        return F.when(tail.rlike(INSURER_END) & (F.length(tail) >= 8), tail).otherwise(name)
+
+    return F.aggregate(bounds, F.regexp_extract(found, INSURER, 0), shorter)
 
 
 def insurer(lines: Column) -> Column:
     """The first line that is an insurer's name alone; else of all names in lines the first, shortest and smallest. Null without one."""
     alone = F.get(F.filter(lines, lambda x: x.rlike(f"^{INSURER}$")), F.lit(0))
-    found = F.flatten(F.transform(lines, lambda x, i: F.transform(T.all_matches(x, INSURER), lambda m: F.struct(i.alias("i"), F.length(_clean_insurer(m)).alias("n"), _clean_insurer(m).alias("name")))))
+    named = F.flatten(F.transform(lines, lambda x, i: F.transform(T.all_matches(x, INSURER), lambda m: F.struct(i.alias("i"), _clean_insurer(m).alias("name")))))
+    found = F.transform(named, lambda f: F.struct(f["i"].alias("i"), F.length(f["name"]).alias("n"), f["name"].alias("name")))
     return F.coalesce(alone, F.array_min(F.filter(found, lambda f: f["name"] != ""))["name"])
 
 
@@ -171,7 +175,10 @@ def product_aliases(text: Column, product_: Column, company: Column, stem: Colum
 
 
 def policies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, company, company_aliases, product, alias``; company or product are null where a text names none (see failures())."""
+    """``doc_id, company, company_aliases, product, alias, brands``, a written table.
+
+    Company or product are null where a text names none; see failures().
+    """
     d = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.withColumn("lines", plain_lines(F.col("text")))
     d = d.withColumn("company", insurer(F.col("lines")))
@@ -180,7 +187,8 @@ def policies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     p = F.coalesce("product", F.lit(""))
     d = d.withColumn("brands", brands(c, p, F.col("company_aliases")))
     d = d.withColumn("stem", product_stem(p, c, F.col("brands")))
-    return d.select("doc_id", "company", "company_aliases", "product", product_aliases(F.col("text"), p, c, F.col("stem")).alias("alias"), "brands")
+    found = d.select("doc_id", "company", "company_aliases", "product", product_aliases(F.col("text"), p, c, F.col("stem")).alias("alias"), "brands")
+    return Scratch(docs.sparkSession, "policies").keep(found, "policies")
 
 
 def failures(found: DataFrame) -> DataFrame:
