@@ -52,7 +52,7 @@ def duplicates(files: DataFrame) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """``path, doc_id, text, title, n_chars`` of whole text files."""
-    rows = spark.read.option("wholetext", "true").text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    rows = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     stem = F.regexp_replace(F.substring_index("path", "/", -1), "(?<=.)\\.[^.]*$", "")
     return rows.select("path", stem.alias("doc_id"), F.col("value").alias("text"), text_title(F.col("value"), stem).alias("title"), F.length("value").alias("n_chars"))
 
@@ -124,7 +124,7 @@ def read_evidence(spark: SparkSession, path: str) -> DataFrame:
 
     ``entry`` is a variant. Raises nothing: entries without a qid have a null one.
     """
-    whole = spark.read.option("wholetext", "true").text(path).select(F.parse_json("value").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     listed = F.coalesce(*[F.try_variant_get("v", f"$.{k}", "array<variant>") for k in ("questions", "items", "evidence")], F.try_variant_get("v", "$", "array<variant>"))
     keyed = F.try_variant_get("v", "$", "map<string,variant>")
     rows = whole.select(F.when(listed.isNotNull(), F.transform(listed, lambda e: F.struct(F.lit(None).cast("string").alias("k"), e.alias("e")))).otherwise(F.transform(F.map_entries(keyed), lambda m: F.struct(m["key"].alias("k"), m["value"].alias("e")))).alias("x"))
