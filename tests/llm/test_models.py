@@ -1,6 +1,7 @@
 """BPE, language identification, LM scoring, licence scans and the pipeline."""
 
 import base64
+import bisect
 import collections
 import hashlib
 import math
@@ -113,7 +114,8 @@ def test_unknown_languages(spark):
 def lm(docs, vocabulary):
     words = {d: (t or "").encode().lower().split() for d, t in docs.items()}
     counts = collections.Counter(w for x in words.values() for w in x)
-    known = {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:vocabulary]}
+    by_count = sorted(counts.values())
+    known = {w for w, n in counts.items() if len(by_count) - bisect.bisect_left(by_count, n) <= vocabulary}
     words = {d: [w if w in known else None for w in x] for d, x in words.items()}
     one = collections.Counter(w for x in words.values() for w in x)
     two = collections.Counter(p for x in words.values() for p in zip(x, x[1:]))
