@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import cards, chunk, evidence, facts
+from corpusloom.operators import cards, chunk, evidence, facts, titles
 from corpusloom.plans.catalogue import register
 from corpusloom.session import spread, table
 from corpusloom.sources import html
@@ -188,3 +188,30 @@ def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = rows.withColumn("r", F.row_number().over(order)).filter("r <= 3").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("unit", "doc", "n", (F.col("r") == 1).alias("forced")))).alias("kept"))
     best = rows.withColumn("r", F.row_number().over(Window.partitionBy("qid", "doc").orderBy("n", "unit"))).filter("r = 1").select("qid", "unit", "doc", "n", F.col("doc").alias("pos"))
     return evidence.cover(kept, best, 3600).select("qid", F.explode("kept").alias("k")).select("qid", "k.unit", "k.doc", "k.n", "k.forced")
+
+
+@register(
+    f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(left(text, 3000), chr(10)), lambda x: {STRIP.format('x')}), lambda x: length(x) >= 6 AND NOT starts_with(x, '[P') AND NOT regexp_matches(x, '^[0-9]+$|^P[0-9]+$|@')) AS l FROM documents),
+f AS (SELECT doc_id, list_reduce(list_transform(l, lambda x: {{'kept': [x], 'n': length(x)}}), lambda a, x: CASE WHEN a.n >= 120 THEN a ELSE {{'kept': list_append(a.kept, x.kept[1]), 'n': a.n + x.n}} END, {{'kept': []::VARCHAR[], 'n': 0::BIGINT}}) AS r FROM l)
+SELECT doc_id, left(regexp_replace(array_to_string(r.kept, ' '), '[\\s\\p{{Z}}]+', ' ', 'g'), 120) AS head FROM f"""
+)
+def content_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", titles.content_head(F.col("text")).alias("head"))
+
+
+@register(
+    f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(left(text, 8000), chr(10)), lambda x: {STRIP.format('x')}), lambda x: length(x) BETWEEN 6 AND 80 AND NOT starts_with(x, '[P') AND NOT regexp_matches(x, '^[0-9]+$|^P[0-9]+$|@')) AS l FROM documents),
+e AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM l),
+c AS (SELECT doc_id, x, count(*) AS n, min(i) AS i FROM e GROUP BY ALL),
+b AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) AS r FROM c)
+SELECT doc_id, coalesce(x, doc_id::VARCHAR) AS title FROM documents LEFT JOIN (SELECT doc_id, x FROM b WHERE r = 1) USING (doc_id)"""
+)
+def display_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spread(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", titles.display_title(F.lit(None).cast("string"), F.col("text"), F.col("doc_id").cast("string")).alias("title"))
+
+
+@register("SELECT doc_id, length(repeat(source || chr(10), 3) || left(text, 30000))::BIGINT AS n_chars, md5(repeat(source || chr(10), 3) || left(text, 30000)) AS text_md5, doc_id || ': 《' || source || '》 栏目:' || lang AS card FROM documents")
+def index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spread(table(spark, sf_dir, "documents")).withColumn("t", titles.index_text(F.col("source"), F.col("text")))
+    return rows.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("text_md5"), titles.card(F.col("doc_id").cast("string"), F.col("source"), F.col("lang"), F.lit(None).cast("string")).alias("card"))

@@ -223,3 +223,17 @@ def test_streamed_ledger(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert rows(spark.table("running_ledger")) == [("a", 4, 4, 2), ("b", 2, 2, 1)]
+
+
+def test_titles(spark):
+    from corpusloom.operators import titles
+
+    df = spark.createDataFrame([("a", "标题：某某公告", "x"), ("b", "目录", "第一条内容甲\n第二条内容乙\n第二条内容乙\n12"), ("c", None, None)], "i string, t string, x string")
+    got = {r.i: r.o for r in df.select("i", titles.display_title(F.col("t"), F.col("x"), F.col("i")).alias("o")).collect()}
+    assert got == {"a": "某某公告", "b": "第二条内容乙", "c": "c"}
+    spans = spark.createDataFrame([("d", 0, 1, 9.0, "小号文字一行"), ("d", 0, 2, 20.1, "大号标题上"), ("d", 0, 3, 19.8, "大号标题下半"), ("d", 1, 4, 30.0, "第二页更大的")], "doc string, page int, ord int, size double, text string")
+    assert rows(titles.by_font(spans)) == [("d", "大号标题上大号标题下半")]
+    name = "福满终身寿险"
+    t = spark.createDataFrame([("insurance", "x", "旧", None, f"{name}。{name}，{name}"), ("financial_reports", "r_2024", "某公司2023年报", None, ""), ("financial_contracts", "k", "旧", "某公司债券", "封面\n某公司募集说明书\n")], "d string, i string, t string, f string, x string")
+    got = [r.o for r in t.select(titles.rewritten(F.col("d"), F.col("i"), F.col("t"), F.col("f"), F.col("x")).alias("o")).collect()]
+    assert got == ["福满终身寿险条款", "某公司2024年年度报告", "某公司债券某公司募集说明书"]
