@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.functions import text as T
 from corpusloom.session import Scratch
@@ -39,7 +40,7 @@ POLICY_ALIAS = "险种简称\\s*[:：]\\s*[“\"']?([^\\s，。；;”\"']{2,24}
 COMPANY_ALIAS = "(?:公司中文简称|公司的中文简称|公司简称|企业简称)\\s*[:：]?\\s*[“\"']?([^\\s，。；;”\"']{2,24})"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 

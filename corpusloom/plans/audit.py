@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import audit as A
+from corpusloom.operators import flow
 from corpusloom.plans.catalogue import register
 from corpusloom.session import spread, table
 
@@ -110,3 +111,19 @@ def select_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     traces = c.select("qid", F.col("call_no").alias("ord"), F.col("tag").alias("stage"), F.col("text").alias("content"), F.substring("text", 1, 4).alias("answer"), F.when(F.col("call_no") > 0, F.array_repeat(F.lit("e"), F.col("call_no").cast("int"))).otherwise(F.array().cast("array<string>")).alias("evidence_ids"))
     finals = traces.filter("stage <> 'system'").groupBy("qid").agg(F.max_by("answer", "ord").alias("final"))
     return A.reasoning(finals, traces).select("qid", "stage", F.size("evidence_ids").alias("n_evidence"))
+
+
+@register(
+    """WITH q AS (SELECT DISTINCT conv_id AS qid FROM conversations), l AS (SELECT qid, chr((65 + qid % 4)::INT) AS r1, chr((65 + qid % 3)::INT) AS r2, chr((65 + qid % 2)::INT) AS r3 FROM q)
+SELECT qid, CASE WHEN r1 <> r2 THEN r3 ELSE r2 END AS final, (CASE WHEN r1 <> r2 THEN 3 ELSE 2 END)::BIGINT AS n_calls FROM l"""
+)
+def staged_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as single-choice questions whose recorded answers come from their numbers; evidence is their longest turn."""
+    c = table(spark, sf_dir, "conversations")
+    q = c.select(F.col("conv_id").alias("qid"), F.lit("mcq").alias("answer_format")).distinct()
+    letter = lambda n: F.char(F.lit(65) + F.col("qid") % n)
+    said = q.select("qid", F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.concat(F.lit("答案: "), letter(n)).alias("content")) for t, n in (("r1", 4), ("r2", 3), ("r3", 2))])).alias("s")).select("qid", "s.*")
+    block = c.groupBy(F.col("conv_id").alias("qid")).agg(F.max_by("text", F.struct(F.length("text"), "turn")).alias("block"))
+    evidence = lambda asked: asked.join(block, "qid").select("qid", "block", F.array(F.concat(F.col("qid").cast("string"), F.lit("#c0"))).alias("evidence_ids"))
+    final, traces = flow.choices(q, flow.replay(said), evidence)
+    return final.join(traces.groupBy("qid").agg(F.count(F.lit(1)).alias("n_calls")), "qid")

@@ -249,3 +249,25 @@ def evidence_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = packed.select("qid", F.explode("kept").alias("k")).select("qid", F.col("k.unit").alias("unit"))
     order = Window.partitionBy("qid").orderBy(F.col("unit").cast("string"))
     return kept.select(F.col("qid").alias("item_id"), F.col("unit").alias("doc_id"), F.row_number().over(order).alias("ord"))
+
+
+@register(
+    bm25_sql(
+        "'all'",
+        """, a AS (SELECT qid, list(unit ORDER BY rank) AS c FROM ranked WHERE rank <= 6 AND score > 0 GROUP BY qid),
+s AS (SELECT qid, CASE WHEN qid % 3 = 0 THEN c[1:1] ELSE list_concat(c[2:2], c[3:3]) END AS start, c FROM a),
+m AS (SELECT qid, list_concat(start, list_concat(c[4:4], c[1:1])) AS l, c FROM s),
+o AS (SELECT qid, l, list_filter(c[5:6], lambda x: NOT list_contains(l, x)) AS more FROM m),
+e AS (SELECT qid, unnest(list_concat(l, more)) AS unit, generate_subscripts(list_concat(l, more), 1) AS i FROM o),
+f AS (SELECT qid, unit, row_number() OVER (PARTITION BY qid ORDER BY min(i)) AS ord FROM e GROUP BY qid, unit)
+SELECT qid AS item_id, string_agg(unit::VARCHAR, ',' ORDER BY ord) AS picked FROM f WHERE ord <= 4 GROUP BY qid""",
+    )
+)
+def finalize_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Picks from the hits of each item: the second and third as parsed ids of two items in three, others as fallbacks."""
+    hits = index.top(index.scores(_units(_documents(spark, sf_dir)), _queries(spark, sf_dir)), 6)
+    c = hits.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "unit"))), lambda x: x["unit"].cast("string")).alias("c"))
+    none = F.array().cast("array<string>")
+    parsed = F.when(F.col("qid") % 3 == 0, none).otherwise(F.slice("c", 2, 2))
+    picked = route.finalize(parsed, F.col("c"), F.slice("c", 4, 1), none, F.slice("c", 1, 1), F.slice("c", 5, 2), F.lit(False), F.lit(False), none)
+    return c.select(F.col("qid").alias("item_id"), F.array_join(picked, ",").alias("picked"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import cards, chunk, evidence, facts, titles
+from corpusloom.operators import cards, chunk, evidence, facts, identity, titles
 from corpusloom.plans.catalogue import register
 from corpusloom.session import spread, table
 from corpusloom.sources import html
@@ -215,3 +215,27 @@ def display_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread(table(spark, sf_dir, "documents")).withColumn("t", titles.index_text(F.col("source"), F.col("text")))
     return rows.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("text_md5"), titles.card(F.col("doc_id").cast("string"), F.col("source"), F.col("lang"), F.lit(None).cast("string")).alias("card"))
+
+
+@register(
+    """WITH p AS (SELECT item_id, b.text AS q, d.text AS t FROM benchmark b JOIN documents d ON d.doc_id = item_id),
+k AS (SELECT item_id, unnest(list_transform(regexp_extract_all(q, '[0-9]+(?:\\.[0-9]+)?%?|[A-Za-z]+'), lambda x: lower(x))) AS tok, 'q' AS side FROM p UNION ALL SELECT item_id, unnest(list_transform(regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)?%?|[A-Za-z]+'), lambda x: lower(x))), 't' FROM p),
+c AS (SELECT item_id, tok, count(*) FILTER (side = 'q') AS n, count(*) FILTER (side = 't') AS m FROM k GROUP BY ALL)
+SELECT item_id, round(sum(least(n, m) * CASE WHEN regexp_matches(tok, '^[0-9]|%$') THEN 4.0 ELSE 0.6 END), 3)::DOUBLE AS overlap FROM c GROUP BY item_id"""
+)
+def card_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token part of a card's score, for each benchmark item and the document of its number."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
+    pairs = items.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text"), "item_id")
+    toks = pairs.select("item_id", T.card_tokens(F.col("q")).alias("a"), T.card_tokens(F.col("text")).alias("b"))
+    return toks.select("item_id", F.round(cards.token_overlap(F.col("a"), F.col("b")), 3).alias("overlap"))
+
+
+@register()
+def policy_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities of documents under a cover that names an insurer by the source's number and a product by the document's."""
+    digits = lambda c: F.translate(c, "0123456789src", "甲乙丙丁戊己庚辛壬癸")
+    insurer = F.concat(F.lit("山海"), digits(F.col("source")), F.lit("人寿保险股份有限公司"))
+    product = F.concat(F.lit("山海福"), digits(F.col("doc_id").cast("string")), F.lit("号终身寿险条款"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.concat(insurer, F.lit("\n"), product, F.lit("\n"), F.substring("text", 1, 2000)).alias("text"))
+    return identity.policies(docs).select("doc_id", "company", "product", F.array_join("alias", "|").alias("aliases"))
