@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import CJK, query_tokens, tokens
-from corpusloom.session import spread
+from corpusloom.session import Scratch, spread
 
 K1, B = 1.5, 0.75
 
@@ -20,24 +20,38 @@ def weight(tok: Column) -> Column:
     return F.when(tok.rlike("^[0-9]|%$"), 2.2).when(tok.rlike(f"^[{CJK}]{{2}}$"), 1.6).otherwise(1.0)
 
 
-def postings(units: DataFrame, text_col: str = "text") -> DataFrame:
-    """``index_key, unit, tok, tf, dl`` from ``index_key, unit`` and a text; dl is the unit's number of tokens.
+def packed(units: DataFrame, text_col: str = "text") -> DataFrame:
+    """``index_key, unit, dl, runs`` from ``index_key, unit`` and a text: its number of tokens, and each token with its count.
 
     Counted within the row: a unit's tokens are sorted and their runs measured, so nothing is shuffled to count them.
     """
     rows = spread(units.select("index_key", "unit", F.array_sort(tokens(F.col(text_col))).alias("toks")))
-    rows = rows.withColumn("dl", F.size("toks"))
+    rows = rows.withColumn("dl", F.size("toks").cast("long"))
     # places where a run of equal tokens starts
     starts = F.filter(F.transform("toks", lambda t, i: F.when((i == 0) | (F.get(F.col("toks"), i - 1) != t), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("starts", starts)
-    runs = F.transform("starts", lambda s, k: F.struct(F.get(F.col("toks"), s).alias("tok"), (F.coalesce(F.get(F.col("starts"), k + 1), F.col("dl")) - s).alias("tf")))
-    return rows.select("index_key", "unit", "dl", F.explode(runs).alias("p")).select("index_key", "unit", F.col("p.tok").alias("tok"), F.col("p.tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
+    runs = F.transform("starts", lambda s, k: F.struct(F.get(F.col("toks"), s).alias("tok"), (F.coalesce(F.get(F.col("starts"), k + 1).cast("long"), F.col("dl")) - s).alias("tf")))
+    return rows.select("index_key", "unit", "dl", runs.alias("runs"))
+
+
+def unpacked(index: DataFrame) -> DataFrame:
+    """``index_key, unit, tok, tf, dl``: a row for each posting."""
+    return index.select("index_key", "unit", "dl", F.explode("runs").alias("p")).select("index_key", "unit", "p.tok", "p.tf", "dl")
+
+
+def postings(units: DataFrame, text_col: str = "text") -> DataFrame:
+    """All postings, read from an index that is written first."""
+    return unpacked(Scratch(units.sparkSession, "index").keep(packed(units, text_col), "units"))
+
+
+def stats_of(lengths: DataFrame) -> DataFrame:
+    sums = lengths.groupBy("index_key").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))
+    return sums.select("index_key", "n", F.when(F.col("total") > 0, F.col("total") / F.col("n")).otherwise(1.0).alias("avgdl"))
 
 
 def unit_stats(units: DataFrame, text_col: str = "text") -> DataFrame:
     """``index_key, n, avgdl``: units of an index and their mean length, 1 for an index without tokens. Units without tokens count."""
-    lengths = units.select("index_key", F.size(tokens(F.col(text_col))).alias("dl"))
-    return lengths.groupBy("index_key").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")).select("index_key", "n", F.when(F.col("total") > 0, F.col("total") / F.col("n")).otherwise(1.0).alias("avgdl"))
+    return stats_of(units.select("index_key", F.size(tokens(F.col(text_col))).alias("dl")))
 
 
 def document_frequency(posting: DataFrame) -> DataFrame:
@@ -52,14 +66,16 @@ def query_terms(queries: DataFrame, text_col: str = "query") -> DataFrame:
 def scores(units: DataFrame, queries: DataFrame, text_col: str = "text", query_col: str = "query") -> DataFrame:
     """``qid, index_key, unit, score``, positive BM25 scores rounded to 6 decimals.
 
-    Only postings of the queries' tokens are kept, right where they are made: the distinct query tokens are the small side
-    and AQE broadcasts them when they measure small. Document frequencies are counted over the same reduced postings.
+    Texts are tokenized once, into an index that is written packed, a row a unit; lengths are read from it without the tokens.
+    Only postings of the queries' tokens are kept of it: the distinct query tokens are the small side of a semi-join, which AQE
+    broadcasts where they measure small. Document frequencies and scores come from these.
     """
+    scratch = Scratch(units.sparkSession, "index")
     terms = query_terms(queries, query_col)
-    wanted = terms.select("tok").distinct()
-    hits = postings(units, text_col).join(wanted, "tok", "left_semi")
+    index = scratch.keep(packed(units, text_col), "units")
+    hits = scratch.keep(unpacked(index).join(terms.select("tok").distinct(), "tok", "left_semi").select("index_key", "unit", "tok", "tf", "dl"), "hits")
     df = document_frequency(hits)
-    stats = unit_stats(units, text_col)
+    stats = stats_of(index)
     tf, dl = F.col("tf"), F.col("dl")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
