@@ -5,6 +5,8 @@ Built-in functions throughout; see ``udfs`` for the two that Spark has no built-
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,6 +75,13 @@ def tokens(text: Column) -> Column:
     return F.when(cjk, F.concat(lower, F.filter(both, lambda x: x.isNotNull()))).otherwise(lower)
 
 
+def _tokens_of(word: str) -> list[str]:
+    """tokens() of a fixed word, so that plans hold its tokens and not the expressions that find them."""
+    raw = re.findall("[A-Za-z]+[0-9]+|[0-9]+(?:\\.[0-9]+)?%?|[A-Za-z]+|[一-鿿]", word)
+    both = [a + b for a, b in zip(raw, raw[1:]) if a >= "一" and b >= "一"]
+    return [t.lower() for t in raw] + both
+
+
 def query_tokens(text: Column, synonyms=SYNONYMS) -> Column:
     """Index tokens of a query, then the unseen tokens of its years' last two digits and of its words' synonyms, once each."""
     source = F.coalesce(text, F.lit(""))
@@ -83,7 +92,8 @@ def query_tokens(text: Column, synonyms=SYNONYMS) -> Column:
         occurs = F.lit(False)
         for alias in group:
             occurs = occurs | F.contains(folded, F.lit(alias.lower()))
-        more = F.concat(more, F.when(occurs, F.flatten(F.array(*[tokens(F.lit(a)) for a in group]))).otherwise(F.array().cast("array<string>")))
+        known = [F.lit(t) for alias in group for t in _tokens_of(alias)]
+        more = F.concat(more, F.when(occurs, F.array(*known)).otherwise(F.array().cast("array<string>")))
     own = tokens(source)
     return F.concat(own, F.array_except(F.array_distinct(more), own))
 
