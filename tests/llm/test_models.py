@@ -142,6 +142,27 @@ def test_scores_by_brute_force(spark, sf_dir, vocabulary, head):
         assert r.mean_log_score is None if n == 0 else r.mean_log_score == pytest.approx(s / n)
 
 
+@pytest.mark.parametrize(("frequent", "head", "bits"), [(40, 8, 63), (200, 2, 6), (0, 8, 63)])
+def test_rare_words_keep_their_counts(spark, sf_dir, frequent, head, bits):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()}
+    docs |= {-1: None, -2: " ", -3: "One", -4: "rareword otherword rareword otherword", -5: "thirdword rareword", -6: "onceword rareword otherword"}
+    expect = lm(docs, 10**9)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    rows = lm_scoring.score(df, frequent=frequent, head=head, bits=bits).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert (r.n_words, r.log_score) == (expect[r.doc_id][0], pytest.approx(expect[r.doc_id][1], rel=1e-9, abs=1e-9))
+
+
+def test_scores_of_a_query_with_more_words_than_the_short_cut(spark):
+    texts = [" ".join(f"w{i * 1000 + j}" for j in range(1000)) for i in range(70)] + ["w5 w7", "w69999 w3"]
+    docs = dict(enumerate(texts * 2)) | {-1: "w12 w13 w15"}
+    expect = lm(docs, 10**9)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for r in lm_scoring.score(df).collect():
+        assert r.log_score == pytest.approx(expect[r.doc_id][1], rel=1e-9)
+
+
 def test_scores_of_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "b a"), (None, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_words) for r in lm_scoring.score(df).collect()) == [(0, 2), (1, 4)]
