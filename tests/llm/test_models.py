@@ -181,6 +181,35 @@ def test_licences(spark):
     assert licenses.scan(df).count() == 8 and licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licence_headers_files_and_identifiers(spark):
+    gpl = """
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+"""
+    mpl = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+int main() {}"""
+    files = {
+        "a/gpl.py": "#!/usr/bin/python\n# Copyright 2020 Somebody Or Other\n" + gpl + "\nimport os\n",
+        "a/mpl.c": mpl, "a/s.py": "# SPDX-License-Identifier: GPL-3.0-only\nx = 1", "a/m.py": "// SPDX-License-Identifier: mit\nx", "a/w.c": "/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */",
+        "l/agpl/LICENSE": (licenses.TEXTS / "AGPL-3.0.txt").read_text(), "l/gpl/COPYING": (licenses.TEXTS / "GPL-3.0.txt").read_text()[:20_000], "l/mit/LICENSE": "Copyright (c) 2020 A. Person\n\n" + (licenses.TEXTS / "MIT.txt").read_text(),
+        "LICENSE": "Apache License\nVersion 2.0, January 2004", "b/c/x": "prose", "y": "prose",
+    }
+    got = {r.path: (r.licence, r.from_dir) for r in licenses.scan(spark.createDataFrame(list(files.items()), "path string, text string")).collect()}
+    assert got == {
+        "a/gpl.py": ("GPL-3.0", None), "a/mpl.c": ("MPL-2.0", None), "a/s.py": ("GPL-3.0", None), "a/m.py": ("MIT", None), "a/w.c": ("GPL-2.0", None), "l/agpl/LICENSE": ("AGPL-3.0", None),
+        "l/gpl/COPYING": ("GPL-3.0", None), "l/mit/LICENSE": ("MIT", None), "LICENSE": ("Apache-2.0", None), "b/c/x": ("Apache-2.0", ""), "y": ("Apache-2.0", ""),
+    }
+
+
 def test_licence_query_by_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     rows = {r.doc_id: r for r in QUERIES["op7_license_scans"](spark, sf_dir).collect()}
