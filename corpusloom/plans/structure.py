@@ -237,5 +237,5 @@ def policy_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     digits = lambda c: F.translate(c, "0123456789src", "甲乙丙丁戊己庚辛壬癸")
     insurer = F.concat(F.lit("山海"), digits(F.col("source")), F.lit("人寿保险股份有限公司"))
     product = F.concat(F.lit("山海福"), digits(F.col("doc_id").cast("string")), F.lit("号终身寿险条款"))
-    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.concat(insurer, F.lit("\n"), product, F.lit("\n"), F.substring("text", 1, 2000)).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.concat(insurer, F.lit("\n"), product, F.lit("\n"), F.col("text")).alias("text"))
     return identity.policies(docs).select("doc_id", "company", "product", F.array_join("alias", "|").alias("aliases"))

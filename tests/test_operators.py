@@ -145,6 +145,15 @@ def test_policy_identities(spark):
     assert "福星高照" in forms.aliases and forms.brands[0] == "甲乙人寿保险股份有限公司"
 
 
+def test_policy_query_reads_whole_texts(spark, tmp_path):
+    from corpusloom.plans import catalogue
+
+    text = "plain line\n" * 1_000 + "险种简称：福星高照"
+    spark.createDataFrame([(1, text, "src1")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalogue.QUERIES["policy_identity"](spark, str(tmp_path)).collect()
+    assert [r.doc_id for r in found] == ["1"] and "福星高照" in found[0].aliases.split("|")
+
+
 def test_document_identities_and_company_routing(spark):
     from corpusloom.operators import identity
 
