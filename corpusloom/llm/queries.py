@@ -32,7 +32,24 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return lm_scoring.score(table(spark, sf_dir, "documents"))
+    out = lm_scoring.score(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+ORACLE["op1_lm_scoring"] = """
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), placed AS (
+  SELECT doc_id, i, w[i - 1] AS a, w[i] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM texts)
+), one AS (SELECT b AS word, count(*) AS n FROM placed GROUP BY b
+), two AS (SELECT a, b, count(*) AS n FROM placed WHERE i > 1 GROUP BY a, b HAVING count(DISTINCT doc_id) > 1
+), whole AS (SELECT count(*)::DOUBLE AS n FROM placed
+), scored AS (
+  SELECT placed.doc_id, CASE WHEN placed.i = 1 THEN ln(y.n / whole.n) WHEN two.n IS NOT NULL THEN ln(two.n / x.n) ELSE ln(0.4) + ln(y.n / whole.n) END AS s
+  FROM placed CROSS JOIN whole JOIN one y ON y.word = placed.b LEFT JOIN one x ON x.word = placed.a AND placed.i > 1 LEFT JOIN two ON two.a = placed.a AND two.b = placed.b AND placed.i > 1
+), sums AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM scored GROUP BY doc_id)
+SELECT texts.doc_id, coalesce(n, 0)::BIGINT AS n_words, round(coalesce(s, 0.0), 6) AS log_score, round(s / n, 6) AS mean_log_score FROM texts LEFT JOIN sums ON sums.doc_id = texts.doc_id
+"""
 
 
 @query

@@ -1,7 +1,6 @@
 """BPE, language identification, LM scoring, licence scans and the pipeline."""
 
 import base64
-import bisect
 import collections
 import hashlib
 import math
@@ -16,7 +15,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusloom.llm import bpe, language_id, licenses, lm_scoring
-from corpusloom.llm.queries import QUERIES
+from corpusloom.llm.queries import ORACLE, QUERIES
+from tests.rows import compare
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -111,62 +111,70 @@ def test_unknown_languages(spark):
     assert all(r.lang_pred == "und" for r in nothing)
 
 
-def lm(docs, vocabulary):
-    words = {d: (t or "").encode().lower().split() for d, t in docs.items()}
-    counts = collections.Counter(w for x in words.values() for w in x)
-    by_count = sorted(counts.values())
-    known = {w for w, n in counts.items() if len(by_count) - bisect.bisect_left(by_count, n) <= vocabulary}
-    words = {d: [w if w in known else None for w in x] for d, x in words.items()}
-    one = collections.Counter(w for x in words.values() for w in x)
-    two = collections.Counter(p for x in words.values() for p in zip(x, x[1:]))
+def lm(docs):
+    """Stupid backoff of ``[(doc_id, text)]`` rows, by plain counts of every word and pair."""
+    rows = [(d, (t or "").encode().lower().split()) for d, t in docs]
+    one = collections.Counter(w for _, x in rows for w in x)
+    two = collections.Counter(p for _, x in rows for p in zip(x, x[1:]))
+    holders = collections.defaultdict(set)
+    for d, x in rows:
+        for p in zip(x, x[1:]):
+            holders[p].add(d)
     n = sum(one.values())
-    out = {}
-    for d, x in words.items():
+    out = collections.defaultdict(lambda: (0, 0.0))
+    for d, x in rows:
         s = math.log(one[x[0]] / n) if x else 0.0
         for a, b in zip(x, x[1:]):
-            s += math.log(two[a, b] / one[a]) if two[a, b] >= 2 else math.log(0.4 * one[b] / n)
-        out[d] = len(x), s
+            s += math.log(two[a, b] / one[a]) if len(holders[a, b] - {None}) > 1 else math.log(0.4 * one[b] / n)
+        out[d] = out[d][0] + len(x), out[d][1] + s
     return out
 
 
-@pytest.mark.parametrize(("vocabulary", "head"), [(65535, 512), (40, 8), (200, 2)])
-def test_scores_by_brute_force(spark, sf_dir, vocabulary, head):
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()} | {-1: None, -2: " ", -3: "One"}
-    df = spark.createDataFrame([(*x, "c") for x in docs.items()], "doc_id long, text string, gram string")
-    expect = lm(docs, vocabulary)
-    rows = lm_scoring.score(df, vocabulary=vocabulary, head=head).collect()
-    assert len(rows) == len(docs)
+def same_scores(df, expect):
+    rows = df.collect()
+    assert len(rows) == len(expect)
     for r in rows:
         n, s = expect[r.doc_id]
         assert r.n_words == n and r.log_score == pytest.approx(s, rel=1e-9, abs=1e-9)
         assert r.mean_log_score is None if n == 0 else r.mean_log_score == pytest.approx(s / n)
 
 
-@pytest.mark.parametrize(("frequent", "head", "bits"), [(40, 8, 63), (200, 2, 6), (0, 8, 63)])
-def test_rare_words_keep_their_counts(spark, sf_dir, frequent, head, bits):
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()}
-    docs |= {-1: None, -2: " ", -3: "One", -4: "rareword otherword rareword otherword", -5: "thirdword rareword", -6: "onceword rareword otherword"}
-    expect = lm(docs, 10**9)
-    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    rows = lm_scoring.score(df, frequent=frequent, head=head, bits=bits).collect()
-    assert len(rows) == len(docs)
-    for r in rows:
-        assert (r.n_words, r.log_score) == (expect[r.doc_id][0], pytest.approx(expect[r.doc_id][1], rel=1e-9, abs=1e-9))
+ODD = [(-1, None), (-2, " "), (-3, "One"), (-4, "rareword otherword rareword otherword"), (-5, "thirdword rareword"), (-6, "onceword rareword otherword"), (-7, "onlyonce"), (-8, "a b " * 30_000)]
+
+
+@pytest.mark.parametrize("frequent", [1 << 18, 200, 0])
+def test_scores_by_brute_force(spark, sf_dir, frequent):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + ODD
+    df = spark.createDataFrame([(*x, "c", 1) for x in docs], "doc_id long, text string, pair string, n int")
+    same_scores(lm_scoring.score(df, frequent=frequent), lm(docs))
+
 
+def test_scores_of_a_larger_table(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    same_scores(lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string")), lm(docs))
 
-def test_scores_of_a_query_with_more_words_than_the_short_cut(spark):
+
+def test_scores_with_more_words_than_the_short_cut(spark):
     texts = [" ".join(f"w{i * 1000 + j}" for j in range(1000)) for i in range(70)] + ["w5 w7", "w69999 w3"]
-    docs = dict(enumerate(texts * 2)) | {-1: "w12 w13 w15"}
-    expect = lm(docs, 10**9)
-    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    for r in lm_scoring.score(df).collect():
-        assert r.log_score == pytest.approx(expect[r.doc_id][1], rel=1e-9)
+    docs = list(enumerate(texts * 2)) + [(-1, "w12 w13 w15")]
+    same_scores(lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string"), frequent=50_000), lm(docs))
+
+
+def test_a_hot_pair(spark):
+    docs = [(i, "hot pair" if i % 3 else f"hot pair {i} {i % 50}") for i in range(3000)]
+    same_scores(lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string"), frequent=1), lm(docs))
+
+
+def test_scores_of_repeated_null_and_text_ids(spark):
+    docs = [(1, "a b"), (1, "a b"), (None, "b a"), (None, None), (None, "b a c"), (2, "b a"), (3, "a b")]
+    same_scores(lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string")), lm(docs))
+    named = [("x", "a b c"), ("y", "a b"), (None, "b c")]
+    same_scores(lm_scoring.score(spark.createDataFrame(named, "doc_id string, text string")), lm(named))
+    assert lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string").limit(0)).count() == 0
 
 
-def test_scores_of_repeated_and_null_ids(spark):
-    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "b a"), (None, None)], "doc_id long, text string")
-    assert sorted((r.doc_id or 0, r.n_words) for r in lm_scoring.score(df).collect()) == [(0, 2), (1, 4)]
-    assert lm_scoring.score(df.limit(0)).count() == 0
+def test_scores_sql(spark, sf_dir, duck):
+    compare(QUERIES["op1_lm_scoring"](spark, sf_dir), duck, ORACLE["op1_lm_scoring"])
 
 
 def test_licences(spark):
