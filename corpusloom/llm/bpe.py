@@ -229,7 +229,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     ``ids`` and ``ends``, the byte offset at which each token ends, are little-endian unsigned 32-bit integers in a binary;
     ``decoded`` is what decode() gives for them, made where the ids are. A null text is empty and has no tokens. Rows stay in
-    their partitions; an empty table gives an empty table.
+    their partitions, and ids keep their type; an empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +243,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     columns.append(pa.array([_decoded(t, x, y) for x, y in zip(ids, ends, strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "ends", "decoded"][: len(columns)])
 
-    rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, ends binary" + ", decoded binary" * decoded)
+    rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids binary, ends binary" + ", decoded binary" * decoded)
 
 
 def _decoded(t: Tokenizer, ids: np.ndarray, ends: np.ndarray) -> bytes:
@@ -265,7 +265,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 ids, ends = ([np.frombuffer(x, dtype="<u4") for x in part.column(c).to_pylist()] for c in (2, 3))
                 yield part.append_column("decoded", pa.array([_decoded(t, x, y) for x, y in zip(ids, ends, strict=True)], pa.binary()))
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids binary, ends binary, decoded binary")
+    return encoded.mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary, ends binary, decoded binary")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -19,7 +19,8 @@ TRAIN_PER_LANGUAGE = 2_000
 MOST_LANGUAGES = 500
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
-_WINDOW = 1 << 20
+#: Grams of a window; texts scored together at most; elements of a block of the product.
+_WINDOW, _TOGETHER, _PRODUCT = 1 << 18, 256, 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -77,37 +78,67 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return langs, np.column_stack((log, prior - np.log(sum(totals.values()) + len(langs)))).astype(np.float32)
 
 
+def _batch_scores(texts: list[str], log: np.ndarray) -> np.ndarray:
+    """Log-probabilities of each text (rows) in each language (columns).
+
+    The texts' grams are a sparse matrix, row after row: indices into the rows of ``log`` and the places where texts begin. Its
+    product with ``log`` is taken a block of indices at a time; a text that goes on in the next block is added to.
+    """
+    total = np.tile(log[-1].astype(np.float64), (len(texts), 1))
+    most = max(1, _PRODUCT // max(log.shape[1], 1))
+    for first, indices, starts in _sparse(texts):
+        for i in range(0, len(indices), most):
+            block = log[indices[i : i + most]].astype(np.float64)
+            # the texts that have indices in this block: that in which it begins, and those that begin in it
+            at = max(int(np.searchsorted(starts, i, side="right")) - 1, 0)
+            end = int(np.searchsorted(starts, i + len(block)))
+            total[first + at : first + end] += np.add.reduceat(block, np.maximum(starts[at:end] - i, 0), axis=0)
+    return total
+
+
+def _sparse(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of the first text, indices and starts of runs of texts; each text is in one run, or alone in several if it is long."""
+    held, starts, size, first = [], [], 0, 0
+    for t, text in enumerate(texts):
+        for x in grams(text):
+            if size and size + len(x) > _WINDOW:
+                yield first, np.concatenate(held), np.array(starts)
+                held, starts, size = [], [], 0
+            if not held:
+                first = t
+            if len(starts) < t - first + 1:
+                starts.append(size)
+            held.append(x)
+            size += len(x)
+    if held:
+        yield first, np.concatenate(held), np.array(starts)
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with ``lang_pred`` and ``score``, the probability of that language given the text alone.
 
-    A text that is null or has no letter is ``und`` with score 0, as is every text if nothing was learned. Ties go to the first
-    language in code-point order. Rows stay in their partitions.
+    Columns of ``docs`` of these two names give way to them. A text that is null or has no letter is ``und`` with score 0, as is every text
+    if nothing was learned. Ties go to the first language in code-point order. Rows stay in their partitions; the text alone goes to Python.
     """
     langs = model[0]
     shared = docs.sparkSession.sparkContext.broadcast(model[1].T.copy())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log = shared.value
-        for batch in batches:
-            names, scores = [], []
-            for text, letter in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if not letter or not langs:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total = log[-1].astype(np.float64)
-                for x in grams(text):
-                    total = total + log[x].sum(axis=0, dtype=np.float64)
-                k = int(np.argmax(total))
-                names.append(langs[k])
-                scores.append(float(1 / np.exp(total - total[k]).sum()))
-            kept = [batch.column(i) for i in range(batch.num_columns - 2)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=pa.schema([*[batch.schema.field(i) for i in range(batch.num_columns - 2)], ("lang_pred", pa.string()), ("score", pa.float64())]))
-
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = spread(docs.select(*own, F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("_letter")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    @F.arrow_udf("lang_pred string, score double")
+    def found(text: pa.Array, letter: pa.Array) -> pa.Array:
+        names, scores = np.full(len(text), UNKNOWN, dtype=object), np.zeros(len(text))
+        at = np.flatnonzero(letter.to_numpy(zero_copy_only=False))
+        for part in np.array_split(at, max(1, -(-len(at) // _TOGETHER))) if langs else ():
+            total = _batch_scores([text[i].as_py() for i in part], shared.value)
+            best = total.argmax(axis=1)
+            names[part] = np.array(langs, dtype=object)[best]
+            scores[part] = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    text = F.col(text_col)
+    rows = spread(docs.select(F.struct(*own).alias("doc"), text.alias("text"), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("letter")))
+    rows = rows.select("doc", found("text", "letter").alias("found"))
+    return rows.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")], "found.lang_pred", "found.score")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -121,6 +152,11 @@ LEAST_SCORE = 0.5
 
 
 def identified_documents(docs: DataFrame) -> DataFrame:
-    """The documents whose language is found, with the columns of ``docs``; unknown and unsure ones go."""
-    own = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
-    return predict(own, fit(docs)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_doc.*")
+    """The documents whose language is found, with the columns of ``docs``, of any name; unknown and unsure ones go.
+
+    Null texts and texts without a letter are unknown. Ids serve only to draw what is learned from: rows that repeat or share one
+    are each judged by their own text. Without a labelled document nothing is known and all go. An empty table gives an empty table.
+    """
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text")
+    found = predict(own, fit(docs)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return found.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

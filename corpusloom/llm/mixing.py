@@ -52,11 +52,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken of a source sum to its target, rounded down. Null texts have size 0 and are never taken; a null source is a source of
     its own; equal ids tie by size, and rows equal in both are interchangeable. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
     cols = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")]
-    rows = Scratch(spark, "mix").keep(docs.select(*cols), "sizes")
-    targets = source_targets(rows, **how)
+    return _taken(Scratch(docs.sparkSession, "mix").keep(docs.select(*cols), "sizes"), **how)
+
 
+def _taken(rows: DataFrame, **how) -> DataFrame:
+    """The written table ``rows (doc_id, source, size)``, and what other columns it has, with ``source_size, target, taken``."""
+    own = rows.columns
+    targets = source_targets(rows, **how)
     digits, n = 1, rows.count()
     while 16**digits * ROWS_PER_BUCKET < n and digits < 6:
         digits += 1
@@ -77,24 +80,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size") - F.col("before") - F.col("inside")
     taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
-    return rows.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"))
+    return rows.select(*own, "source_size", "target", taken.alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: whole copies of a document for each epoch, then its part of the last one.
 
-    A document at the very cut of its source's budget gives its first words, joined by single spaces; all others are whole.
-    Documents of which nothing is taken go. Ids are taken to be unique, as they are after near-duplicate removal.
+    A document at the very cut of its source's budget gives its first words, joined by single spaces; all others are whole. ``n_chars``,
+    where it is a column, is that of the text given. Documents of which nothing is taken, null and blank texts among them, go. Rows have keys of their own: those that
+    share an id, null included, are documents of their own, and repeated rows are taken as often as there are. A null source is
+    a source. Columns of any name pass through; an empty table gives an empty table.
     """
-    plan = mix(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).filter("_taken > 0")
-    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
-    whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    part = (F.col("_taken") % F.col("_size")).cast("int")
-    out = out.withColumn("_part", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))))
-    text = F.when(F.col("_part") == 0, F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), 1, F.greatest(F.col("_part"), F.lit(1))), " "))
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
-
-
+    scratch = Scratch(docs.sparkSession, "mixed")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"), word_count(F.col("text")).alias("size"))
+    rows = scratch.keep(rows, "rows")
+    plan = _taken(rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), "size"))
+    plan = plan.filter("taken > 0").select("row", F.floor(F.col("taken") / F.col("size")).cast("int").alias("whole"), (F.col("taken") % F.col("size")).cast("int").alias("part"))
+    parts = F.concat(F.array_repeat(F.lit(0), F.col("whole")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<int>")))
+    out = rows.select("doc", "row").join(plan, "row").select("doc", F.explode(parts).alias("first"))
+    text = F.col("doc")["text"]
+    text = F.when(F.col("first") == 0, text).otherwise(F.array_join(F.slice(words(text), 1, F.greatest(F.col("first"), F.lit(1))), " "))
+    out = out.select("doc", text.alias("text"))
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*[made[c].alias(c) if c in made else F.col("doc")[c].alias(c) for c in docs.columns])

@@ -146,11 +146,14 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The kept documents, with the columns of ``docs``.
+    """The kept documents, with the columns of ``docs``, of any name.
+
+    Null and blank texts fail the base test and go. Ids don't matter: repeated rows, and rows with null or shared ids, are each judged by
+    their own text. An empty table gives an empty table.
 
     Documents are written with their votes once, and read again to be judged: no text is measured twice or shuffled, and
     the test for ``kept`` meets plain columns, not the measures' expressions.
     """
-    rows = measured(docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("_text")), "_text")
+    rows = measured(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").alias("_text")), "_text")
     rows = Scratch(docs.sparkSession, "quality").keep(rows.select("_doc", "votes", "base_failed"), "documents")
-    return judged(rows, estimate(rows)).filter("kept").select("_doc.*")
+    return judged(rows, estimate(rows)).filter("kept").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -4,8 +4,8 @@ Links come from a range join in the segment-popcount embedding. A fingerprint be
 segments; the Manhattan distance of two such vectors never exceeds the Hamming distance of the fingerprints. The segments form
 8 bands. Vectors within distance 4 differ in 4 bands at most, so they share the grid cell of some 4 bands: each
 fingerprint enters the cells of all 70 choices. Cells are searched without pairing all their members: a member is compared with
-those not yet reached, and only the links of a spanning forest leave the task. A cell too large for that
-hands its members to an exact second way that compares none of them: fingerprints within 4 bits have a midpoint within 2 bits of both.
+those not yet reached, and only the links of a spanning forest leave the task. A large cell is a grid again: its members differ in the 4
+other bands alone, which form 8 narrower bands, and the cells of all 70 choices of 4 of these are searched one after another.
 """
 
 from __future__ import annotations
@@ -16,15 +16,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from corpusloom.session import Scratch, spread
 
 BITS, MOST_BITS = 64, 4
 SHINGLE, SEED = 4, 42
 SEGMENT, BANDS = 2, 8
-#: Members up to which a grid cell is searched in its task; beyond, its members go the midpoint way.
+#: Members up to which a grid cell is searched at once; beyond, by the cells within it.
 CELL = 4096
 _VOTE_ROWS = 1 << 15
 
@@ -46,43 +47,64 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "fp"])
+@F.arrow_udf(LongType())
+def _fingerprint_column(text: pa.Array) -> pa.Array:
+    return pa.array(np.array([fingerprint(x.as_py()) for x in text], dtype=np.uint64).view(np.int64))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``, fp the fingerprint as a signed long.
+    """``(doc_id, fp)``, fp the fingerprint as a signed long; ids keep their type.
 
     A bit is 1 if set in over half the XXH64 (seed 42) of the text's 4-word shingles, repeats included; a shorter text is one
     shingle, a text without words has fingerprint 0.
     """
-    rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    return rows.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", _fingerprint_column("text").alias("fp"))
+
+
+def _counts(fp: np.ndarray) -> np.ndarray:
+    """The embedding: bit counts of the segments of each fingerprint."""
+    bits = np.unpackbits(fp.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
+    return bits.reshape(len(fp), BITS // SEGMENT, SEGMENT).sum(axis=2, dtype=np.int8)
+
+
+def _keys(counts: np.ndarray) -> Iterator[np.ndarray]:
+    """Grid cells by the counts of BANDS bands of equally many segments: a key for each vector, for each choice of the bands that agree."""
+    per_band = counts.reshape(len(counts), BANDS, -1).astype(np.int64)
+    width = (SEGMENT + 1) ** per_band.shape[2]
+    band = per_band @ ((SEGMENT + 1) ** np.arange(per_band.shape[2], dtype=np.int64))
+    for c, choice in enumerate(combinations(range(BANDS), BANDS - MOST_BITS)):
+        key = np.full(len(counts), c, dtype=np.int64)
+        for b in choice:
+            key = key * width + band[:, b]
+        yield key
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each fingerprint with the keys of its grid cells: the counts of the segments of 4 of the 8 bands."""
-    segments = BITS // SEGMENT // BANDS
     for batch in batches:
         fp = batch.column(0).to_numpy(zero_copy_only=False)
-        bits = np.unpackbits(fp.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts = bits.reshape(len(fp), BANDS, segments, SEGMENT).sum(axis=3, dtype=np.int64)
-        band = counts @ ((SEGMENT + 1) ** np.arange(segments, dtype=np.int64))
-        width = (SEGMENT + 1) ** segments
-        for c, choice in enumerate(combinations(range(BANDS), BANDS - MOST_BITS)):
-            key = np.full(len(fp), c, dtype=np.int64)
-            for b in choice:
-                key = key * width + band[:, b]
+        for key in _keys(_counts(fp)):
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp)], ["cell", "fp"])
 
 
+def _within(cell: int, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of a spanning forest over the distinct fingerprints of a cell, or of several whose union spans the same."""
+    if len(fp) <= CELL:
+        yield forest(fp)
+        return
+    segments = BITS // SEGMENT // BANDS
+    agree = list(combinations(range(BANDS), BANDS - MOST_BITS))[cell // (SEGMENT + 1) ** (segments * (BANDS - MOST_BITS))]
+    others = _counts(fp).reshape(len(fp), BANDS, segments)[:, [b for b in range(BANDS) if b not in agree]]
+    for key in _keys(others.reshape(len(fp), -1)):
+        order = np.argsort(key, kind="stable")
+        for part in np.split(fp[order], np.flatnonzero(np.diff(key[order])) + 1):
+            if len(part) > 1:
+                yield forest(part)
+
+
 def forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest over distinct fingerprints, joined at up to MOST_BITS differing bits."""
-    left, right, free = [], [], fp.view(np.uint64)
-    bits = free[:, None] >> np.arange(0, BITS, SEGMENT, dtype=np.uint64)
-    counts = np.bitwise_count(bits & np.uint64(2**SEGMENT - 1)).astype(np.int8)
+    left, right, free, counts = [], [], fp.view(np.uint64), _counts(fp)
     while len(free) > 1:
         queue, free, counts_free, queue_counts = [free[0]], free[1:], counts[1:], [counts[0]]
         while queue and len(free):
@@ -102,17 +124,13 @@ def forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links from cells: rows come sorted by cell. A row with a null ``b`` is a member of a cell over CELL."""
-    held_cell, held = None, np.zeros(0, dtype=np.int64)
-    large = False
+    """Links from cells: rows come sorted by cell, of which one is held at a time."""
+    held_cell, held = 0, []
 
-    def link(fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b = forest(np.unique(fp))
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    def hand_on(fp: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(fp), pa.nulls(len(fp), pa.int64())], ["a", "b"])
+    def link() -> Iterator[pa.RecordBatch]:
+        for a, b in _within(held_cell, np.unique(np.concatenate(held))) if held else ():
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
         cell, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -124,42 +142,17 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = (last - first > 1) | (first == 0) | (last == len(cell))
         for i, j in zip(first[work].tolist(), last[work].tolist(), strict=True):
             if held_cell != cell[i]:
-                if len(held) > 1 and not large:
-                    yield from link(held)
-                held_cell, held, large = cell[i], np.zeros(0, dtype=np.int64), False
-            held = np.concatenate((held, fp[i:j]))
-            if large or len(held) > CELL:
-                large = True
-                yield hand_on(held)
-                held = np.zeros(0, dtype=np.int64)
-    if len(held) > 1 and not large:
-        yield from link(held)
-
-
-def _midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint with all values within MOST_BITS / 2 bits of it."""
-    one = [1 << i for i in range(BITS)]
-    masks = [0, *one, *(a | b for a, b in combinations(one, 2))]
-    masks = np.array(masks, dtype=np.uint64)
-    for batch in batches:
-        fp = batch.column(0).to_numpy(zero_copy_only=False)
-        for part in np.array_split(fp, max(1, len(fp) // 64)):
-            z = (part.view(np.uint64)[:, None] ^ masks).ravel().view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(z), pa.array(np.repeat(part, len(masks)))], ["z", "fp"])
+                yield from link()
+                held_cell, held = int(cell[i]), []
+            held.append(fp[i:j])
+    yield from link()
 
 
 def links(prints: DataFrame, scratch: Scratch) -> DataFrame:
     """Links ``(a, b)`` that join the same distinct fingerprints as all pairs within MOST_BITS bits do."""
     distinct = scratch.keep(prints.select("fp").distinct(), "prints")
     cells = spread(distinct).mapInArrow(_cells, "cell long, fp long")
-    found = scratch.keep(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_search, "a long, b long"), "links")
-    out = found.filter("b is not null")
-    large = found.filter("b is null").select("a").distinct()
-    if not large.isEmpty():
-        near = large.mapInArrow(_midpoints, "z long, fp long")
-        chained = near.select(F.lag("fp").over(Window.partitionBy("z").orderBy("fp")).alias("a"), F.col("fp").alias("b"))
-        out = out.unionByName(chained.filter("a is not null").distinct())
-    return out
+    return scratch.keep(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_search, "a long, b long"), "links")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -184,27 +177,44 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
+def rooted(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(fp, root)`` for every distinct fingerprint of the written table ``prints``: root is the least one that links reach."""
+    roots = components(links(prints, scratch), scratch)
+    out = prints.select("fp").distinct().join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    # a table of its own: a component of very many fingerprints is then a hot key of a plain join, which is split over tasks
+    return scratch.keep(out.select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, fingerprint, component_id``.
 
     Fingerprints within MOST_BITS bits are linked; component_id is the smallest id that links reach. Null and blank texts have
-    fingerprint 0, linked like any other. Null ids are passed over when the smallest is taken. An empty table gives an empty table.
+    fingerprint 0, linked like any other. Null ids are passed over when the smallest is taken; a component of them alone has a null
+    component_id. An empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.keep(fingerprints(docs, id_col, text_col), "fingerprints")
-    roots = components(links(prints, scratch), scratch)
+    roots = rooted(prints, scratch)
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    first = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # tables of their own: a component of very many fingerprints is then a hot key of a plain join, which is split over tasks
-    first = scratch.keep(first, "first")
-    least = scratch.keep(first.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    named = scratch.keep(first.select("fp", "root").join(least, "root").select("fp", "component_id"), "components")
+    least = scratch.keep(first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    named = scratch.keep(roots.join(least, "root").select("fp", "component_id"), "components")
     out = prints.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def unique_documents(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest id, with the columns of ``docs``."""
-    keep = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each component, with the columns of ``docs``: that with the smallest doc_id, nulls last.
+
+    Rows are told apart by keys of their own, not by doc_id: documents without an id, and different texts that share one,
+    are kept or go by their components alone. Of rows that tie, repeated ones among them, one stays. Null and blank texts are
+    one component. Columns of any name pass through; an empty table gives an empty table.
+    """
+    scratch = Scratch(docs.sparkSession, "unique")
+    rows = spread(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")))
+    rows = scratch.keep(rows.select("doc", F.monotonically_increasing_id().alias("row"), _fingerprint_column("doc.text").alias("fp")), "rows")
+    prints = rows.select("row", F.col("doc.doc_id").alias("doc_id"), "fp")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
+    # the best of each fingerprint first: copies meet no join
+    best = prints.groupBy("fp").agg(best).join(rooted(prints, scratch), "fp").groupBy("root").agg(F.min("best").alias("best"))
+    kept = scratch.keep(best.select("best.row"), "kept")
+    return rows.join(kept, "row", "left_semi").select(*[F.col("doc")[c].alias(c) for c in docs.columns])

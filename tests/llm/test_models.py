@@ -66,7 +66,7 @@ def test_documents_as_the_library_encodes_them(spark, sf_dir, reference):
 
 
 def test_encode_then_decode(spark):
-    df = spark.createDataFrame([(1, None, "c"), (2, "", "c"), (None, "née 😀", "c"), (2, "née 😀", "c")], "doc_id long, text string, ids string")
+    df = spark.createDataFrame([("1", None, "c"), ("2", "", "c"), (None, "née 😀", "c"), ("2", "née 😀", "c")], "doc_id string, text string, ids string")
     rows = bpe.decode(bpe.encode(df, PATH), PATH).collect()
     assert sorted(bytes(r.decoded).decode() for r in rows) == ["", "", "née 😀", "née 😀"]
     assert all(np.frombuffer(r.ends, "<u4")[-1] == len(r.decoded) for r in rows if r.n_tokens)
@@ -95,6 +95,32 @@ def test_languages_against_plain_counts(spark):
             assert row[b] == pytest.approx(math.log((counts[k][b] + 0.5) / (n + 0.5 * language_id.BUCKETS)), rel=1e-5)
 
 
+def test_predictions_by_brute_force(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    langs, log = language_id.fit(docs)
+    monkeypatch.setattr(language_id, "_WINDOW", 1000)
+    monkeypatch.setattr(language_id, "_PRODUCT", 2000)
+    texts = [*(r.text for r in docs.collect()), "a", "é", "x" * 40_000, "der die das " * 3000, "zz top"]
+    sums = language_id._batch_scores(texts, log.T)
+    for t, row in zip(texts, sums, strict=True):
+        points = [ord(c) for c in f" {t.lower()} "]
+        total = log[:, -1].astype(float)
+        count = collections.Counter()
+        for n, primes in ((2, (0x9E3779B1, 0x85EBCA77)), (3, (0xC2B2AE3D, 0x27D4EB2F, 0x165667B1))):
+            for i in range(len(points) - n + 1):
+                x = 0
+                for p, c in zip(primes, points[i : i + n], strict=True):
+                    x ^= p * c & 0xFFFFFFFF
+                count[((x ^ x >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 16] += 1
+        for b, n in count.items():
+            total += n * log[:, b]
+        assert row == pytest.approx(total, rel=1e-6)
+    rows = language_id.predict(spark.createDataFrame([(t,) for t in texts[-5:]], "text string"), (langs, log)).collect()
+    for r, total in zip(rows, sums[-5:], strict=True):
+        p = np.exp(total - total.max())
+        assert r.lang_pred == langs[int(p.argmax())] and r.score == pytest.approx(float(p.max() / p.sum()), rel=1e-6)
+
+
 def test_windows_of_long_texts(monkeypatch):
     whole = np.sort(np.concatenate(list(language_id.grams("abc de" * 50))))
     monkeypatch.setattr(language_id, "_WINDOW", 7)

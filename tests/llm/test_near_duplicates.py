@@ -81,7 +81,7 @@ def made(seed):
 
 @pytest.mark.parametrize("cell", [4096, 8])
 def test_links_join_what_all_pairs_join(spark, monkeypatch, cell):
-    monkeypatch.setattr(simhash, "CELL", cell)  # 8: most clusters go the midpoint way
+    monkeypatch.setattr(simhash, "CELL", cell)  # 8: most cells of clusters are searched by the cells within them
     prints = made(cell)
     got = linked(spark, prints)
     expect = components(list(range(len(prints))), prints)
@@ -93,6 +93,32 @@ def test_links_join_what_all_pairs_join(spark, monkeypatch, cell):
     assert len({got.get(p, p) for p in prints}) == len(groups)
 
 
+def test_a_cell_beyond_the_limit():
+    rng = random.Random(5)
+    base, few = rng.getrandbits(64), [1 << b for b in rng.sample(range(32), 14)]
+    prints = np.unique(np.array([base ^ sum(m for m in few if rng.random() < 0.5) for _ in range(20_000)], dtype=np.uint64))
+    strangers = np.array([(base >> 32 << 32) | rng.getrandbits(32) for _ in range(3000)], dtype=np.uint64)
+    fp = np.unique(np.concatenate((prints, strangers)).view(np.int64))
+    assert len(fp) > simhash.CELL
+    choice = list(simhash.combinations(range(8), 4)).index((0, 1, 2, 3))  # bands of the upper 32 bits, which all share
+    cell = choice * 81**4
+    links = [(int(a), int(b)) for x, y in simhash._within(cell, fp) for a, b in zip(x, y, strict=True)]
+    assert all((np.uint64(a & (2**64 - 1)) ^ np.uint64(b & (2**64 - 1))).bit_count() <= 4 for a, b in links)
+    at = {int(x): i for i, x in enumerate(fp)}
+    root = list(range(len(fp)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in links:
+        x, y = find(at[a]), find(at[b])
+        root[max(x, y)] = min(x, y)
+    assert [find(i) for i in range(len(fp))] == components(list(range(len(fp))), fp.view(np.uint64))
+
+
 def test_long_chains_end(spark):
     scratch = Scratch(spark, "chain")
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
@@ -117,4 +143,18 @@ def test_edge_cases(spark):
     assert got == [(-1, -1), (2, 2), (3, 3), (5, 3), (7, 2), (7, 2), (8, 8), (9, 3)]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     kept = simhash.unique_documents(df)
-    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 8] and kept.columns == df.columns
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 2, 3, 8] and kept.columns == df.columns
+
+
+def test_text_ids(spark):
+    df = spark.createDataFrame([("b", "same text here"), ("a", "same text here"), (None, "same text here")], "doc_id string, text string")
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()} == {("a", "a"), ("b", "a"), (None, "a")}
+
+
+def test_unique_documents_with_odd_ids_and_clashing_names(spark):
+    data = [(None, "first text of all"), (1, "second text of it"), (1, "another one with words"), (1, "second text of it"), (None, "nothing like the rest"), (2, "another one with words"), (None, None), (4, " ")]
+    df = spark.createDataFrame([(*d, "c", 1, 2, 3, 4) for d in data], "doc_id long, text string, `a.b` string, row int, fp int, doc int, _keep int")
+    kept = simhash.unique_documents(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "first text of all"), (0, "nothing like the rest"), (1, "another one with words"), (1, "second text of it"), (4, " ")]
+    assert simhash.unique_documents(df.limit(0)).count() == 0

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from corpusloom.llm import mixing, quality_rules
+from corpusloom.llm import language_id, mixing, quality_rules
 from corpusloom.llm.queries import ORACLE, QUERIES
 from tests.rows import compare
 
@@ -152,3 +152,38 @@ def test_mixed_documents_hold_the_words_taken(spark):
     for r in out.collect():
         words[r.doc_id] += len(r.text.split())
     assert words == collections.Counter({r.doc_id: r.taken for r in mixing.mix(df).collect() if r.taken})
+
+
+CLASHES = "doc_id long, text string, lang string, source string, n_chars int, `a.b` string, _keep int, _id int, _size int, _taken int, _part int, row int, doc int, size int, taken int, first int, votes int, kept int, lang_pred2 int, _doc int, _text int, _letter int, found int"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(*r, *range(len(CLASHES.split(", ")) - len(r))) for r in [(i, t, k, s, 7, "x") for i, t, k, s in rows]], CLASHES)
+
+
+def test_mixed_documents_with_odd_ids_and_clashing_names(spark):
+    rows = [(1, "a b c", "en", "s"), (1, "a b c", "en", "s"), (1, "a b c", "en", "s"), (1, "a b c", "en", "s"), (None, "d e", "en", "s"), (None, "f g", "en", None), (2, None, "en", "s"), (2, "", "en", None), (3, "h " * 20_000, "en", "t")]
+    df = clashing(spark, rows)
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns and out.schema["n_chars"].dataType == df.schema["n_chars"].dataType
+    words, got = collections.Counter(), out.collect()
+    for r in got:
+        words[r.source] += len(r.text.split())
+        assert r.n_chars == len(r.text) and r._taken == df.first()._taken
+    target, _ = mixed([(i, s, t) for i, t, _, s in rows])
+    assert words == collections.Counter({s: int(n) for s, n in target.items()})
+    # no row is taken more than twice: four equal rows of three words give eight copies at most
+    assert sum(r.text.startswith("a") for r in got) <= 8
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
+def test_stages_keep_rows_apart_and_any_columns(spark):
+    good = "The people of the town went to the market. They bought bread and some apples there, then walked home in the evening rain. Nobody said a word about it."
+    rows = [(None, good, "en", "s"), (None, good + " Then they slept.", "en", None), (1, good, "en", "s"), (1, good, "en", "s"), (1, good + " They woke up late.", None, "s"), (2, None, "en", "s"), (3, "", None, None), (4, "x " * 50_000, "en", "s")]
+    df = clashing(spark, rows)
+    kept = quality_rules.good_documents(df)
+    assert kept.columns == df.columns and sorted(r.text for r in kept.collect()) == sorted(t for _, t, _, _ in rows if t and t.startswith("The"))
+    assert quality_rules.good_documents(df.limit(0)).count() == 0
+    known = language_id.identified_documents(df)
+    assert known.columns == df.columns and known.count() == sum(bool(t) for _, t, _, _ in rows)
+    assert language_id.identified_documents(df.limit(0)).count() == 0
