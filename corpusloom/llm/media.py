@@ -1,7 +1,9 @@
 """Media columns: payloads as PNG images in content-addressed tar shards, found again by offset and length.
 
-Each task appends its payloads to tar shards in the shared folder; a shard holds a payload once, under its SHA-256. Rows carry
-digest, shard, offset and length, never the payload. A range read of an image's first 33 bytes fills its metadata columns.
+Each content is stored once, under its SHA-256, in the tar shards of one task in the shared folder. A payload that only one row has is
+written where the row lies; payloads that several may have, as a bitmap of repeated digests tells, are first brought to one row for each
+digest, copies within a task before any exchange. Rows carry digest, shard, offset and length, never the payload. A range read of an
+image's first 33 bytes fills its metadata columns.
 """
 
 from __future__ import annotations
@@ -18,18 +20,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.bitmaps import bitmap, there
 from corpusloom.session import Scratch, spread
 
 WIDTH = 64
 SHARD_BYTES = 64 << 20
 HEADER_BYTES = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-INDEX = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
+STORED = "digest string, shard string, offset long, length long"
+#: Digests remembered in a task, so that a payload leaves it once.
+_REMEMBERED = 1 << 16
 
 
-def payload(text: str | None) -> bytes:
-    """UTF-8 with bytes 0 appended up to a positive multiple of WIDTH."""
-    raw = (text or "").encode()
+def payload(raw: bytes) -> bytes:
+    """Bytes 0 appended up to a positive multiple of WIDTH."""
     return raw + bytes(max(WIDTH, -(-len(raw) // WIDTH) * WIDTH) - len(raw))
 
 
@@ -79,57 +83,102 @@ def open_folder(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
-def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the payloads to shards and returns their index: ``doc_id, n_bytes, digest, shard, offset, length``.
+class _Shards:
+    """Tar shards that one task writes, named after its attempt: a task that is run again writes shards of its own."""
 
-    A null text is stored as an empty one. A task that is run again writes shards of its own, and the index names those
-    of the run that counted. The index is a written table: reading it writes nothing.
+    def __init__(self, root: str, part: str) -> None:
+        self.fs, self.folder = open_folder(root)
+        self.fs.create_dir(self.folder, recursive=True)
+        task = TaskContext.get()
+        self.base = f"{part}-{task.partitionId():06d}-{task.taskAttemptId()}"
+        self.out, self.name, self.size, self.count = None, "", 0, 0
+
+    def add(self, digest: str, samples: bytes) -> tuple[str, str, int, int]:
+        """Digest, shard, offset and length of the image."""
+        if self.out is None or self.size >= SHARD_BYTES:
+            self.close()
+            self.name, self.size, self.count = f"{self.base}-{self.count}.tar", 0, self.count + 1
+            self.out = self.fs.open_output_stream(f"{self.folder}/{self.name}")
+        image = to_png(samples)
+        self.out.write(tar_header(f"{digest}.png", len(image)))
+        self.out.write(image)
+        self.out.write(bytes(-len(image) % 512))
+        at = self.size + 512
+        self.size += 512 + len(image) + -len(image) % 512
+        return digest, self.name, at, len(image)
+
+    def close(self) -> None:
+        if self.out:
+            self.out.write(bytes(1024))
+            self.out.close()
+            self.out = None
+
+
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Writes the payloads to shards; returns ``doc_id, n_bytes, digest`` of each row, and ``digest, shard, offset, length`` of each content.
+
+    A null text is stored as an empty one; ids keep their type; rows that repeat share one content. Both are written tables: reading
+    them writes nothing, and the second names the shards of those runs of tasks that counted.
     """
     scratch = Scratch(docs.sparkSession, "media")
     root = scratch.path("shards")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, folder = open_folder(root)
-        fs.create_dir(folder, recursive=True)
-        task = TaskContext.get()
-        out, name, size, shards = None, "", 0, 0
-        there: dict[str, tuple[int, int]] = {}
+    rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw")))
+    n = F.octet_length("raw")
+    padded = F.rpad(F.col("raw"), F.greatest(F.lit(1), F.ceil(n / WIDTH)).cast("int") * WIDTH, F.lit(b"\0"))
+    names = scratch.keep(rows.select("doc_id", n.cast("long").alias("n_bytes"), F.sha2(padded, 256).alias("digest")), "names")
+    repeated = names.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(repeated, F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The contents of single rows go to shards; of others each payload leaves the task, once as long as it is remembered."""
+        shards, remembered = _Shards(root, "single"), set()
         try:
             for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    samples = payload(text)
+                done = []
+                for raw in batch.column(0):
+                    samples = payload(raw.as_py())
                     digest = hashlib.sha256(samples).hexdigest()
-                    if out is None or size >= SHARD_BYTES:
-                        if out:
-                            out.write(bytes(1024))
-                            out.close()
-                        name, size, shards = f"{task.partitionId():06d}-{task.taskAttemptId()}-{shards}.tar", 0, shards + 1
-                        out, there = fs.open_output_stream(f"{folder}/{name}"), {}
-                    if digest not in there:
-                        image = to_png(samples)
-                        out.write(tar_header(f"{digest}.png", len(image)))
-                        out.write(image)
-                        out.write(bytes(-len(image) % 512))
-                        there[digest] = size + 512, len(image)
-                        size += 512 + len(image) + -len(image) % 512
-                    rows.append((doc_id, len((text or "").encode()), digest, name, *there[digest]))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
-            if out:
-                out.write(bytes(1024))
+                    if not there(bits.value, np.array([int(digest[:15], 16)]))[0]:
+                        done.append((*shards.add(digest, samples), None))
+                    elif digest not in remembered:
+                        if len(remembered) >= _REMEMBERED:
+                            remembered.clear()
+                        remembered.add(digest)
+                        done.append((digest, None, None, None, samples))
+                    if len(done) >= 256:
+                        yield _batch(done)
+                        done = []
+                if done:
+                    yield _batch(done)
         finally:
-            if out:
-                out.close()
+            shards.close()
+
+    def write_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = _Shards(root, "repeated")
+        try:
+            for batch in batches:
+                done = [(*shards.add(digest.as_py(), samples.as_py()), None) for digest, samples in zip(*batch.columns, strict=True)]
+                if done:
+                    yield _batch(done).drop_columns(["samples"])
+        finally:
+            shards.close()
+
+    first = scratch.keep(rows.select("raw").mapInArrow(write, f"{STORED}, samples binary"), "first")
+    once = first.filter("samples is not null").select("digest", "samples").dropDuplicates(["digest"])
+    once = scratch.keep(once.mapInArrow(write_once, STORED), "once")
+    single = first.filter("samples is null").drop("samples")
+    stored = single.unionByName(once).withColumn("shard", F.concat(F.lit(f"{root}/"), "shard"))
+    return names, stored
+
 
-    rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    index = scratch.keep(rows.mapInArrow(run, INDEX), "index")
-    return index.withColumn("shard", F.concat(F.lit(f"{root}/"), "shard"))
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["digest", "shard", "offset", "length", "samples"])
 
 
 def _ranges(batches: Iterator[pa.RecordBatch], read, names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    """Adds the columns that read(file, offset, length) gives; each image of a shard is read once, one shard is open at a time."""
-    shard, file, known = None, None, {}
+    """Adds the columns that read(file, offset, length) gives; one shard is open at a time."""
+    shard, file = None, None
     for batch in batches:
         cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shard", "offset", "length")]
         rows = []
@@ -138,10 +187,8 @@ def _ranges(batches: Iterator[pa.RecordBatch], read, names: list[str], types: li
                 if file:
                     file.close()
                 fs, at = open_folder(path)
-                shard, file, known = path, fs.open_input_file(at), {}
-            if offset not in known:
-                known[offset] = read(file, offset, length)
-            rows.append(known[offset])
+                shard, file = path, fs.open_input_file(at)
+            rows.append(read(file, offset, length))
         for i, (name, kind) in enumerate(zip(names, types, strict=True)):
             batch = batch.append_column(name, pa.array([r[i] for r in rows], kind))
         yield batch
@@ -154,7 +201,7 @@ def _declared(df: DataFrame) -> str:
 
 
 def headers(index: DataFrame) -> DataFrame:
-    """The index with ``width, height, bit_depth``, read from the images' headers alone."""
+    """The index of contents with ``width, height, bit_depth``, read from the images' headers alone."""
 
     def read(file, offset: int, length: int) -> tuple[int, int, int]:
         return png_header(file.read_at(HEADER_BYTES, offset))
@@ -163,7 +210,7 @@ def headers(index: DataFrame) -> DataFrame:
 
 
 def features(index: DataFrame) -> DataFrame:
-    """The index with digests and features of the payloads as read back from the shards.
+    """The index of contents with digests and features of the payloads as read back from the shards.
 
     ``feature`` is the image's size, its mean sample, and 64 bits that say which columns are brighter than the mean.
     """

@@ -25,7 +25,7 @@ def query(f: Query) -> Query:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     at = Scratch(spark, "warc").path("archives")
-    warc.write(table(spark, sf_dir, "pages"), at)
+    warc.write(table(spark, sf_dir, "pages"), at, uri_col="url")
     return warc.read(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -67,7 +67,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    out = media.features(media.headers(media.store(table(spark, sf_dir, "documents"))))
+    names, stored = media.store(table(spark, sf_dir, "documents"))
+    out = names.join(media.features(media.headers(stored)), "digest")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
 
 

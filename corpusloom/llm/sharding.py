@@ -1,13 +1,16 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Rows with equal texts form a group and stay together. Groups are summed to a bounded number of items: large groups are items
-of their own (cut in pieces when one would fill too much of a shard), all others share hash-dealt items. Only the
-items' vectors, a few thousand whatever the corpus holds, are packed in order; rows find their shard by a join.
+Rows with equal texts form a group and stay together. Groups that fill much of a shard are packed first, on the driver: there are few of them
+whatever the corpus holds. All others are packed in batches, each in the task that holds it: a batch has its part of what
+capacity the large ones left of every shard, and each of its groups goes where the dot product with the batch's residual capacity is highest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,22 +18,20 @@ from corpusloom.llm.words import word_count
 from corpusloom.session import Scratch
 
 SHARDS = 8
-SMALL_ITEMS = 4096
-#: A group is an item of its own beyond this part of a shard; beyond CUT_PART it is cut in pieces of about that size.
-LARGE_PART, CUT_PART = 1 / 16, 1 / 4
+#: A group is packed on the driver beyond this part of a shard; CUT is the default of ``cut``.
+LARGE, CUT = 1 / 16, 1 / 4
+#: Groups of a batch that is packed in one task.
+TOGETHER = 8_192
 ROWS_PER_BUCKET = 20_000
 DIMS = ("size", "tokens", "n_rows")
 
 
-def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item: largest first, where its demand's dot product with the residual capacity is highest.
+def pack(demand: np.ndarray, residual: np.ndarray) -> np.ndarray:
+    """The shard of each vector: largest first, where its dot product with the residual capacity is highest; ``residual`` is used up.
 
-    Shards that an item still fits are preferred; ties go to the lower shard.
+    Shards that a vector still fits are preferred; ties go to the first shard.
     """
-    total = vectors.sum(axis=0).astype(float)
-    demand = vectors / np.where(total > 0, total / shards, 1.0)
-    residual = np.ones((shards, vectors.shape[1]))
-    out = np.zeros(len(vectors), dtype=np.int32)
+    out = np.zeros(len(demand), dtype=np.int32)
     for i in np.argsort(-demand.max(axis=1), kind="stable"):
         score = residual @ demand[i]
         fits = (residual >= demand[i] - 1e-9).all(axis=1)
@@ -40,13 +41,26 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
+def pack_batch(vectors: np.ndarray, left: np.ndarray, turn: int) -> np.ndarray:
+    """Packs a batch into its part of the capacity ``left`` of every shard.
+
+    ``turn`` says which shard comes first in ties: else the last groups of all batches would go to the same one.
+    """
+    order = np.roll(np.arange(len(left)), turn)
+    whole = vectors.sum(axis=0)
+    share = np.maximum(left, 0)[order]
+    # demands and capacities in units of an even shard of this batch
+    residual = share / np.where(share.sum(axis=0) > 0, share.sum(axis=0), 1.0) * len(left)
+    return order[pack(vectors / np.where(whole > 0, whole / len(left), 1.0), residual)]
+
+
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, cut: float | None = CUT) -> DataFrame:
     """One row per input row: ``doc_id, size, tokens, text_crc32, shard, slot``.
 
     ``size`` is the text's UTF-8 bytes plus 1. Shards get near-equal sizes, token counts and row counts. Null texts count as
-    empty, and equal ones (null and empty alike) form one group. A group over ``CUT_PART`` of a shard is cut by a hash
-    of the id. Slots count from 0 in each shard without gaps; rows equal in id and text are interchangeable. An empty
-    table gives an empty table.
+    empty, and equal ones (null and empty alike) form one group. A group that alone is over ``cut`` of a shard, in one of the three, makes
+    equal sizes impossible or nearly so: it is cut by a hash of the id, in pieces of about ``LARGE`` of a shard. With None no group is ever cut.
+    Slots count from 0 in each shard without gaps; rows equal in id and text are interchangeable. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -55,24 +69,34 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), word_count(text).alias("tokens"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("grp")),
         "rows",
     )
-    sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows")]
-    total = rows.agg(*sums).first()
-    most = {d: max(1.0, (total[d] or 0) / shards * LARGE_PART) for d in DIMS}
-    part = F.greatest(*[F.col(d) / most[d] for d in DIMS])
-    pieces = F.when(part > CUT_PART / LARGE_PART, F.ceil(part)).when(part > 1, 1).otherwise(0).cast("int")
-    # at most len(DIMS) * shards / LARGE_PART groups can be this large
-    large = rows.groupBy("grp").agg(*sums).withColumn("pieces", pieces).filter("pieces > 0").select("grp", "pieces")
-    large = spark.createDataFrame([(r.grp, r.pieces) for r in large.collect()], "large_grp long, pieces int")
-    rows = rows.join(F.broadcast(large), F.col("grp") == F.col("large_grp"), "left")
-    piece = F.when(F.col("pieces").isNull(), F.lit(-1)).otherwise(F.expr("pmod(xxhash64(doc_id), pieces)")).cast("int")
-    key = F.when(F.col("pieces").isNull(), F.expr(f"pmod(grp, {SMALL_ITEMS}L)")).otherwise(F.col("grp"))
-    rows = rows.select("doc_id", "size", "tokens", "text_crc32", key.alias("item"), piece.alias("piece"))
-
-    items = rows.groupBy("item", "piece").agg(*sums).collect()
-    items.sort(key=lambda r: (r.piece, r.item))
-    at = pack(np.array([[r[d] for d in DIMS] for r in items], dtype=float).reshape(-1, len(DIMS)), shards)
-    where = spark.createDataFrame([(r.item, r.piece, int(s)) for r, s in zip(items, at, strict=True)], "item long, piece int, shard int")
-    rows = rows.join(F.broadcast(where), ["item", "piece"])
+    groups = scratch.keep(rows.groupBy("grp").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows")), "groups")
+    total = groups.agg(F.count(F.lit(1)).alias("groups"), *[F.sum(d).alias(d) for d in DIMS]).first()
+    even = np.array([max(1.0, (total[d] or 0) / shards) for d in DIMS])
+    part = F.greatest(*[F.col(d) / float(e) for d, e in zip(DIMS, even, strict=True)])
+    # at most len(DIMS) * shards / LARGE groups are so large, and they have as many pieces or as many again
+    pieces = F.when(part > cut, F.ceil(part / LARGE)).otherwise(1) if cut is not None else F.lit(1)
+    large = spark.createDataFrame(groups.filter(part > LARGE).select("grp", pieces.cast("int").alias("pieces")).collect(), "grp long, pieces int")
+    kept = rows.join(F.broadcast(large), "grp", "left").withColumn("piece", F.expr("pmod(xxhash64(doc_id), pieces)").cast("int"))
+    hot = kept.filter("pieces is not null")
+    found = hot.groupBy("grp", "piece").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows")).collect()
+    found.sort(key=lambda r: (r.grp, r.piece))
+    left = np.ones((shards, len(DIMS)))
+    at = pack(np.array([[r[d] for d in DIMS] for r in found], dtype=float).reshape(-1, len(DIMS)) / even, left)
+    where = spark.createDataFrame([(r.grp, r.piece, int(s)) for r, s in zip(found, at, strict=True)], "grp long, piece int, shard int")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(i, TOGETHER)
+                grp, *vectors = (c.to_numpy(zero_copy_only=False) for c in part.columns)
+                to = pack_batch(np.stack(vectors, axis=1).astype(float), left, int(grp[0]) % shards)
+                yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(to.astype(np.int32))], ["grp", "shard"])
+
+    small = groups.filter(part <= LARGE).select("grp", *DIMS).coalesce(max(1, (total.groups or 0) // TOGETHER))
+    small = scratch.keep(small.mapInArrow(place, "grp long, shard int"), "placed")
+    hot = hot.join(F.broadcast(where), ["grp", "piece"])
+    rows = kept.filter("pieces is null").join(small, "grp").select("doc_id", "size", "tokens", "text_crc32", "shard")
+    rows = rows.unionByName(hot.select(*rows.columns))
 
     buckets = max(1, -(-(total.n_rows or 0) // (shards * ROWS_PER_BUCKET)))
     rows = rows.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, text_crc32), {buckets}L)"))

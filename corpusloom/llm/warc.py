@@ -36,15 +36,18 @@ def base32_sha1(content: Column) -> Column:
     return F.concat(*letters)
 
 
-def write(pages: DataFrame, to: str, id_col: str = "page_id", payload_col: str = "html", least_bytes: int = LEAST_BYTES) -> None:
-    """Writes a record per row below ``to``.
+def write(pages: DataFrame, to: str, id_col: str = "page_id", payload_col: str = "html", uri_col: str | None = None, least_bytes: int = LEAST_BYTES) -> None:
+    """Writes a record per row below ``to``, dated with the time of writing; its target is that of ``uri_col``, where null or not given a urn of its id.
 
     Of rows with equal payloads of at least ``least_bytes`` bytes the one with the largest id becomes a response and the others
     become revisit records, which name it and carry the payload's digest and length but not the payload. A null payload
-    is empty. A null id counts as the smallest and is left out of the header; rows that tie for the largest are all responses.
+    is empty. A null id counts as the smallest, and its record has a random one; rows that tie for the largest are all responses. Blanks and
+    control characters in a target are written as %20.
     """
     content = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), content.alias("payload"))
+    urn = F.coalesce(F.concat(F.lit("urn:page:"), F.col(id_col).cast("long").cast("string")), F.concat(F.lit("urn:uuid:"), F.expr("uuid()")))
+    uri = F.regexp_replace(F.col(uri_col).cast("string"), "[\\x00-\\x20\\x7F]", "%20") if uri_col else F.lit(None)
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), content.alias("payload"), urn.alias("urn"), uri.alias("uri"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("bytes"), base32_sha1(F.col("payload").cast("binary")).alias("digest"))
     same = rows.filter(F.col("bytes") >= least_bytes).select("id", "digest").groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n"))
     # only repeated payloads; a table of its own, so that the join below can split a hot payload over tasks
@@ -56,10 +59,13 @@ def write(pages: DataFrame, to: str, id_col: str = "page_id", payload_col: str =
     head = F.concat(
         F.lit(MAGIC),
         field("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        F.coalesce(field("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("id").cast("string"), F.lit(">"))), F.lit("")),
+        field("WARC-Record-ID", F.concat(F.lit("<"), F.col("urn"), F.lit(">"))),
+        field("WARC-Date", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        field("WARC-Target-URI", F.coalesce("uri", "urn")),
         F.when(revisit, field("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">")))).otherwise(F.lit("")),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n")).otherwise(F.lit("")),
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        field("Content-Type", F.lit("text/html")),
         field("WARC-Payload-Length", F.col("bytes").cast("string")),
         field("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))),
         eol,
@@ -117,8 +123,8 @@ def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark: SparkSession, at: str) -> DataFrame:
     """Records of the archives below ``at``: ``page_id, payload_bytes, payload_digest, record_type, refers_to, file, offset``.
 
-    Bytes and digest are of the payload as read back; for revisit records they come from the header. Magic inside a payload
-    starts no record. An archive without records gives no rows.
+    Bytes and digest are of the payload as read back; those of a revisit record are its response's, and null if no response of the id that
+    it names has the digest and length that its header states. Magic inside a payload starts no record. An archive without records gives no rows.
     """
     pieces = spark.read.option("lineSep", MAGIC).text(at).select("value", "_metadata.file_path", "_metadata.file_block_start")
     # the pieces of a task come in the order of the file; their running bytes in it give each one's place
@@ -153,7 +159,7 @@ def read(spark: SparkSession, at: str) -> DataFrame:
     if not split.isEmpty():  # payloads with magic inside: read those archives' pieces again and put them together
         spans = rows.join(split.select("file", "owner"), ["file", "owner"], "left_semi").select("file", "start", "owner")
         n = Window.partitionBy("file_path").orderBy("file_block_start", "ord")
-        again = pieces.join(F.broadcast(spans.select(F.col("file").alias("file_path")).distinct()), "file_path", "left_semi")
+        again = pieces.join(spans.select(F.col("file").alias("file_path")).distinct(), "file_path", "left_semi")
         again = again.withColumn("start", F.sum(F.octet_length("value") + len(MAGIC)).over(n) - F.octet_length("value") - 2 * len(MAGIC))
         parts = again.select(F.col("file_path").alias("file"), "start", "value").join(spans, ["file", "start"])
         joined = parts.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("parts"))
@@ -164,12 +170,16 @@ def read(spark: SparkSession, at: str) -> DataFrame:
         records = records.join(joined, ["file", "owner"], "left")
         digest, found = F.coalesce("digest", "joined_digest"), F.coalesce("joined_bytes", "length")
     revisit = F.col("type") == "revisit"
-    return records.select(
+    found = records.select("id", "type", "refers_to", "file", F.col("start").alias("offset"), found.alias("bytes"), digest.alias("digest"), "named_bytes", "named_digest")
+    found = Scratch(spark, "records").keep(found, "records")
+    responses = found.filter(~revisit).select(F.col("id").alias("to"), F.col("bytes").alias("to_bytes"), F.col("digest").alias("to_digest")).distinct()
+    same = revisit & (F.col("refers_to") == F.col("to")) & (F.col("named_bytes") == F.col("to_bytes")) & (F.col("named_digest") == F.col("to_digest"))
+    return found.join(responses, same, "left").select(
         F.col("id").alias("page_id"),
-        F.when(revisit, F.col("named_bytes")).otherwise(found).alias("payload_bytes"),
-        F.when(revisit, F.col("named_digest")).otherwise(digest).alias("payload_digest"),
+        F.when(revisit, F.col("to_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("to_digest")).otherwise(F.col("digest")).alias("payload_digest"),
         F.col("type").alias("record_type"),
         "refers_to",
         "file",
-        F.col("start").alias("offset"),
+        "offset",
     )

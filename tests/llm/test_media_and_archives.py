@@ -1,6 +1,7 @@
 """WARC archives, tar shards and sharding, by round trip and brute force."""
 
 import base64
+import collections
 import hashlib
 import io
 import tarfile
@@ -67,6 +68,28 @@ def test_null_and_repeated_ids(spark):
     assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in rows) == [(0, "response", 0), (0, "revisit", 5), (5, "response", 0), (5, "response", 0)]
 
 
+def test_headers_that_readers_need(spark):
+    at = Scratch(spark, "warc-test").path("archives")
+    warc.write(spark.createDataFrame([(1, "x", "http://a.b/c d"), (2, "x", None), (None, "y", None)], "page_id long, html string, url string"), at, uri_col="url")
+    heads = [r.value for r in spark.read.option("lineSep", warc.MAGIC).text(at).collect() if r.value]
+    assert len(heads) == 3
+    for h in heads:
+        for name in ("WARC-Type", "WARC-Record-ID: <urn:", "WARC-Date: 20", "WARC-Target-URI: ", "Content-Length: ", "WARC-Payload-Digest: sha1:"):
+            assert h.count(name) == 1, (name, h)
+    assert any("WARC-Target-URI: http://a.b/c%20d\r\n" in h for h in heads) and any("WARC-Target-URI: urn:page:2\r\n" in h for h in heads)
+
+
+def test_revisits_are_held_against_their_responses(spark, tmp_path):
+    at = Scratch(spark, "warc-test").path("archives")
+    warc.write(spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "page_id long, html string"), at)
+    text = "".join(r.value for r in spark.read.text(at, wholetext=True).collect())
+    broken = text.replace("<urn:page:2>\r\nWARC-Profile", "<urn:page:3>\r\nWARC-Profile")
+    assert broken != text
+    (tmp_path / "broken.warc").write_bytes(broken.encode())
+    rows = {r.page_id: r for r in warc.read(spark, f"file://{tmp_path}").collect()}
+    assert (rows[1].record_type, rows[1].payload_bytes, rows[1].payload_digest) == ("revisit", None, None) and rows[2].payload_bytes == 1
+
+
 def test_no_pages(spark):
     assert archived(spark, [])[1].count() == 0
 
@@ -82,8 +105,9 @@ TEXTS = [None, "", "a", "b" * 64, "b" * 65, "é😀" * 999, "a", "\x00\xff", "x"
 def test_media_round_trip(spark, monkeypatch):
     monkeypatch.setattr(media, "SHARD_BYTES", 2000)
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(TEXTS)], "doc_id long, text string, digest string")
-    index = media.store(docs)
-    rows = media.features(media.headers(index)).orderBy("doc_id").collect()
+    names, stored = media.store(docs)
+    assert stored.select("digest").distinct().count() == stored.count() == len({media.payload((t or '').encode()) for t in TEXTS})
+    rows = names.join(media.features(media.headers(stored)), "digest").orderBy("doc_id").collect()
     assert [r.doc_id for r in rows] == list(range(len(TEXTS)))
     for r, t in zip(rows, TEXTS, strict=True):
         raw = (t or "").encode()
@@ -99,8 +123,28 @@ def test_media_round_trip(spark, monkeypatch):
         assert (member.offset_data, member.size) == (r.offset, r.length) and r.media_bytes == len(image)
         assert r.media_sha256 == hashlib.sha256(image).hexdigest() and media.from_png(image).tobytes() == whole
     same = {r.doc_id: r for r in rows}
-    assert same[2][6:] == same[6][6:] and same[0].feature == same[1].feature
-    assert media.features(media.store(docs.limit(0))).count() == 0
+    assert same[2][3:] == same[6][3:] and same[0].feature == same[1].feature
+    for x in media.store(docs.limit(0)):
+        assert x.count() == 0
+
+
+def test_each_content_is_stored_once_over_all_tasks(spark):
+    texts = [f"copy {i % 7} " * 30 for i in range(400)] + [f"single {i}" for i in range(100)]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(8)
+    names, stored = media.store(docs)
+    assert stored.count() == stored.select("digest").distinct().count() == 107
+    rows = names.join(media.features(stored), "digest").collect()
+    assert {r.doc_id: r.payload_sha256 for r in rows} == {str(i): hashlib.sha256(media.payload(t.encode())).hexdigest() for i, t in enumerate(texts)}
+
+
+def test_features_by_brute_force(spark):
+    texts = ["a", "zz" * 70, "é" * 500, ""]
+    names, stored = media.store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for r in names.join(media.features(stored), "digest").collect():
+        samples = media.payload(texts[r.doc_id].encode())
+        columns = [sum(samples[c::64]) for c in range(64)]
+        bright = sum(1 << (63 - c) for c in range(64) if columns[c] * 64 > sum(columns))
+        assert r.feature == f"64x{len(samples) // 64}:{sum(samples) / len(samples):.4f}:{bright:016x}"
 
 
 def test_media_query(spark, sf_dir):
@@ -108,13 +152,28 @@ def test_media_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     assert len(rows) == len(docs)
     for d in docs:
-        assert rows[d.doc_id].payload_sha256 == hashlib.sha256(media.payload(d.text)).hexdigest()
+        assert rows[d.doc_id].payload_sha256 == hashlib.sha256(media.payload((d.text or "").encode())).hexdigest()
+
+
+def packed(vectors, residual):
+    """Largest first; the shard with the highest dot product among those that fit, or among all."""
+    out = {}
+    for i in sorted(range(len(vectors)), key=lambda i: -max(vectors[i])):
+        fit = [s for s in range(len(residual)) if all(r >= v - 1e-9 for r, v in zip(residual[s], vectors[i], strict=True))]
+        out[i] = max(fit or range(len(residual)), key=lambda s: (sum(r * v for r, v in zip(residual[s], vectors[i], strict=True)), -s))
+        residual[out[i]] = [r - v for r, v in zip(residual[out[i]], vectors[i], strict=True)]
+    return [out[i] for i in range(len(vectors))]
 
 
-def test_packing_places_by_dot_product():
-    v = np.array([[4.0, 1, 1], [4, 1, 1], [1, 4, 1], [1, 4, 1]])
-    at = sharding.pack(v, 2)
-    assert at[0] != at[1] and at[2] != at[3]
+def test_packing_by_brute_force():
+    rng = np.random.default_rng(3)
+    for n, k in ((0, 8), (1, 8), (40, 3), (300, 8)):
+        v = rng.integers(1, 64, size=(n, 3)) / 64  # sums of these are exact
+        assert sharding.pack(v, np.full((k, 3), n / k)).tolist() == packed(v.tolist(), [[n / k] * 3 for _ in range(k)])
+        at = sharding.pack_batch(v, np.ones((k, 3)), 2) if n else np.zeros(0)
+        if n > 100:
+            sums = np.stack([v[at == s].sum(axis=0) for s in range(k)])
+            assert (abs(sums / sums.mean(axis=0) - 1) < 0.05).all()
 
 
 def test_shards(spark, sf_dir):
@@ -141,6 +200,10 @@ def test_hot_group_is_cut(spark):
     counts = [sum(r.shard == s for r in rows) for s in range(8)]
     assert max(counts) - min(counts) < 40
     assert sharding.shard(docs.limit(0)).count() == 0
+    whole = collections.defaultdict(set)
+    for r in sharding.shard(docs, cut=None).collect():
+        whole[r.text_crc32].add(r.shard)
+    assert all(len(x) == 1 for x in whole.values())
 
 
 @pytest.mark.parametrize("n", [1, 2])
