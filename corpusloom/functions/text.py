@@ -1,6 +1,6 @@
 """Text functions as Spark columns: tokenizers, normal forms, anchors and numbers.
 
-Built-in functions throughout; see ``udfs`` for the two that Spark has no built-in for.
+Built-in functions throughout.
 """
 
 from __future__ import annotations
@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 
 CJK = "\\x{4E00}-\\x{9FFF}"
 
+# The shapes of tokens, of quoted terms and of what separates and surrounds their parts.
+INDEX_TOKEN = f"[A-Za-z]+[0-9]+|[0-9]+(?:\\.[0-9]+)?%?|[A-Za-z]+|[{CJK}]"
+CARD_TOKEN = f"\\d+(?:\\.\\d+)?%?|[A-Za-z]+|[{CJK}]+"
+QUOTED = "[‘’“\"《]([^’”\"》]{2,24})[’”\"》]"
+QUOTED_ANCHOR, ANCHOR_SEPARATOR, ANCHOR_EDGE = "[“\"]([^”\"]{2,80})[”\"]", "[、,，/]|或|以及|等", "^[\\s‘’'（(]+|[\\s‘’'）)]+$"
+
 # Groups of query words that stand for each other.
 SYNONYMS = (
     ("一季度", "第一季度", "q1", "1-3月", "1至3月"),
@@ -54,7 +60,7 @@ def _is_cjk(token: Column) -> Column:
 
 def raw_tokens(text: Column) -> Column:
     plain = F.translate(F.coalesce(text, F.lit("")), "％，", "%,")
-    return all_matches(plain, f"[A-Za-z]+[0-9]+|[0-9]+(?:\\.[0-9]+)?%?|[A-Za-z]+|[{CJK}]")
+    return all_matches(plain, INDEX_TOKEN)
 
 
 def tokens(text: Column) -> Column:
@@ -101,7 +107,7 @@ def query_tokens(text: Column, synonyms=SYNONYMS) -> Column:
 def card_tokens(text: Column) -> Column:
     """Tokens of clause cards: letters and digits apart, CJK runs as characters and pairs that stand together in the text."""
     plain = F.translate(F.coalesce(text, F.lit("")), "％", "%")
-    found = all_matches(plain, f"\\d+(?:\\.\\d+)?%?|[A-Za-z]+|[{CJK}]+")
+    found = all_matches(plain, CARD_TOKEN)
 
     def of(run: Column) -> Column:
         chars = F.filter(F.split(run, ""), lambda c: c != "")
@@ -117,22 +123,22 @@ def numbers_with_units(text: Column) -> Column:
 
 
 def quoted_keywords(text: Column, most: int = 8) -> Column:
-    """Terms of 2 to 24 characters in quotation marks, each once, the first few."""
-    return F.slice(F.array_distinct(all_matches(F.coalesce(text, F.lit("")), "[“\"《「]([^”\"》」]{2,24})[”\"》」]", 1)), 1, most)
+    """Terms of 2 to 24 characters in quotation marks, trimmed, each once, the first few."""
+    trimmed = F.transform(all_matches(F.coalesce(text, F.lit("")), QUOTED, 1), strip)
+    return F.slice(F.array_distinct(F.filter(trimmed, lambda x: x != "")), 1, most)
 
 
 def anchors(text: Column) -> Column:
     """Parts of quoted terms, split at separators and trimmed of quotation marks and brackets, each once."""
-    quoted = all_matches(F.coalesce(text, F.lit("")), "[“\"]([^”\"]{2,80})[”\"]", 1)
-    parts = F.flatten(F.transform(quoted, lambda q: F.split(q, "[、,，/]|或|以及|等")))
-    bare = F.transform(parts, lambda p: F.regexp_replace(p, "^[\\s‘’'（(]+|[\\s‘’'）)]+$", ""))
+    parts = F.flatten(F.transform(all_matches(F.coalesce(text, F.lit("")), QUOTED_ANCHOR, 1), lambda q: F.split(q, ANCHOR_SEPARATOR)))
+    bare = F.transform(parts, lambda p: F.regexp_replace(p, ANCHOR_EDGE, ""))
     return F.array_distinct(F.filter(bare, lambda p: (F.length(p) >= 2) & ~p.isin(*GENERAL_WORDS)))
 
 
 def without_numbers(text: Column) -> Column:
-    """The query without digits and number signs, if that changes it and leaves 8 characters; else null."""
-    bare = F.regexp_replace(text, "[0-9.,%％]", " ")
-    return F.when((bare != text) & (F.length(F.trim(bare)) >= 8), bare)
+    """The query with each run of digits and number signs as one blank, if that changes it and leaves 8 characters; else null."""
+    bare = F.regexp_replace(text, "[0-9.,%％]+", " ")
+    return F.when((bare != text) & (F.length(strip(bare)) >= 8), bare)
 
 
 def shared_phrases(query: Column, text: Column, longest: int = 10) -> Column:
@@ -192,10 +198,67 @@ SEVERAL_SOURCES = (
 )
 
 
+# Wordings by which routing takes a question to be on several documents.
+SEVERAL_DOCUMENTS = "(?:两|三|四|几|多)(?:家|份|款|类|个)[^\\n。？?]{0,18}(?:公司|产品|文件|报告|机构|募集说明书|合同)|以下三份|各文件|与各文件|两家公司|四家"
+
+
 def wants_several_sources(text: Column) -> Column:
     return text.rlike(SEVERAL_SOURCES)
 
 
+def wants_several_documents(text: Column) -> Column:
+    """What routing by company and by policy goes by."""
+    return text.rlike(SEVERAL_DOCUMENTS)
+
+
+# Words of titles that name no company or product, in the order in which they are taken out.
+TITLE_WORDS = ("股份有限公司", "有限责任公司", "有限公司", "募集说明书", "年度报告", "研究报告", "首次覆盖报告", "公开发行", "面向专业投资者", "公司债券")
+SHARED_FROM, SHARED_TO = 4, 14
+
+
+def title_identity(text: Column) -> Column:
+    """Letters, digits and CJK characters, without the words that name nothing."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), f"[^0-9A-Za-z{CJK}]+", "")
+    for word in TITLE_WORDS:
+        out = F.replace(out, F.lit(word), F.lit(""))
+    return out
+
+
+def names_title(option: Column, title: Column) -> Column:
+    """Whether the identities of an option and a title share a literal of SHARED_FROM characters; longer ones hold such a one."""
+    left, right = title_identity(option), title_identity(title)
+    starts = F.sequence(F.lit(1), F.greatest(F.length(left) - (SHARED_FROM - 1), F.lit(1)))
+    shared = F.exists(starts, lambda i: (F.length(left) >= SHARED_FROM) & F.contains(right, F.substr(left, i, F.lit(SHARED_FROM))))
+    return shared & (F.length(right) >= SHARED_FROM)
+
+
+# The shapes of credentials that must not be in a record.
+KEY = "\\bsk-[A-Za-z0-9_-]{8,}\\b"
+CREDENTIAL_HEADER = "(?i)(?:authorization|x-api-key|api[_ -]?key)[\"']?\\s*[:=]\\s*[\"']?(?!\\[REDACTED\\])[^\\s,;}'\"]+"
+
+
+def leaks_credentials(text: Column) -> Column:
+    """Whether a text has a key token, or a credential header whose value isn't redacted."""
+    return F.coalesce(text.rlike(KEY) | text.rlike(CREDENTIAL_HEADER), F.lit(False))
+
+
+def question_surface(question: Column, options: Column, separator: str = "\n") -> Column:
+    """The question and its options' texts in their order, from ``options`` an array of structs with ``text``."""
+    none = F.array().cast("array<string>")
+    return F.array_join(F.concat(F.array(F.coalesce(question, F.lit(""))), F.coalesce(F.transform(options, lambda o: o["text"]), none)), separator)
+
+
+def ids_in_prose(text: Column) -> Column:
+    """The strings of the first JSON list in a text, null if it has none that is a list."""
+    return F.from_json(F.regexp_extract(F.coalesce(text, F.lit("")), "(?s)\\[.*?\\]", 0), "array<string>")
+
+
+def safe_path(path: Column) -> Column:
+    """Whether a path stays below the folder that it is taken from: relative, without steps ``.`` and ``..``, not empty."""
+    steps = F.split(path, "/", -1)
+    return F.coalesce((F.trim(path) != "") & ~path.rlike("^([A-Za-z]:)?[/\\\\]") & ~F.arrays_overlap(steps, F.array(F.lit("."), F.lit(".."), F.lit(""))), F.lit(False))
+
+
 def contents_like(text: Column) -> Column:
     """Whether a chunk looks like a table of contents."""
     return (F.regexp_count(text, F.lit("……")) >= 3) | (F.regexp_count(text, F.lit("\\.{3}")) >= 6) | (F.regexp_count(text, F.lit("(?m)^[图表]：")) >= 4)
@@ -203,7 +266,7 @@ def contents_like(text: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """Credentials replaced: key tokens and the values of credential headers."""
-    keys = F.regexp_replace(text, "\\bsk-[A-Za-z0-9_-]{8,}\\b", "[REDACTED]")
+    keys = F.regexp_replace(text, KEY, "[REDACTED]")
     header = "(?i)((?:authorization|x-api-key|api[_ -]?key)[\"']?\\s*[:=]\\s*[\"']?)(?:bearer\\s+)?([^\\s,;}'\"]+)"
     return F.regexp_replace(keys, header, "$1[REDACTED]")
 

@@ -69,8 +69,8 @@ def cover(packed: DataFrame, best: DataFrame, budget: int) -> DataFrame:
 
 def rendered(kept: DataFrame) -> DataFrame:
     """``qid, block`` from ``qid, doc_id, page, ord, text``: pieces in the order of document, page and chunk under their tags."""
-    tag = F.when(F.coalesce("page", F.lit(0)) > 0, F.concat(F.lit("P"), F.col("page").cast("string"))).otherwise(F.concat(F.lit("#c"), F.col("ord").cast("string")))
-    piece = F.concat(F.lit("【"), "doc_id", F.lit(" "), tag, F.lit("】"), "text")
+    tag = F.when(F.coalesce("page", F.lit(0)) > 0, F.concat(F.lit(" P"), F.col("page").cast("string"))).otherwise(F.concat(F.lit("#c"), F.col("ord").cast("string")))
+    piece = F.concat(F.lit("【"), "doc_id", tag, F.lit("】"), "text")
     row = F.struct(F.col("doc_id"), F.coalesce("page", F.lit(0)).alias("page"), F.col("ord"), piece.alias("piece"))
     return kept.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["piece"]), "\n\n").alias("block"))
 

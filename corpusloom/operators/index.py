@@ -6,6 +6,10 @@ one for each document over its chunks, and one for each domain are the same rela
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,27 +67,69 @@ def query_terms(queries: DataFrame, text_col: str = "query") -> DataFrame:
     return queries.select("qid", F.explode(query_tokens(F.col(text_col))).alias("tok")).groupBy("qid", "tok").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def scores(units: DataFrame, queries: DataFrame, text_col: str = "text", query_col: str = "query") -> DataFrame:
+#: Most query terms that are broadcast as arrays; a larger set of queries is joined.
+MOST_TERMS = 1 << 20
+
+
+def scores(units: DataFrame, queries: DataFrame, text_col: str = "text", query_col: str = "query", within: DataFrame | None = None) -> DataFrame:
     """``qid, index_key, unit, score``, positive BM25 scores rounded to 6 decimals.
 
     Texts are tokenized once, into an index that is written packed, a row a unit; lengths are read from it without the tokens.
     Only postings of the queries' tokens are kept of it: the distinct query tokens are the small side of a semi-join, which AQE
-    broadcasts where they measure small. Document frequencies and scores come from these.
+    broadcasts where they measure small. Document frequencies and scores come from these. Given ``within (qid, index_key)``, a query is
+    scored in those indexes alone. Without, each unit meets all queries that share a token with it: up to MOST_TERMS query terms, by
+    their count, are sent to the tasks and a unit's scores are summed within its row; more are joined.
     """
     scratch = Scratch(units.sparkSession, "index")
-    terms = query_terms(queries, query_col)
+    terms = scratch.keep(query_terms(queries, query_col), "terms")
     index = scratch.keep(packed(units, text_col), "units")
     hits = scratch.keep(unpacked(index).join(terms.select("tok").distinct(), "tok", "left_semi").select("index_key", "unit", "tok", "tf", "dl"), "hits")
     df = document_frequency(hits)
     stats = stats_of(index)
     tf, dl = F.col("tf"), F.col("dl")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
+    gain = weight(F.col("tok")) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
     gains = hits.join(df, ["index_key", "tok"]).join(stats, "index_key").select("index_key", "unit", "tok", gain.alias("gain"))
-    each = gains.join(terms, "tok").select("qid", "index_key", "unit", (F.col("qtf") * weight(F.col("tok")) * F.col("gain")).alias("part"))
+    if within is None and terms.count() <= MOST_TERMS:
+        return _summed_in_rows(gains, terms)
+    joined = gains.join(terms, "tok") if within is None else gains.join(terms.join(within.distinct(), "qid"), ["index_key", "tok"])
+    each = joined.select("qid", "index_key", "unit", (F.col("qtf") * F.col("gain")).alias("part"))
     return each.groupBy("qid", "index_key", "unit").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
+def _summed_in_rows(gains: DataFrame, terms: DataFrame) -> DataFrame:
+    """scores() of units whose gains are brought to one row each, at most as many as the queries have tokens."""
+    sent = terms.orderBy("tok", "qid").toArrow()
+    toks, first = np.unique(np.array(sent["tok"].to_pylist(), dtype=object), return_index=True) if sent.num_rows else (np.array([], dtype=object), np.array([], dtype=int))
+    qids, query = np.unique(np.array(sent["qid"].to_pylist(), dtype=object), return_inverse=True) if sent.num_rows else (np.array([], dtype=object), np.array([], dtype=int))
+    kind = sent.schema.field("qid").type
+    ends = np.append(first[1:], sent.num_rows)
+    place = {t: (int(a), int(b)) for t, a, b in zip(toks, first, ends, strict=True)}
+    shared = gains.sparkSession.sparkContext.broadcast((place, query, sent["qtf"].to_numpy(), pa.array(qids.tolist(), kind)))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, query, times, names = shared.value
+        for batch in batches:
+            rows, at, score = [], [], []
+            for i, found in enumerate(batch.column(2)):
+                cuts = [place[x["tok"]] for x in found.as_py()]
+                parts = np.concatenate([times[a:b] * x["gain"] for (a, b), x in zip(cuts, found.as_py(), strict=True)])
+                which = np.concatenate([query[a:b] for a, b in cuts])
+                total = np.bincount(which, weights=parts, minlength=len(names))
+                met = np.unique(which)
+                rows.append(np.full(len(met), i))
+                at.append(met)
+                score.append(total[met])
+            if rows:
+                of = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(at))), batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(score))], ["qid", "index_key", "unit", "score"])
+
+    units = gains.groupBy("index_key", "unit").agg(F.sort_array(F.collect_list(F.struct("tok", "gain"))).alias("found"))
+    types = {f.name: f.dataType.simpleString() for f in [*gains.schema, *terms.schema]}
+    out = units.mapInArrow(add, f"qid {types['qid']}, index_key {types['index_key']}, unit {types['unit']}, score double")
+    return out.withColumn("score", F.round("score", 6))
+
+
 def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("qid", "index_key"), tie: str = "unit") -> DataFrame:
     """The first k units of each group with their rank; ties go to the smaller unit, scores of 0 are left out."""
     order = Window.partitionBy(*by).orderBy(F.desc("score"), tie)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import wants_several_sources
+from corpusloom.functions.text import wants_several_documents
 
 MOST_BY_COMPANY, MOST_BY_POLICY, MOST_PICKED = 8, 10, 4
 
@@ -39,11 +39,10 @@ def coarse(docs: DataFrame, ranked: DataFrame, questions: DataFrame, k: int = 12
 def quoted(questions: DataFrame, docs: DataFrame) -> DataFrame:
     """``qid, doc_ids`` for questions whose ``anchors`` each occur in exactly one document's ``surface``.
 
-    A question with an anchor in no document or in several is left out. The questions' anchors are the small side of the
-    containment join; documents are scanned once.
+    A question with an anchor in no document or in several is left out. Spark broadcasts the smaller side of the containment join.
     """
     anchors = questions.select("qid", F.posexplode("anchors").alias("pos", "anchor"))
-    hits = docs.join(F.broadcast(anchors), F.contains(F.col("surface"), F.col("anchor")))
+    hits = docs.join(anchors, F.contains(F.col("surface"), F.col("anchor")))
     by_anchor = hits.groupBy("qid", "pos").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
     every = anchors.select("qid", "pos").join(by_anchor, ["qid", "pos"], "left")
     picked = every.groupBy("qid").agg(F.bool_and(F.coalesce(F.col("n") == 1, F.lit(False))).alias("clear"), F.array_sort(F.collect_list(F.struct("pos", "doc_id"))).alias("d"))
@@ -64,8 +63,8 @@ def by_company(questions: DataFrame, identities: DataFrame, years: tuple[str, ..
     document, more than MOST_BY_COMPANY, or one where several are asked for: no decision.
     """
     aliases = identities.select("domain", "company_key", F.explode("aliases").alias("alias")).distinct()
-    named = questions.join(F.broadcast(aliases), "domain").filter(F.contains("normal", F.col("alias"))).select("qid", "domain", "company_key").distinct()
-    q = questions.withColumn("several", wants_several_sources(F.col("text"))).withColumn("asked", F.regexp_extract_all("text", F.lit("(20\\d{2})"), F.lit(1)))
+    named = questions.join(aliases, "domain").filter(F.contains("normal", F.col("alias"))).select("qid", "domain", "company_key").distinct()
+    q = questions.withColumn("several", wants_several_documents(F.col("text"))).withColumn("asked", F.regexp_extract_all("text", F.lit("(20\\d{2})"), F.lit(1)))
     docs = named.join(identities.select("domain", "company_key", "doc_id", "pos", "year"), ["domain", "company_key"]).join(q, ["qid", "domain"])
     in_year = F.array_contains("asked", F.col("year"))
     w = Window.partitionBy("qid")
@@ -88,14 +87,14 @@ def by_policy(questions: DataFrame, policies: DataFrame) -> DataFrame:
     alias = policies.select("doc_id", F.explode("aliases").alias("alias"))
     owners = alias.groupBy("alias").agg(F.countDistinct("doc_id").alias("owners"))
     branded = policies.select("doc_id", F.explode("aliases").alias("alias"), F.explode(F.concat("brands", F.array(F.lit(None).cast("string")))).alias("brand"))
-    hit = F.broadcast(branded.join(owners, "alias")).join(questions.select("qid", "normal"), F.contains("normal", F.col("alias")))
+    hit = branded.join(owners, "alias").join(questions.select("qid", "normal"), F.contains("normal", F.col("alias")))
     hit = hit.withColumn("by_brand", F.coalesce(F.contains("normal", F.concat("brand", "alias")), F.lit(False)))
     hit = hit.withColumn("claimed", F.max("by_brand").over(Window.partitionBy("qid", "alias")))
     good = hit.filter(F.col("by_brand") | (F.col("owners") == 1) | ~F.col("claimed")).select("qid", "doc_id")
-    whole = F.broadcast(policies.select("doc_id", "product")).join(questions.select("qid", "normal"), (F.col("product") != "") & F.contains("normal", F.col("product"))).select("qid", "doc_id")
+    whole = policies.select("doc_id", "product").join(questions.select("qid", "normal"), (F.col("product") != "") & F.contains("normal", F.col("product"))).select("qid", "doc_id")
     found = good.unionByName(whole).distinct().join(policies.select("doc_id", "pos"), "doc_id")
     out = found.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "doc_id"))), lambda x: x["doc_id"]).alias("doc_ids"))
-    out = out.join(questions.select("qid", wants_several_sources(F.col("text")).alias("several")), "qid")
+    out = out.join(questions.select("qid", wants_several_documents(F.col("text")).alias("several")), "qid")
     return out.filter((F.size("doc_ids") <= MOST_BY_POLICY) & ~(F.col("several") & (F.size("doc_ids") < 2))).select("qid", "doc_ids")
 
 

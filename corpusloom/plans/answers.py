@@ -140,13 +140,16 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """WITH q AS (SELECT item_id, regexp_replace(left(text, 24), '\\s+', '', 'g') AS q, right(text, 80) AS t FROM benchmark),
+    """WITH q AS (SELECT a.item_id, regexp_replace(a.text, '\\s+', '', 'g') AS q, b.text AS t FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
 r AS (SELECT item_id, t, unnest(regexp_extract_all(q, '[A-Za-z0-9.%％一-鿿]+')) AS run FROM q),
-c AS (SELECT DISTINCT item_id, substr(run, i, n) AS p, t FROM r, (SELECT unnest(range(1, 25)) AS i), (SELECT unnest(range(2, 11)) AS n) WHERE i + n - 1 <= length(run)),
+c AS (SELECT DISTINCT item_id, substr(run, i, n) AS p, t FROM r, (SELECT unnest(range(1, 1001)) AS i), (SELECT unnest(range(2, 11)) AS n) WHERE i + n - 1 <= length(run)),
 hit AS (SELECT item_id, p FROM c WHERE contains(t, p)),
 top AS (SELECT a.item_id, a.p FROM hit a WHERE NOT EXISTS (SELECT 1 FROM hit b WHERE b.item_id = a.item_id AND b.p <> a.p AND contains(b.p, a.p)))
 SELECT item_id, coalesce(string_agg(p, ' ' ORDER BY p), '') AS phrases FROM benchmark LEFT JOIN top USING (item_id) GROUP BY item_id"""
 )
 def phrase_maximal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases that each item shares with the next one; the SQL reads runs of up to 1,000 characters, over twice the longest item."""
     items = spread(table(spark, sf_dir, "benchmark"))
-    return items.select("item_id", F.array_join(F.array_sort(T.shared_phrases(F.substring("text", 1, 24), F.expr("right(text, 80)"))), " ").alias("phrases"))
+    following = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next"))
+    pairs = items.join(following, "item_id", "left").select("item_id", T.shared_phrases(F.col("text"), F.col("next")).alias("p"))
+    return pairs.select("item_id", F.array_join(F.array_sort(F.coalesce("p", F.array().cast("array<string>"))), " ").alias("phrases"))

@@ -67,7 +67,11 @@ def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.manifest_diff(A.manifest(d.filter("doc_id % 10 <> 3"), content="text"), A.manifest(d.filter("doc_id % 10 <> 5").withColumn("text", text), content="text"))
 
 
-@register("SELECT source, count(*)::BIGINT AS n, sha256(string_agg(path || chr(0) || s || chr(10), '' ORDER BY path)) AS tree_sha256 FROM (SELECT source, doc_id::VARCHAR AS path, sha256(text) AS s FROM documents) GROUP BY source")
+@register(
+    """WITH e AS (SELECT source, doc_id::VARCHAR AS path, sha256(text) AS s FROM documents),
+b AS (SELECT source, left(md5(path), 2) AS block, count(*) AS n, sha256(string_agg(path || chr(0) || s || chr(10), '' ORDER BY path)) AS digest FROM e GROUP BY ALL)
+SELECT source, sum(n)::BIGINT AS n, sha256(string_agg(digest, '' ORDER BY block)) AS tree_sha256 FROM b GROUP BY source"""
+)
 def tree_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(table(spark, sf_dir, "documents"))
     entries = d.select("source", F.col("doc_id").cast("string").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))

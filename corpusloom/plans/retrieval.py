@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import chunk, evidence, index, route
 from corpusloom.plans.catalogue import register
-from corpusloom.session import spread, table
+from corpusloom.session import Scratch, ship, spread, table
 
 #: DuckDB's spelling of the index tokenizer for texts without CJK characters, and of token weights.
 TOKENS = "list_transform(regexp_extract_all(replace(replace(text, '％', '%'), '，', ','), '[A-Za-z]+[0-9]+|[0-9]+(?:\\.[0-9]+)?%?|[A-Za-z]+|[一-鿿]'), lambda x: lower(x))"
@@ -17,7 +17,6 @@ POSTINGS = f"""
 tokened AS (SELECT doc_id, lang, {TOKENS} AS toks FROM documents),
 tf AS (SELECT doc_id, lang, tok, count(*) AS tf FROM (SELECT doc_id, lang, unnest(toks) AS tok FROM tokened) GROUP BY ALL),
 dl AS (SELECT doc_id, lang, len(toks) AS dl FROM tokened)"""
-QUERY_LENGTH = 80
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +28,9 @@ def _units(docs: DataFrame, key=None) -> DataFrame:
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     items = table(spark, sf_dir, "benchmark")
-    return items.select(F.col("item_id").alias("qid"), F.substring("text", 1, QUERY_LENGTH).alias("query"))
+    return items.select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
 @register(f"WITH {POSTINGS} SELECT doc_id, dl::BIGINT AS n_tokens, len(list_distinct(toks))::BIGINT AS n_kinds FROM tokened JOIN dl USING (doc_id, lang)")
@@ -50,7 +50,7 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.unit_stats(spread(_units(_documents(spark, sf_dir), "lang"))).select("index_key", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
-def bm25_sql(key: str, last: str, query: str = f"left(text, {QUERY_LENGTH})") -> str:
+def bm25_sql(key: str, last: str, query: str = "text") -> str:
     return f"""
 WITH {POSTINGS},
 keyed AS (SELECT {key} AS index_key, doc_id AS unit, tok, tf, dl FROM tf JOIN dl USING (doc_id, lang)),
@@ -161,18 +161,19 @@ SELECT qid AS item_id, unit AS doc_id, row_number() OVER (PARTITION BY qid ORDER
 def coarse_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     scored = index.scores(_units(docs), _queries(spark, sf_dir)).join(docs.select(F.col("doc_id").alias("unit"), "lang"), "unit")
+    scored = Scratch(spark, "scored").keep(scored, "scored")  # two rankings read them
     full = index.top(scored, 4).select("qid", "unit", F.col("rank").alias("pos"))
     by_lang = index.top(scored, 1, by=("qid", "lang")).select("qid", "unit", (F.col("rank") + 100).alias("pos"))
     return route.first_seen(full.unionByName(by_lang)).select(F.col("qid").alias("item_id"), F.col("unit").alias("doc_id"), "ord")
 
 
 @register(
-    """WITH a AS (SELECT item_id, lower(left(text, 60)) AS anchor FROM benchmark),
+    """WITH a AS (SELECT item_id, lower(text) AS anchor FROM benchmark),
 hits AS (SELECT item_id, doc_id, count(*) OVER (PARTITION BY item_id) AS n FROM a JOIN documents d ON contains(lower(d.text), anchor))
 SELECT item_id, doc_id FROM hits WHERE n = 1"""
 )
 def quoted_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array(F.lower(F.substring("text", 1, 60))).alias("anchors"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array(F.lower("text")).alias("anchors"))
     docs = _documents(spark, sf_dir).select("doc_id", F.lower("text").alias("surface"))
     return route.quoted(items, docs).select(F.col("qid").alias("item_id"), F.explode("doc_ids").alias("doc_id"))
 

@@ -53,12 +53,12 @@ def line_glue_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH p AS (SELECT doc_id, page, {STRIP.format('line')} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents WHERE length(text) <= 1400) WHERE {STRIP.format('line')} <> ''),
+    f"""WITH p AS (SELECT doc_id, page, {STRIP.format('line')} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents) WHERE {STRIP.format('line')} <> ''),
 SELECT 1""".replace(",\nSELECT 1", "\nSELECT doc_id, count(*)::BIGINT AS n_pages, min(page)::INT AS first_page, max(page)::INT AS last_page, sum(length(t))::BIGINT AS n_chars FROM p GROUP BY doc_id")
 )
 def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with a page mark before each line: every line is a page of its own."""
-    d = table(spark, sf_dir, "documents").filter(F.length("text") <= chunk.MOST)
+    d = table(spark, sf_dir, "documents")
     marked = F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(F.lit("[P"), (i + 1).cast("string"), F.lit("]\n"), x)), "\n")
     rows = chunk.chunks(spread(d).select("doc_id", marked.alias("text")))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.sum(F.length("text")).alias("n_chars"))
@@ -218,17 +218,18 @@ def index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """WITH p AS (SELECT item_id, b.text AS q, d.text AS t FROM benchmark b JOIN documents d ON d.doc_id = item_id),
-k AS (SELECT item_id, unnest(list_transform(regexp_extract_all(q, '[0-9]+(?:\\.[0-9]+)?%?|[A-Za-z]+'), lambda x: lower(x))) AS tok, 'q' AS side FROM p UNION ALL SELECT item_id, unnest(list_transform(regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)?%?|[A-Za-z]+'), lambda x: lower(x))), 't' FROM p),
-c AS (SELECT item_id, tok, count(*) FILTER (side = 'q') AS n, count(*) FILTER (side = 't') AS m FROM k GROUP BY ALL)
-SELECT item_id, round(sum(least(n, m) * CASE WHEN regexp_matches(tok, '^[0-9]|%$') THEN 4.0 ELSE 0.6 END), 3)::DOUBLE AS overlap FROM c GROUP BY item_id"""
+    """WITH q AS (SELECT item_id, unnest(list_transform(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?%?|[A-Za-z]+'), lambda x: lower(x))) AS tok FROM benchmark),
+d AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?%?|[A-Za-z]+'), lambda x: lower(x))) AS tok FROM documents),
+a AS (SELECT item_id, tok, count(*) AS n FROM q GROUP BY ALL), b AS (SELECT doc_id, tok, count(*) AS m FROM d GROUP BY ALL),
+s AS (SELECT item_id, doc_id, round(sum(least(n, m) * CASE WHEN regexp_matches(tok, '^[0-9]|%$') THEN 4.0 ELSE 0.6 END), 3)::DOUBLE AS overlap FROM a JOIN b USING (tok) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS place FROM s)
+SELECT item_id, doc_id, overlap, place::INT AS place FROM r WHERE place <= 24"""
 )
 def card_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The token part of a card's score, for each benchmark item and the document of its number."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
-    pairs = items.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text"), "item_id")
-    toks = pairs.select("item_id", T.card_tokens(F.col("q")).alias("a"), T.card_tokens(F.col("text")).alias("b"))
-    return toks.select("item_id", F.round(cards.token_overlap(F.col("a"), F.col("b")), 3).alias("overlap"))
+    """The documents that share most tokens with each benchmark item, as cards are ranked, among all documents."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return cards.overlaps(items, docs, cards.MOST_CARDS).select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), "overlap", "place")
 
 
 @register()
