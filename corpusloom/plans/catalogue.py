@@ -22,4 +22,4 @@ def register(sql: str | None = None):
     return add
 
 
-from corpusloom.plans import answers, audit, retrieval, structure  # noqa: E402, F401  (they register their queries)
+from corpusloom.plans import answers, audit, provenance, retrieval, structure  # noqa: E402, F401  (they register their queries)
