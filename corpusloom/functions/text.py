@@ -226,10 +226,10 @@ def title_identity(text: Column) -> Column:
 
 def names_title(option: Column, title: Column) -> Column:
     """Whether the identities of an option and a title share a literal of SHARED_FROM characters; longer ones hold such a one."""
-    left, right = title_identity(option), title_identity(title)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(left) - (SHARED_FROM - 1), F.lit(1)))
-    shared = F.exists(starts, lambda i: (F.length(left) >= SHARED_FROM) & F.contains(right, F.substr(left, i, F.lit(SHARED_FROM))))
-    return shared & (F.length(right) >= SHARED_FROM)
+    # bound as elements of arrays, so that an inner function reads their values and doesn't make them again for each place
+    both = F.transform(F.array(F.struct(title_identity(option).alias("a"), title_identity(title).alias("b"))), lambda p: F.when(F.length(p["a"]) <= F.length(p["b"]), p).otherwise(F.struct(p["b"].alias("a"), p["a"].alias("b"))))
+    places = lambda p: F.sequence(F.lit(1), F.greatest(F.length(p["a"]) - (SHARED_FROM - 1), F.lit(1)))
+    return F.exists(both, lambda p: (F.length(p["a"]) >= SHARED_FROM) & F.exists(places(p), lambda i: F.contains(p["b"], F.substr(p["a"], i, F.lit(SHARED_FROM)))))
 
 
 # The shapes of credentials that must not be in a record.
