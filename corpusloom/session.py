@@ -39,13 +39,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    root = spark.sparkContext.getCheckpointDir()
-    if root is None:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may go without, and gets a folder of its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
         root = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="corpusloom-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return root
+        if root is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="corpusloom-"))
+    return sc.getCheckpointDir()
 
 
 class Scratch:
