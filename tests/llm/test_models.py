@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import re
 
 import numpy as np
 import public_tokenizers
@@ -244,6 +245,24 @@ int main() {}"""
     }
 
 
+def test_cosines_by_brute_force(spark):
+    notices = ["Released under the MIT License.", "Licensed under CC BY 4.0. Copyright somebody", "prose about a licence of nobody", "This work is licensed under the GNU General Public License, version 3. Yes", (licenses.TEXTS / "MIT.txt").read_text(), (licenses.TEXTS / "MPL-2.0.txt").read_text()[:4000], "Released under the MIT License."]
+    count = lambda t: collections.Counter(re.findall(licenses.TERM, t.lower()))
+    templates = [(name, count(text)) for name, text in licenses._templates()]
+    known = {t for _, c in templates for t in c}
+    idf = {t: math.log((1 + len(notices)) / (1 + sum(t in count(x) for x in notices))) + 1 for t in known}
+    weigh = lambda c: {t: n * idf.get(t, math.log(1 + len(notices)) + 1) for t, n in c.items()}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    expect = {}
+    for i, text in enumerate(notices):
+        v = weigh(count(text))
+        best = max((round(sum(v.get(t, 0) * x for t, x in w.items()) / length(v) / length(w), 6), name) for name, c in templates for w in [weigh(c)])
+        if best[0] >= licenses.LEAST_COSINE:
+            expect[str(i)] = best
+    rows = licenses.matched(spark.createDataFrame([(str(i), t) for i, t in enumerate(notices)], "path string, notice string")).collect()
+    assert {r.path: (r.cosine, r.licence) for r in rows} == {i: (pytest.approx(c, abs=2e-6), name) for i, (c, name) in expect.items()} and len(expect) >= 5
+
+
 def test_licence_query_by_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     rows = {r.doc_id: r for r in QUERIES["op7_license_scans"](spark, sf_dir).collect()}
