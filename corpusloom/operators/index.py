@@ -124,7 +124,9 @@ def _summed_in_rows(gains: DataFrame, terms: DataFrame) -> DataFrame:
                 of = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(at))), batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(score))], ["qid", "index_key", "unit", "score"])
 
-    units = gains.groupBy("index_key", "unit").agg(F.sort_array(F.collect_list(F.struct("tok", "gain"))).alias("found"))
+    # a number of its own: rows measure small here, and would be put into few tasks, but each meets all queries in the next step
+    tasks = int(gains.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = gains.repartition(tasks, "index_key", "unit").groupBy("index_key", "unit").agg(F.sort_array(F.collect_list(F.struct("tok", "gain"))).alias("found"))
     types = {f.name: f.dataType.simpleString() for f in [*gains.schema, *terms.schema]}
     out = units.mapInArrow(add, f"qid {types['qid']}, index_key {types['index_key']}, unit {types['unit']}, score double")
     return out.withColumn("score", F.round("score", 6))
