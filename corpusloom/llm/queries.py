@@ -29,6 +29,17 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+# five hex digits of the digest are four base-32 ones
+ORACLE["op3_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS n, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS last FROM p),
+b AS (SELECT *, list_transform(range(0, 32), lambda i: ('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT // (32 ** (3 - i % 4))::BIGINT % 32) AS digits FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(digits, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + x, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM b
+"""
+
+
 @query
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
@@ -58,6 +69,62 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _quality_sql() -> str:
+    """Measures and votes as the operator's, and its rounds of expectation-maximisation one after another, over rates by rule and vote."""
+    q = quality_rules
+    starts = ", ".join(f"({j}, {v}, {q.RATES_GOOD[k]}::DOUBLE, {q.RATES_BAD[k]}::DOUBLE)" for j in range(1, len(q.RULES) + 1) for k, v in enumerate((-1, 1)))
+    rounds = []
+    for k in range(q.ROUNDS + 1):
+        rounds.append(
+            f"""q{k} AS MATERIALIZED (
+  SELECT p.votes, p.n, p.n / (1 + exp(-(any_value(ln(prior / (1 - prior))) + coalesce(sum(ln(r.good / r.bad)), 0)))) AS g
+  FROM p CROSS JOIN prior{k} LEFT JOIN cast_votes c ON c.votes = p.votes LEFT JOIN rates{k} r ON r.rule = c.rule AND r.vote = c.vote GROUP BY p.votes, p.n
+), prior{k + 1} AS (SELECT (coalesce(sum(g), 0) + {q.PSEUDO * q.PRIOR_GOOD}) / (coalesce(sum(n), 0) + {q.PSEUDO}) AS prior FROM q{k}
+), seen{k + 1} AS (SELECT rule, vote, sum(n) AS n, sum(g) AS g FROM q{k} JOIN cast_votes USING (votes) GROUP BY rule, vote
+), rates{k + 1} AS MATERIALIZED (
+  SELECT s.rule, s.vote, (coalesce(g, 0) + {q.PSEUDO} * good) / (coalesce(sum(g) OVER (PARTITION BY s.rule), 0) + {q.PSEUDO}) AS good,
+    (coalesce(n - g, 0) + {q.PSEUDO} * bad) / (coalesce(sum(n - g) OVER (PARTITION BY s.rule), 0) + {q.PSEUDO}) AS bad
+  FROM rates0 s LEFT JOIN seen{k + 1} e ON e.rule = s.rule AND e.vote = s.vote)"""
+        )
+    return f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents
+), placed AS (SELECT k, i, array_to_string(w[i:i + {q.WINDOW - 1}], ' ') AS x FROM (SELECT k, w, unnest(range(1, len(w) - {q.WINDOW - 2})) AS i FROM texts)
+), again AS (SELECT k, unnest(range(i, i + {q.WINDOW})) AS pos FROM (SELECT k, i, count(*) OVER (PARTITION BY k, x) AS n FROM placed) WHERE n > 1
+), repeats AS (SELECT k, count(DISTINCT pos) AS n FROM again GROUP BY k
+), m AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, len(regexp_extract_all(t, '\\p{{L}}')) AS n_letters, len(regexp_extract_all(t, '\\p{{Lu}}')) AS n_capitals,
+    len(regexp_extract_all(t, '[.!?]')) AS n_stops, len(list_distinct(w)) AS n_kinds, coalesce(n, 0) AS n_repeat_words FROM texts LEFT JOIN repeats USING (k)
+), per AS (
+  SELECT *, n_symbols / greatest(n_words, 1) AS symbols, n_letters / greatest(word_chars, 1) AS letters, n_repeat_words / greatest(n_words, 1) AS repeats,
+    n_dup_lines / greatest(n_lines, 1) AS lines, word_chars / greatest(n_words, 1) AS size, n_capitals / greatest(word_chars, 1) AS capitals,
+    n_stops / greatest(n_words, 1) AS stops, n_kinds / greatest(n_words, 1) AS kinds, n_words >= 20 AS long,
+    n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEAT_PERCENT} * n_words AS base_failed FROM m
+), voted AS MATERIALIZED (
+  SELECT *, [CASE WHEN symbols >= 0.2 THEN -1 WHEN symbols <= 0.02 THEN 1 ELSE 0 END,
+    CASE WHEN long AND letters < 0.65 THEN -1 WHEN letters >= 0.8 THEN 1 ELSE 0 END,
+    CASE WHEN repeats > 0.2 THEN -1 WHEN repeats <= 0.02 THEN 1 ELSE 0 END,
+    CASE WHEN n_dup_lines >= 3 AND lines >= 0.5 THEN -1 WHEN n_dup_lines = 0 AND n_lines > 1 THEN 1 ELSE 0 END,
+    CASE WHEN size < 2 OR size > 20 THEN -1 WHEN size BETWEEN 3 AND 10 THEN 1 ELSE 0 END,
+    CASE WHEN long AND capitals >= 0.5 THEN -1 WHEN capitals <= 0.1 THEN 1 ELSE 0 END,
+    CASE WHEN long AND (stops > 0.7 OR stops < 0.002) THEN -1 WHEN long AND stops BETWEEN 0.01 AND 0.35 THEN 1 ELSE 0 END,
+    CASE WHEN long AND kinds < 0.05 THEN -1 WHEN long AND kinds >= 0.3 THEN 1 ELSE 0 END] AS votes FROM per
+), p AS MATERIALIZED (SELECT votes, count(*) AS n FROM voted WHERE NOT base_failed GROUP BY votes
+), cast_votes AS MATERIALIZED (SELECT votes, rule, votes[rule] AS vote FROM (SELECT votes, unnest(range(1, {len(q.RULES) + 1})) AS rule FROM p) WHERE votes[rule] <> 0
+), prior0 AS (SELECT {q.PRIOR_GOOD}::DOUBLE AS prior
+), rates0 AS (SELECT * FROM (VALUES {starts}) AS s(rule, vote, good, bad)
+), {", ".join(rounds)}
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND coalesce(g / n >= {q.KEEP_FROM}, false) AS kept
+FROM voted v LEFT JOIN q{q.ROUNDS} USING (votes)
+"""
+
+
+ORACLE["op2_quality_rules"] = _quality_sql()
+
+
 @query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)

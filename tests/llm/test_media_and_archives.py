@@ -11,8 +11,9 @@ import numpy as np
 import pytest
 
 from corpusloom.llm import media, sharding, warc
-from corpusloom.llm.queries import QUERIES
+from corpusloom.llm.queries import ORACLE, QUERIES
 from corpusloom.session import Scratch
+from tests.rows import compare
 
 
 def digest(html):
@@ -209,3 +210,7 @@ def test_hot_group_is_cut(spark):
 @pytest.mark.parametrize("n", [1, 2])
 def test_few_rows(spark, n):
     assert sharding.shard(spark.createDataFrame([(i, "x") for i in range(n)], "doc_id long, text string")).count() == n
+
+
+def test_warc_sql(spark, sf_dir, duck):
+    compare(QUERIES["op3_warc"](spark, sf_dir), duck, ORACLE["op3_warc"])

@@ -187,3 +187,7 @@ def test_stages_keep_rows_apart_and_any_columns(spark):
     known = language_id.identified_documents(df)
     assert known.columns == df.columns and known.count() == sum(bool(t) for _, t, _, _ in rows)
     assert language_id.identified_documents(df.limit(0)).count() == 0
+
+
+def test_quality_sql(spark, sf_dir, duck):
+    compare(QUERIES["op2_quality_rules"](spark, sf_dir), duck, ORACLE["op2_quality_rules"])
