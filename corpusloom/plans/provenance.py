@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import chunk, gather, index
+from corpusloom.operators import chunk, gather, index, prompts
 from corpusloom.operators import provenance as P
 from corpusloom.plans.catalogue import register
 from corpusloom.session import ship, spread, table
@@ -134,3 +134,33 @@ def evidence_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions, titles, found = _gathered(spark, sf_dir)
     out = gather.blocks(questions, found, titles)
     return out.select(F.col("qid").alias("item_id"), F.length("block").cast("long").alias("n_chars"), F.md5(F.col("block").cast("binary")).alias("block_md5"))
+
+
+@register(
+    f"""WITH d AS (SELECT doc_id, text, source, CASE doc_id % 3 WHEN 0 THEN 'insurance' WHEN 1 THEN 'financial_reports' ELSE 'regulatory' END AS domain FROM documents)
+SELECT doc_id, domain <> 'regulatory' AS reasons, md5(concat_ws(chr(10) || chr(10), source, concat_ws(chr(10), coalesce(text, ''), 'A. ' || source || chr(10) || 'B. ' || domain),
+  concat_ws(chr(10), '{prompts.BASE}', CASE WHEN regexp_matches(text, '{prompts.HAS_NUMBER}') THEN '{prompts.NUMBERS}' END, CASE domain {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in prompts.BY_DOMAIN.items())} END,
+  CASE WHEN doc_id % 2 = 0 THEN '{prompts.SEVERAL}' END), '{prompts.REPLY}')) AS prompt_md5 FROM d"""
+)
+def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts with documents as questions, of domains and with options made of their columns."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    d = d.withColumn("domain", F.element_at(F.array(F.lit("insurance"), F.lit("financial_reports"), F.lit("regulatory")), (F.col("doc_id") % 3 + 1).cast("int")))
+    options = F.array(F.struct(F.lit("A").alias("key"), F.col("source").alias("text")), F.struct(F.lit("B").alias("key"), F.col("domain").alias("text")))
+    rule = prompts.rules(F.col("text"), F.array("domain"), F.col("doc_id") % 2 == 0)
+    made = prompts.prompt(F.col("source"), prompts.question_text(F.col("text"), options), rule)
+    return d.select("doc_id", prompts.reasons(F.col("domain")).alias("reasons"), F.md5(made.cast("binary")).alias("prompt_md5"))
+
+
+@register(
+    """WITH f AS (SELECT doc_id, source || '-' || doc_id // 4 AS family FROM documents), g AS (SELECT family, count(*)::BIGINT AS n, min(doc_id) AS first_id FROM f GROUP BY family)
+SELECT doc_id, family, n, first_id FROM f JOIN g USING (family)"""
+)
+def attachment_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the files of a source, four to a family: one and its attachments."""
+    i = F.col("doc_id")
+    stem = F.concat("source", F.lit("-"), F.floor(i / 4).cast("string"))
+    suffix = F.when(i % 4 == 0, F.lit("")).when(i % 4 == 1, F.lit("_att")).when(i % 4 == 2, F.lit("-Annex_2")).otherwise(F.lit("_附件3"))
+    family = T.source_family(i.cast("string"), F.concat(F.lit("raw/"), stem, suffix, F.lit(".pdf")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", family.alias("family"))
+    return docs.join(docs.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")), "family").select("doc_id", "family", "n", "first_id")

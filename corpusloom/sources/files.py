@@ -68,6 +68,18 @@ def text_title(text: Column, stem: Column) -> Column:
 QUESTION = "qid string, domain string, question string, options map<string,string>, type string, answer_format string, doc_ids array<string>"
 
 
+def publish(docs: DataFrame, to: str) -> None:
+    """Writes parsed documents as Parquet by ``domain`` into the folder ``to``, which must not exist.
+
+    Ids that several documents share are an error, before anything is written. Files show in their places only when their tasks are
+    committed, and ``_SUCCESS`` when all are: a folder without it is not published. Texts are not shuffled.
+    """
+    shared = [r.doc_id for r in duplicates(docs).orderBy("doc_id").limit(5).collect()]
+    if shared:
+        raise ValueError(f"ids of several documents, the first of them {shared}")
+    docs.write.mode("errorifexists").partitionBy("domain").parquet(to)
+
+
 def read_questions(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Questions of JSON arrays (.json) and lines (.jsonl) with ``answer_format``, in the order of file names.
 

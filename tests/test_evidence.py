@@ -4,11 +4,13 @@ import collections
 import math
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import cards, evidence, gather, route
+from corpusloom.operators import cards, evidence, gather, prompts, route
 from corpusloom.operators import provenance as P
+from corpusloom.sources import files
 
 
 def one(spark, f, *texts):
@@ -185,3 +187,31 @@ def test_provenance(spark):
     b = spark.createDataFrame([(1, ["x"]), (2, ["z", "y"]), (4, ["x"])], "qid int, picked array<string>")
     assert sorted((r.qid, r.problem) for r in P.route_differences(a, b).collect()) == [(2, "changed"), (3, "not replayed"), (4, "not logged")]
     assert one(spark, P.letters_changed, "ABD", "BC") == ["A", "C", "D"]
+
+
+def test_rules_by_what_questions_have(spark):
+    rows = [("收入是多少", ["financial_reports"], False), ("比例５％", ["insurance", "financial_reports"], True), ("无", [], False), (None, None, None)]
+    d = spark.createDataFrame(rows, "text string, domains array<string>, several boolean")
+    got = [r[0].split("\n") for r in d.select(prompts.rules(F.col("text"), F.col("domains"), F.col("several"))).collect()]
+    reports, insurance = prompts.BY_DOMAIN["financial_reports"], prompts.BY_DOMAIN["insurance"]
+    assert got == [[prompts.BASE, reports], [prompts.BASE, prompts.NUMBERS, reports, insurance, prompts.SEVERAL], [prompts.BASE], [prompts.BASE]]
+
+
+def test_prompts(spark):
+    d = spark.createDataFrame([("证据", "问", [("A", "甲"), ("B", "乙")], "research"), (None, None, None, "regulatory"), ("e", "q", [], None)], "block string, question string, options array<struct<key string, text string>>, domain string")
+    asked = prompts.question_text(F.col("question"), F.col("options"))
+    got = d.select(asked, prompts.prompt(F.col("block"), asked, F.lit("规则")), prompts.reasons(F.col("domain"))).collect()
+    assert [r[0] for r in got] == ["问\nA. 甲\nB. 乙", "", "q\n"]
+    assert got[0][1] == f"证据\n\n问\nA. 甲\nB. 乙\n\n规则\n\n{prompts.REPLY}"
+    assert [r[2] for r in got] == [True, False, True]
+
+
+def test_publishing_refuses_what_is_there(spark, tmp_path):
+    d = spark.createDataFrame([("a", "x", "t"), ("b", "y", None)], "doc_id string, domain string, text string")
+    files.publish(d, f"{tmp_path}/out")
+    assert {(r.doc_id, r.domain, r.text) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {("a", "x", "t"), ("b", "y", None)}
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        files.publish(d, f"{tmp_path}/out")
+    with pytest.raises(ValueError, match="a"):
+        files.publish(d.union(d.limit(1)), f"{tmp_path}/other")
+    assert not (tmp_path / "other").exists()
