@@ -167,6 +167,39 @@ def coarse_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route.first_seen(full.unionByName(by_lang)).select(F.col("qid").alias("item_id"), F.col("unit").alias("doc_id"), "ord")
 
 
+KIND = "CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END"
+
+
+@register(
+    bm25_sql(
+        KIND,
+        f""", hits AS (SELECT r.qid, r.unit, r.score, r.rank, d.source FROM ranked r JOIN documents d ON d.doc_id = r.unit WHERE r.score > 0 AND r.index_key = CASE WHEN r.qid % 2 = 0 THEN 'en' ELSE 'other' END),
+parts AS (
+  SELECT qid, unit, 0 AS a, rank AS b FROM hits WHERE rank <= 12
+  UNION ALL SELECT qid, unit, 2 + opt, r FROM (SELECT *, row_number() OVER (PARTITION BY qid, opt ORDER BY score DESC, unit) AS r FROM (SELECT *, dense_rank() OVER (PARTITION BY qid ORDER BY source NULLS LAST) AS opt FROM hits)) WHERE r <= 2),
+kinds AS (SELECT {KIND} AS kind, doc_id FROM documents), small AS (SELECT kind FROM kinds GROUP BY kind HAVING count(*) <= 24),
+asked AS (SELECT item_id AS qid, CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'other' END AS kind FROM benchmark),
+every AS (SELECT qid, doc_id AS unit, 0 AS a, doc_id AS b FROM asked JOIN kinds USING (kind) WHERE kind IN (SELECT kind FROM small) OR qid NOT IN (SELECT qid FROM parts)),
+found AS (SELECT parts.* FROM parts JOIN asked USING (qid) WHERE kind NOT IN (SELECT kind FROM small) UNION ALL SELECT * FROM every),
+once AS (SELECT qid, unit, min(struct_pack(a := a::BIGINT, b := b::BIGINT)) AS pos FROM found GROUP BY qid, unit)
+SELECT qid AS item_id, unit AS doc_id, row_number() OVER (PARTITION BY qid ORDER BY pos, unit)::INT AS ord FROM once""",
+    )
+)
+def coarse_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of items: those with even ids are asked of English documents, the others of the rest; sources stand for options."""
+    kind = F.when(F.col("lang") == "en", F.lit("en")).otherwise(F.lit("other"))
+    docs = _documents(spark, sf_dir).withColumn("kind", kind)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.when(F.col("item_id") % 2 == 0, F.lit("en")).otherwise(F.lit("other")).alias("domain"))
+    scored = index.scores(_units(docs, "kind"), _queries(spark, sf_dir), within=asked.withColumnRenamed("domain", "index_key"))
+    hits = scored.join(docs.select(F.col("doc_id").alias("unit"), "source"), "unit")
+    hits = hits.withColumn("opt", F.dense_rank().over(Window.partitionBy("qid").orderBy(F.asc_nulls_last("source"))))
+    hits = Scratch(spark, "coarse").keep(hits, "hits")  # two rankings read them
+    full = index.top(hits, 12).select("qid", F.lit("surface").alias("part"), F.lit(0).alias("opt"), "unit", "rank")
+    each = index.top(hits, 2, by=("qid", "opt")).select("qid", F.lit("option").alias("part"), "opt", "unit", "rank")
+    out = route.coarse(docs.select(F.col("kind").alias("domain"), F.col("doc_id").alias("unit"), F.col("doc_id").alias("pos")), full.unionByName(each), asked)
+    return out.select(F.col("qid").alias("item_id"), F.col("unit").alias("doc_id"), "ord")
+
+
 @register(
     """WITH a AS (SELECT item_id, lower(text) AS anchor FROM benchmark),
 hits AS (SELECT item_id, doc_id, count(*) OVER (PARTITION BY item_id) AS n FROM a JOIN documents d ON contains(lower(d.text), anchor))
