@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, language_id, licenses, lm_scoring, media, mixing, quality_rules, sharding, simhash, warc
+from corpusloom.llm import bpe, decontaminate, language_id, licenses, lm_scoring, media, mixing, quality_rules, sharding, simhash, warc
 from corpusloom.session import Scratch, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,3 +207,29 @@ SELECT doc_id, size, source_size, target,
   (epochs * size + greatest(0, least(size, floor(target)::BIGINT - epochs * source_size - before)))::BIGINT AS taken
 FROM (SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs FROM ranked)
 """
+
+
+@query
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLE["op11_decontamination"] = """
+WITH texts AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), item AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, w, least(10, len(w)) AS size FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark) WHERE len(w) > 0
+), wanted AS MATERIALIZED (
+  SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS win FROM (SELECT item, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM item)
+), placed AS (
+  SELECT k, i, size, array_to_string(w[i:i + size - 1], ' ') AS win
+  FROM (SELECT k, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM texts CROSS JOIN (SELECT DISTINCT size FROM item))
+), met AS MATERIALIZED (SELECT k, i, placed.size, item FROM placed JOIN wanted ON placed.win = wanted.win AND placed.size = wanted.size
+), words AS (SELECT k, count(DISTINCT pos) AS n_hit FROM (SELECT k, unnest(range(i, i + size)) AS pos FROM met) GROUP BY k
+), lists AS (SELECT k, list(item ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM met) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM texts LEFT JOIN words USING (k) LEFT JOIN lists USING (k)
+"""
