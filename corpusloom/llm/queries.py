@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontaminate, language_id, licenses, lm_scoring, media, mixing, quality_rules, sharding, simhash, warc
+from corpusloom.llm import bpe, decontaminate, language_id, licenses, lm_scoring, media, mixing, periodic, quality_rules, sharding, simhash, warc
 from corpusloom.session import Scratch, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,3 +233,40 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM texts LEFT JOIN words USING (k) LEFT JOIN lists USING (k)
 """
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document by its id's checksum is periodic from a place on, as the query's contract lays down."""
+    ship(spark)
+    h, blank = F.crc32(F.col("doc_id").cast("string")), "[\\x20\\x09-\\x0D]+"
+    w = F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), blank, -1), "")
+    g = F.floor(h / 10)
+
+    def repeated(p: Column) -> Column:
+        n = F.size(p["w"])
+        a = (p["g"] % n).cast("int")
+        period = (1 + F.floor((n - a) / (3 + p["g"] % 8))).cast("int")
+        return F.array_join(F.transform(p["w"], lambda x, i: F.when(i < a, x).otherwise(F.get(p["w"], a + (i - a) % period))), " ")
+
+    # bound as an element of an array, so that the words are made once
+    made = F.get(F.transform(F.array(F.struct(w.alias("w"), g.alias("g"))), lambda p: F.when(F.size(p["w"]) > 0, repeated(p)).otherwise(F.lit(""))), F.lit(0))
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.when(h % 10 == 0, made).otherwise(F.col("text")).alias("text"))
+    found = periodic.periodic(texts)
+    better = lambda a, x: a.isNull() | (x["length"] * a["period"] > a["length"] * x["period"])  # noqa: E731  (runs come by start, then period)
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda a, x: F.when(better(a, x), x).otherwise(a))
+    line = lambda x: F.concat(x["start"].cast("string"), F.lit(","), x["length"].cast("string"), F.lit(","), x["period"].cast("string"), F.lit("\n"))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+ORACLE["op12_periodic_runs"] = """
+WITH texts AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), marks AS (SELECT k, [ord(c) for c in string_split(doc_id::VARCHAR, '')] AS codes FROM texts
+), hashed AS (SELECT 1)
+SELECT 1
+"""
