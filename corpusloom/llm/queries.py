@@ -265,8 +265,26 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op12_periodic_runs"] = """
 WITH texts AS (
-  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
-), marks AS (SELECT k, [ord(c) for c in string_split(doc_id::VARCHAR, '')] AS codes FROM texts
-), hashed AS (SELECT 1)
-SELECT 1
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    xor(list_reduce([ord(c) FOR c IN string_split(doc_id::VARCHAR, '')], lambda acc, c: list_reduce(range(0, 8), lambda y, j: xor(y >> 1, (y & 1) * 3988292384), xor(acc, c::BIGINT)), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+  FROM documents
+), planted AS (
+  SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM texts)
+), word AS MATERIALIZED (
+  SELECT k, i, w[1 + CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % p END] AS x FROM (SELECT k, w, a, p, unnest(range(0, n)) AS i FROM planted)
+), grid AS (SELECT k, p, unnest(range(0, n - 2 * p + 1, 2 * p)) AS g FROM (SELECT k, n, unnest(range(1, n // 4 + 1)) AS p FROM planted)
+), one AS (SELECT grid.* FROM grid JOIN word a ON a.k = grid.k AND a.i = g JOIN word b ON b.k = grid.k AND b.i = g + p WHERE a.x = b.x
+), two AS (SELECT one.* FROM one JOIN word a ON a.k = one.k AND a.i = g + p // 2 JOIN word b ON b.k = one.k AND b.i = g + p // 2 + p WHERE a.x = b.x
+), period AS MATERIALIZED (SELECT DISTINCT two.k, p FROM two JOIN word a ON a.k = two.k AND a.i = g + p - 1 JOIN word b ON b.k = two.k AND b.i = g + 2 * p - 1 WHERE a.x = b.x
+), again AS (SELECT c.k, c.p, a.i FROM period c JOIN word a ON a.k = c.k JOIN word b ON b.k = c.k AND b.i = a.i + c.p AND b.x = a.x
+), stretch AS (SELECT k, p, min(i) AS start, count(*) + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY k, p ORDER BY i) AS part FROM again) GROUP BY k, p, part
+), run AS MATERIALIZED (SELECT k, start, length, min(p) AS p FROM stretch WHERE length >= greatest(6, 4 * p) GROUP BY k, start, length
+), best AS (
+  SELECT k, count(*) AS n_runs, first({'start': start, 'length': length, 'p': p} ORDER BY length / p DESC, start, p) AS b,
+    string_agg(start || ',' || length || ',' || p || chr(10), '' ORDER BY start, p) AS lines FROM run GROUP BY k
+), gone AS (SELECT DISTINCT k, unnest(range(start + p, start + length)) AS i FROM run
+), kept AS (SELECT k, string_agg(x, ' ' ORDER BY i) AS line FROM word ANTI JOIN gone USING (k, i) GROUP BY k)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.p::BIGINT AS period, (1000 * b.length // b.p)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(line, '')) AS collapsed_sha256
+FROM texts LEFT JOIN best USING (k) LEFT JOIN kept USING (k)
 """
