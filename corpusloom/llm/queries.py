@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontaminate, language_id, licenses, lm_scoring, media, mixing, periodic, quality_rules, sharding, simhash, warc
+from corpusloom.llm import alignment, bpe, decontaminate, language_id, licenses, lm_scoring, media, mixing, periodic, quality_rules, sharding, simhash, warc
 from corpusloom.session import Scratch, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -288,3 +288,13 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start,
   sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(line, '')) AS collapsed_sha256
 FROM texts LEFT JOIN best USING (k) LEFT JOIN kept USING (k)
 """
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    scratch = Scratch(spark, "align")
+    rows = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    rows = scratch.keep(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", digest, "pairs", "times"), "rows")
+    return alignment.scored(rows, scratch).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
