@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -69,6 +70,21 @@ class Scratch:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def send_file(spark: SparkSession, path: str) -> str:
+    """Sends a file of the driver to the executors, once per application; the name by which sent_file() finds it there."""
+    sc, name = spark.sparkContext, os.path.basename(path)
+    sent = sc.__dict__.setdefault("_corpusloom_sent", {})
+    if sent.get(name) != path:
+        sc.addFile(path)
+        sent[name] = path
+    return name
+
+
+def sent_file(name: str) -> str:
+    """In a task, where a sent file lies."""
+    return SparkFiles.get(name)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once per application, for tasks that run Python."""
     sc = spark.sparkContext
