@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import wants_several_documents
+from corpusloom.functions.text import ids_in_prose, wants_several_documents
+from corpusloom.operators.contain import occurrences
+from corpusloom.session import Scratch
 
 MOST_BY_COMPANY, MOST_BY_POLICY, MOST_PICKED = 8, 10, 4
 
@@ -39,12 +41,11 @@ def coarse(docs: DataFrame, ranked: DataFrame, questions: DataFrame, k: int = 12
 def quoted(questions: DataFrame, docs: DataFrame) -> DataFrame:
     """``qid, doc_ids`` for questions whose ``anchors`` each occur in exactly one document's ``surface``.
 
-    A question with an anchor in no document or in several is left out. Spark broadcasts the smaller side of the containment join.
+    A question with an anchor in no document or in several is left out.
     """
     anchors = questions.select("qid", F.posexplode("anchors").alias("pos", "anchor"))
-    hits = docs.join(anchors, F.contains(F.col("surface"), F.col("anchor")))
-    by_anchor = hits.groupBy("qid", "pos").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
-    every = anchors.select("qid", "pos").join(by_anchor, ["qid", "pos"], "left")
+    by_anchor = occurrences(docs, anchors, "doc_id", "surface", "anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
+    every = anchors.join(by_anchor, "anchor", "left")
     picked = every.groupBy("qid").agg(F.bool_and(F.coalesce(F.col("n") == 1, F.lit(False))).alias("clear"), F.array_sort(F.collect_list(F.struct("pos", "doc_id"))).alias("d"))
     return picked.filter("clear").select("qid", F.array_distinct(F.transform("d", lambda x: x["doc_id"])).alias("doc_ids"))
 
@@ -54,26 +55,45 @@ def unique_owners(names: DataFrame, owner: str) -> DataFrame:
     return names.groupBy("alias").agg(F.countDistinct(owner).alias("n"), F.min(owner).alias("owner")).filter("n = 1").select("alias", "owner")
 
 
+def named_companies(questions: DataFrame, identities: DataFrame) -> DataFrame:
+    """``qid, domain, company_key, alias``: the companies that a question names, with the longest of their aliases in it, ties to the first by letters.
+
+    Takes questions ``qid, domain, normal`` and identities ``domain, company_key, aliases``.
+    """
+    aliases = identities.select("domain", "company_key", F.explode("aliases").alias("alias")).distinct()
+    asked = questions.select("qid", "domain", "normal")
+    met = occurrences(asked, aliases, "qid", "normal", "alias").distinct().join(asked.select("qid", "domain"), "qid").join(aliases, ["domain", "alias"])
+    best = F.min(F.struct((-F.length("alias")).alias("minus"), "alias"))["alias"]
+    return met.groupBy("qid", "domain", "company_key").agg(best.alias("alias"))
+
+
+def _few(found: DataFrame, most: int) -> DataFrame:
+    """``qid, doc_ids`` in the order of ``pos`` from ``qid, doc_id, pos``, of questions with ``most`` documents or fewer; more are counted but not gathered."""
+    found = found.groupBy("qid", "doc_id").agg(F.min("pos").alias("pos"))
+    few = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most)
+    gathered = found.join(few.select("qid"), "qid").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "doc_id"))).alias("d"))
+    return gathered.select("qid", F.transform("d", lambda x: x["doc_id"]).alias("doc_ids"))
+
+
 def by_company(questions: DataFrame, identities: DataFrame, years: tuple[str, ...] = ("financial_reports",)) -> DataFrame:
     """``qid, doc_ids`` by the companies that a question names.
 
     Takes questions ``qid, domain, text, normal, n_options`` (normal: the normal form of the text) and identities ``doc_id, pos,
     domain, company_key, aliases, year``. A company matches if one of its aliases occurs; several need options or wording that asks
-    for several sources. In the domains of ``years``, documents are narrowed to the years named, if any match. No
+    for several sources. In the domains of ``years``, a company's documents are narrowed to the years named, if it has any of them. No
     document, more than MOST_BY_COMPANY, or one where several are asked for: no decision.
     """
-    aliases = identities.select("domain", "company_key", F.explode("aliases").alias("alias")).distinct()
-    named = questions.join(aliases, "domain").filter(F.contains("normal", F.col("alias"))).select("qid", "domain", "company_key").distinct()
-    q = questions.withColumn("several", wants_several_documents(F.col("text"))).withColumn("asked", F.regexp_extract_all("text", F.lit("(20\\d{2})"), F.lit(1)))
-    docs = named.join(identities.select("domain", "company_key", "doc_id", "pos", "year"), ["domain", "company_key"]).join(q, ["qid", "domain"])
-    in_year = F.array_contains("asked", F.col("year"))
-    w = Window.partitionBy("qid")
-    docs = docs.withColumn("any_year", F.max(in_year).over(w)).withColumn("groups", F.size(F.collect_set("company_key").over(w)))
-    docs = docs.filter(~F.col("domain").isin(*years) | ~F.coalesce("any_year", F.lit(False)) | in_year)
-    docs = docs.filter((F.col("n_options") > 0) | F.col("several") | (F.col("groups") == 1))
-    out = docs.groupBy("qid").agg(F.first("several").alias("several"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "doc_id"))), lambda x: x["doc_id"]).alias("doc_ids"))
-    n = F.size(F.array_distinct("doc_ids"))
-    return out.filter((n <= MOST_BY_COMPANY) & ~(F.col("several") & (n < 2))).select("qid", F.array_distinct("doc_ids").alias("doc_ids"))
+    several = wants_several_documents(F.col("text"))
+    named = named_companies(questions, identities)
+    groups = named.groupBy("qid").agg(F.count(F.lit(1)).alias("groups"))
+    q = questions.join(groups, "qid").select("qid", several.alias("several"), F.regexp_extract_all("text", F.lit("20\\d{2}"), F.lit(0)).alias("asked"), "groups", "n_options")
+    q = q.filter((F.col("n_options") > 0) | F.col("several") | (F.col("groups") == 1))
+    docs = named.join(identities.select("domain", "company_key", "doc_id", "pos", "year"), ["domain", "company_key"]).join(q.select("qid", "asked"), "qid")
+    docs = docs.withColumn("in_year", F.col("domain").isin(*years) & F.coalesce(F.array_contains("asked", F.col("year")), F.lit(False)))
+    dated = docs.groupBy("qid", "company_key").agg(F.max("in_year").alias("dated"))
+    docs = docs.join(dated, ["qid", "company_key"]).filter(F.col("in_year") | ~F.col("dated"))
+    out = _few(docs.select("qid", "doc_id", "pos"), MOST_BY_COMPANY).join(q.select("qid", "several"), "qid")
+    return out.filter(~(F.col("several") & (F.size("doc_ids") < 2))).select("qid", "doc_ids")
 
 
 def by_policy(questions: DataFrame, policies: DataFrame) -> DataFrame:
@@ -84,18 +104,39 @@ def by_policy(questions: DataFrame, policies: DataFrame) -> DataFrame:
     shared alias of which no owner's brand stands before it. No policy, more than MOST_BY_POLICY, or one where several are asked
     for: no decision.
     """
-    alias = policies.select("doc_id", F.explode("aliases").alias("alias"))
-    owners = alias.groupBy("alias").agg(F.countDistinct("doc_id").alias("owners"))
-    branded = policies.select("doc_id", F.explode("aliases").alias("alias"), F.explode(F.concat("brands", F.array(F.lit(None).cast("string")))).alias("brand"))
-    hit = branded.join(owners, "alias").join(questions.select("qid", "normal"), F.contains("normal", F.col("alias")))
-    hit = hit.withColumn("by_brand", F.coalesce(F.contains("normal", F.concat("brand", "alias")), F.lit(False)))
-    hit = hit.withColumn("claimed", F.max("by_brand").over(Window.partitionBy("qid", "alias")))
-    good = hit.filter(F.col("by_brand") | (F.col("owners") == 1) | ~F.col("claimed")).select("qid", "doc_id")
-    whole = policies.select("doc_id", "product").join(questions.select("qid", "normal"), (F.col("product") != "") & F.contains("normal", F.col("product"))).select("qid", "doc_id")
-    found = good.unionByName(whole).distinct().join(policies.select("doc_id", "pos"), "doc_id")
-    out = found.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "doc_id"))), lambda x: x["doc_id"]).alias("doc_ids"))
+    alias = policies.select("doc_id", F.explode("aliases").alias("alias")).distinct()
+    owners = alias.groupBy("alias").agg(F.count(F.lit(1)).alias("owners"))
+    branded = policies.select("doc_id", F.explode("aliases").alias("alias"), "brands").select("doc_id", "alias", F.explode("brands").alias("brand")).select("doc_id", "alias", F.concat("brand", "alias").alias("name")).distinct()
+    product = policies.select("doc_id", F.col("product").alias("name"))
+    names = alias.select(F.col("alias").alias("name")).unionByName(branded.select("name")).unionByName(product.select("name"))
+    met = Scratch(questions.sparkSession, "policies").keep(occurrences(questions, names, "qid", "normal", "name").distinct(), "met")
+    by_brand = met.join(branded, "name").select("qid", "alias", "doc_id").distinct()
+    bare = met.withColumnRenamed("name", "alias").join(owners, "alias")
+    # an alias that one of its owners' brands stands before is not bare
+    bare = bare.join(by_brand.select("qid", "alias", F.lit(True).alias("claimed")).distinct(), ["qid", "alias"], "left")
+    bare = bare.filter((F.col("owners") == 1) | F.col("claimed").isNull()).join(alias, "alias")
+    found = by_brand.select("qid", "doc_id").unionByName(bare.select("qid", "doc_id")).unionByName(met.join(product, "name").select("qid", "doc_id")).distinct()
+    out = _few(found.join(policies.select("doc_id", "pos"), "doc_id"), MOST_BY_POLICY)
     out = out.join(questions.select("qid", wants_several_documents(F.col("text")).alias("several")), "qid")
-    return out.filter((F.size("doc_ids") <= MOST_BY_POLICY) & ~(F.col("several") & (F.size("doc_ids") < 2))).select("qid", "doc_ids")
+    return out.filter(~(F.col("several") & (F.size("doc_ids") < 2))).select("qid", "doc_ids")
+
+
+def append_named(questions: DataFrame, selected: DataFrame, names: DataFrame, candidates: DataFrame | None = None, most: int = MOST_PICKED) -> DataFrame:
+    """``qid, doc_id, ord`` of the documents that a question's raw text names, added behind its selected ones while there is room.
+
+    Takes questions ``qid, domain, text``, selected ``qid, doc_id``, names ``doc_id, domain, pos, name`` and, where candidates are fewer than
+    the domain, ``qid, doc_id``. A name needs two characters; documents come in the order of ``pos``; those selected already are not added again.
+    """
+    names = names.filter(F.length("name") >= 2)
+    met = occurrences(questions, names, "qid", "text", "name").distinct().join(questions.select("qid", "domain"), "qid")
+    found = met.join(names, ["domain", "name"]).groupBy("qid", "doc_id").agg(F.min("pos").alias("pos")).join(selected, ["qid", "doc_id"], "left_anti")
+    if candidates is not None:
+        found = found.join(candidates, ["qid", "doc_id"], "left_semi")
+    taken = selected.distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("taken"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("pos", "doc_id"))
+    out = found.withColumn("place", place).filter(F.col("place") <= most).join(taken, "qid", "left")
+    ord_ = F.col("place") + F.coalesce("taken", F.lit(0))
+    return out.filter(ord_ <= most).select("qid", "doc_id", ord_.cast("int").alias("ord"))
 
 
 def resolve(picks: DataFrame, ids: DataFrame) -> DataFrame:
@@ -105,7 +146,7 @@ def resolve(picks: DataFrame, ids: DataFrame) -> DataFrame:
     """
     lengths = picks.select(F.length("value").alias("len")).distinct()
     ends = ids.join(F.broadcast(lengths), F.length("id") >= F.col("len")).select("id", F.expr("right(id, len)").alias("suffix"))
-    ends = ends.join(F.broadcast(picks.select(F.col("value").alias("suffix")).distinct()), "suffix", "left_semi").groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("only"), F.max(F.when(F.col("id") == F.col("suffix"), F.col("id"))).alias("same"))
+    ends = ends.join(picks.select(F.col("value").alias("suffix")).distinct(), "suffix", "left_semi").groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("only"), F.max(F.when(F.col("id") == F.col("suffix"), F.col("id"))).alias("same"))
     picked = F.coalesce("same", F.when(F.col("n") == 1, F.col("only")))
     return picks.join(ends, F.col("value") == F.col("suffix"), "left").withColumn("picked", picked).drop("suffix", "n", "only", "same")
 
