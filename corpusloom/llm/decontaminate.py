@@ -2,8 +2,9 @@
 
 A window is ``WINDOW`` consecutive words of an item, or the whole of a shorter item. A text's windows are told by the least hash of the
 GRAM-word grams within them, so a window that a document shares with an item has the same least hash in both, whatever stands around it:
-no shared span of WINDOW words is lost. Neighbouring windows mostly have one least hash, and make one row. Rows that meet an item's are
-hits, which are extended: every window they stand for is compared with the items' windows as words, and the words within equal ones are counted once.
+no shared span of WINDOW words is lost. Neighbouring windows mostly have one least hash. A bitmap of fixed size tells nearly all hashes that no item has
+where the text lies; what is left is extended to all windows it stands for, which are joined to the items' by hash and words, and the words within equal ones
+are counted once.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from corpusloom.session import Scratch, spread
 
 WINDOW, GRAM = 10, 5
+#: Bits of the bitmap of the items' hashes, and of each of Spark's own bitmaps, of which it is made: 256 KiB for any number of items.
+BITS, _MAP = 1 << 21, 1 << 15
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What lies between words, in lower-cased texts; and words, in any.
 BETWEEN, WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -86,23 +89,39 @@ def windows(items: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> t
     return of, owners, lengths
 
 
+def _marks(of: DataFrame) -> Column:
+    """The bitmap of the items' hashes, as a constant array of Spark's bitmaps; BITS / _MAP rows at most come to the driver."""
+    at = F.pmod("least", F.lit(BITS)) + 1
+    maps = of.groupBy((F.bitmap_bucket_number(at) - 1).alias("id")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    bits = {r["id"]: bytes(r.bits) for r in maps.collect()}
+    return F.array(*[F.lit(bits.get(i, b"")) for i in range(BITS // _MAP)])
+
+
+def _marked(marks: Column, least: Column) -> Column:
+    """Whether a hash's bit is set: false surely means that no item has it."""
+    at = F.pmod(least, F.lit(BITS))
+    byte = F.substring(F.get(marks, F.shiftright(at, 15).cast("int")), (F.shiftright(at, 3) % (_MAP // 8) + 1).cast("int"), F.lit(1))
+    return F.call_function("shiftright", F.ascii(F.decode(byte, "ISO-8859-1")), (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def hits(docs: DataFrame, items: DataFrame, scratch: Scratch, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``digest, first, length, rep`` of each window of an item in each distinct text of ``docs``, and ``rep, item`` of the items' windows.
+    """``digest, first, length, rep`` of each window of an item in each text of ``docs``, and ``rep, item`` of the items' windows.
 
-    ``digest`` is the MD5 of a text, ``first`` the place of the window's first word, from 0. Equal texts are searched once.
+    ``digest`` is the MD5 of a text, ``first`` the place of the window's first word, from 0.
     """
     of, owners, lengths = windows(items, item_col, item_text_col, scratch)
     texts = spread(docs.select(F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("digest"), F.col(text_col).alias("text")))
-    runs = F.concat(*[_runs(F.col("words"), n) for n in lengths]) if lengths else F.expr("cast(array() as array<struct<length:int,least:bigint,first:int,last:int>>)")
-    found = texts.select("digest", item_words(F.col("text")).alias("words")).select("digest", F.explode(runs).alias("r")).select("digest", "r.*")
-    # the items' hashes are a written table, whose size says whether it is broadcast or both sides are dealt out
-    found = found.join(of.select("length", "least").distinct(), ["length", "least"], "left_semi")
-    found = scratch.keep(found.groupBy("digest").agg(F.collect_set(F.struct("length", "first", "last")).alias("runs")), "candidates")
-    of_copy = texts.join(found, "digest").dropDuplicates(["digest"])
-    places = F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(r["first"], r["last"]), lambda i: F.struct(r["length"].alias("length"), i.alias("first")))))
-    cut = of_copy.select("digest", item_words(F.col("text")).alias("words"), places.alias("places"))
-    cut = cut.select("digest", F.explode(F.transform("places", lambda p: F.struct(p["length"].alias("length"), p["first"].alias("first"), _window(F.col("words"), p["first"], p["length"]).alias("window")))).alias("w")).select("digest", "w.*")
-    return cut.join(of.select("length", "window", "rep"), ["length", "window"]).select("digest", "first", "length", "rep"), owners
+
+    marks = _marks(of)
+
+    def candidates(words: Column) -> Column:
+        runs = F.concat(*[_runs(words, n) for n in lengths]) if lengths else F.expr("cast(array() as array<struct<length:int,least:bigint,first:int,last:int>>)")
+        some = F.filter(runs, lambda r: _marked(marks, r["least"]))
+        return F.flatten(F.transform(some, lambda r: F.transform(F.sequence(r["first"], r["last"]), lambda i: F.struct(r["length"].alias("length"), r["least"].alias("least"), i.alias("first"), _window(words, i, r["length"]).alias("window")))))
+
+    found = texts.select("digest", F.explode(_let(item_words(F.col("text")), candidates)).alias("w"))
+    # the items' windows are a written table, whose size says whether it is broadcast or both sides are dealt out
+    return found.select("digest", "w.*").join(of, ["length", "least", "window"]).select("digest", "first", "length", "rep"), owners
 
 
 def covered(spans: Column) -> Column:
