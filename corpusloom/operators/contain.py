@@ -67,6 +67,8 @@ def occurrences(texts: DataFrame, patterns: DataFrame, id_col: str, text_col: st
     parts = []
     for b in range(batches):
         batch = [r.pattern for r in kept.filter(F.pmod(F.xxhash64("pattern"), F.lit(batches)) == b).collect()]
+        if not batch:
+            continue
         shared = spark.sparkContext.broadcast(batch)
         parts.append(rows.mapInArrow(_search(shared, f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}"), schema))
     found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
