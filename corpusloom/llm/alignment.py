@@ -14,6 +14,8 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,35 +26,66 @@ from corpusloom.session import Scratch, send_file, sent_file, spread
 
 #: Most pairs whose counts every task holds: those of the highest counts, of one power of two all or none.
 FREQUENT = 1 << 18
-#: Entries of the caches of words and windows, and the longest of them in characters and tokens; characters tokenised at a time; distinct pairs counted in a task before they leave it.
-CACHE, LONGEST_CACHED, TOGETHER, HELD = 1 << 17, 48, 1 << 19, 1 << 18
+#: Entries of a pool of words or windows, and their size in all, from which it starts anew; characters tokenised at a time; distinct pairs counted in a task before they leave it.
+CACHE, CACHE_SIZE, TOGETHER, HELD = 1 << 18, 1 << 24, 1 << 19, 1 << 18
 #: A pair is one number: its first id times this, plus its second.
 SECOND = 1 << 32
-#: A word with the blanks before it, the unit of the second tokenizer's cache.
+#: A word with the blanks before it.
 SPACED = re.compile(" +[^ ]*")
+#: Where the first tokenizer takes blanks together with a white-space character before them.
+TOGETHER_BLANKS = re.compile(r"[^\S ] (?:\s|\Z)")
 # How byte-level vocabularies show bytes as characters; those in these ranges as themselves, the others from U+0100 on in order.
 SHOWN = ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-class Halved(dict):
-    """What ``make`` gives for keys, kept but for those that ``size`` finds too long; the older half goes when it is full."""
+class Rows(NamedTuple):
+    """Integers of several keys in one row, and how many each has."""
 
-    def __init__(self, make, size) -> None:
-        super().__init__()
-        self.make, self.size, self.old = make, size, {}
+    flat: np.ndarray
+    counts: np.ndarray
+
+
+class Pool(dict):
+    """Numbers of keys, in the order in which they came, with what ``make`` gives for new ones together: Rows of one kind or several, and marks."""
 
-    def __missing__(self, key):
-        got = self.old.get(key)
-        if got is None:
-            got = self.make(key)
-        if self.size(key) > LONGEST_CACHED:
-            return got
-        if len(self) >= CACHE:
-            self.old = dict(self)
-            self.clear()
-        self[key] = got
-        return got
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+        self.renew()
+
+    def renew(self) -> None:
+        self.clear()
+        self.new, self.made, self.marks, self.size = [], None, [], 0
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+    def numbers(self, keys: list) -> np.ndarray:
+        """The keys' numbers; those given before are void if the pool had grown over its bounds."""
+        if len(self) > CACHE or self.size > CACHE_SIZE:
+            self.renew()
+        at = np.fromiter(map(self.__getitem__, keys), dtype=np.int64, count=len(keys))
+        if self.new:
+            rows, marks = self.make(self.new)
+            self.made = [Rows(*map(np.concatenate, zip(x, y, strict=True))) for x, y in zip(self.made, rows, strict=True)] if self.made else rows
+            self.marks += marks
+            self.size += sum(map(len, self.new))
+            self.new = []
+        return at
+
+    def gather(self, at: np.ndarray, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The integers of the keys numbered ``at``, one after another, and how many each has."""
+        if not len(at):
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        flat, counts = self.made[kind]
+        return _cut(flat, (np.cumsum(counts) - counts)[at], counts[at])
+
+
+def _cut(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes
 
 
 class ByteLevel:
@@ -69,12 +102,10 @@ class ByteLevel:
         byte = {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         self.tokens = {i: bytes(byte[c] for c in x) for x, i in model["vocab"].items() if i not in special}
         merged = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
-        ordered = all(model["vocab"][m.replace(" ", "")] == 256 + i for i, m in enumerate(merged)) and len(self.tokens) == 256 + len(merged)
-        if ordered:
+        if all(model["vocab"][m.replace(" ", "")] == 256 + i for i, m in enumerate(merged)) and len(self.tokens) == 256 + len(merged):
             import tiktoken
 
-            t = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks={x: i for i, x in self.tokens.items()}, special_tokens={})
-            self.encode = t.encode_ordinary
+            self.encode = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks={x: i for i, x in self.tokens.items()}, special_tokens={}).encode_ordinary
         else:
             from tokenizers import Tokenizer
 
@@ -84,83 +115,157 @@ class ByteLevel:
 
 
 class Pieces:
-    """The tokenizer of a sentencepiece model, of the text behind a given first blank.
-
-    No piece has a blank behind another character, so no merge reaches over the start of a blank-led word, and words are tokenised one
-    by one and cached; a model that has such pieces gets whole texts.
-    """
+    """The tokenizer of a sentencepiece model, of the text behind a given first blank."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        self.tokens = {i: bytes([int(x[3:5], 16)]) if model.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces) if not model.is_control(i) and not model.is_unknown(i)}
-        blank, whole = [model.piece_to_id("▁")], any(re.search("[^▁]▁", x) for x in pieces)
-        words = Halved(lambda word: model.encode(word[1:]) or blank, len)  # the model adds the first blank itself, but not to nothing
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.tokens = {i: bytes([int(x[3:5], 16)]) if self.model.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces) if not self.model.is_control(i) and not self.model.is_unknown(i)}
+        self.blank, self.by_words = [self.model.piece_to_id("▁")], not any(re.search("[^▁]▁", x) for x in pieces)
 
-        def encode(text: str) -> list[int]:
-            return [i for word in SPACED.findall(text) for i in words[word]]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts that start with a blank, which the model adds itself, but not to nothing."""
+        return [x or self.blank for x in self.model.encode([t[1:] for t in texts], num_threads=1)]
 
-        self.encode = (lambda text: model.encode(text[1:])) if whole else encode
 
+class Both:
+    """The ids of two tokenizers for texts that start with a blank. Whole texts are tokenised, in parts that both split them into at any rate.
 
-class Tokens:
-    """Byte lengths and space marks of a tokenizer's tokens, by id."""
+    A part is a run of blanks and what stands up to the next. No piece of the second vocabulary has a blank behind another character (else texts
+    are not split), so no merge reaches over the start of a part; the first splits there itself, but where another white-space character stands before
+    a blank that more white space or the end follows: such texts are one part. Distinct parts are tokenised once.
+    """
 
-    def __init__(self, tokenizer: ByteLevel | Pieces) -> None:
-        self.encode, self.bytes = tokenizer.encode, tokenizer.tokens
-        self.size, self.spaced = np.zeros(max(self.bytes) + 1, dtype=np.int64), np.zeros(max(self.bytes) + 1, dtype=bool)
-        for i, x in self.bytes.items():
-            self.size[i], self.spaced[i] = len(x), x[:1] == b" "
-
-
-def aligned(a: tuple[int, ...], b: tuple[int, ...], a_size: np.ndarray, b_size: np.ndarray) -> tuple[str, list[int], int]:
-    """A window's groups as text, the pairs of its links, and how many groups it has."""
-    groups, pairs, i, j = [], [], 0, 0
-    while i < len(a):
-        k, m, left, right = i + 1, j + 1, a_size[a[i]], b_size[b[j]]
-        while left != right:
-            if left < right:
-                left, k = left + a_size[a[k]], k + 1
-            else:
-                right, m = right + b_size[b[m]], m + 1
-        groups.append(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])))
-        pairs.append(a[k - 1] * SECOND + b[m - 1])
-        i, j = k, m
-    return ";".join(groups), pairs, len(groups)
+    def __init__(self, a: ByteLevel, b: Pieces) -> None:
+        self.by_words = b.by_words
 
+        def tokens(parts: list[str]) -> tuple[list[Rows], list]:
+            made = list(map(a.encode, parts)), b.encode(parts)
+            return [Rows(np.fromiter(chain.from_iterable(x), dtype=np.int64), np.fromiter(map(len, x), dtype=np.int64)) for x in made], []
 
-class Aligner:
-    def __init__(self, a: ByteLevel, b: Pieces) -> None:
-        self.a, self.b = Tokens(a), Tokens(b)
-        a_size, b_size = self.a.size.tolist(), self.b.size.tolist()
-        self.windows = Halved(lambda key: aligned(*key, a_size, b_size), lambda key: len(key[0]) + len(key[1]))
+        self.pool = Pool(tokens)
 
-    def texts(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray]]:
-        """Of each text: the numbers of its tokens and groups, its groups as text, the pairs of its links in order."""
+    def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
+        """For either tokenizer the ids of each text."""
+        parts = [(SPACED.findall(x) if self.by_words and not TOGETHER_BLANKS.search(x) else [x]) if x else [] for x in texts]
+        at, ends = self.pool.numbers(list(chain.from_iterable(parts))), np.cumsum([0, *map(len, parts)])
         out = []
-        for text in texts:
-            spaced = " " + text if text else ""
-            a, b = (self.a.encode(spaced), self.b.encode(spaced)) if spaced else ([], [])
-            want = spaced.encode()
-            if not spaced or any(b"".join([t.bytes.get(i, b"") for i in ids]) != want for t, ids in ((self.a, a), (self.b, b))):
-                out.append((0, 0, 0, "", np.empty(0, dtype=np.int64)))
-                continue
-            cut_a, cut_b = self.anchors(a, b)
-            found = list(map(self.windows.__getitem__, zip(map(tuple, map(a.__getitem__, cut_a)), map(tuple, map(b.__getitem__, cut_b)), strict=True)))
-            pairs = np.fromiter((p for x in found for p in x[1]), dtype=np.int64)
-            out.append((len(a), len(b), sum(x[2] for x in found), ";".join([x[0] for x in found]), pairs))
+        for kind in range(2):
+            ids, sizes = self.pool.gather(at, kind)
+            cuts = np.concatenate(([0], np.cumsum(sizes)))[ends]
+            out.append([ids[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
         return out
 
-    def anchors(self, a: list[int], b: list[int]) -> tuple[list[slice], list[slice]]:
-        """The windows of two id lists over the same bytes, as slices of each."""
-        a, b = np.array(a), np.array(b)
-        starts_a, starts_b = (np.concatenate(([0], np.cumsum(t.size[x])[:-1])) for t, x in ((self.a, a), (self.b, b)))
+
+class Tokens:
+    """Byte lengths and space marks of a tokenizer's tokens, and their bytes in one row, by id."""
+
+    def __init__(self, tokenizer: ByteLevel | Pieces) -> None:
+        named = [tokenizer.tokens.get(i, b"") for i in range(max(tokenizer.tokens) + 1)]
+        self.size = np.array([len(x) for x in named])
+        self.spaced = np.array([x[:1] == b" " for x in named])
+        self.flat, self.starts = np.frombuffer(b"".join(named), dtype=np.uint8), np.cumsum(self.size) - self.size
+        if not all(tokenizer.tokens.values()):
+            raise ValueError("a token without bytes ends where another does")
+
+    def bytes(self, ids: np.ndarray) -> np.ndarray:
+        return _cut(self.flat, self.starts[ids], self.size[ids])[0]
+
+
+#: Set in the ids of the second tokenizer within a window's key.
+_SECOND_MARK = 1 << 31
+
+
+class Aligner:
+    """Aligns texts of which several are taken up together: their tokens stand in one row for each tokenizer, over the same bytes."""
+
+    def __init__(self, a: ByteLevel, b: Pieces) -> None:
+        self.both, self.a, self.b = Both(a, b), Tokens(a), Tokens(b)
+        self.windows = Pool(self._aligned)
+        ids = [f"{i},".encode() for i in range(max(len(self.a.size), len(self.b.size)))]
+        self.digits, self.n_digits = np.frombuffer(b"".join(ids), dtype=np.uint8), np.array([len(x) for x in ids])
+        self.digits_at = np.cumsum(self.n_digits) - self.n_digits
+
+    def _aligned(self, keys: list[bytes]) -> tuple[list[Rows], list[str]]:
+        """The pairs of windows' links, how many each has, and its groups as text with a semicolon behind each.
+
+        A window's key has its ids as 32-bit integers, those of the second tokenizer behind the first's and marked. Both sides of a window are as
+        many bytes, so offsets agree all along the windows.
+        """
+        row = np.frombuffer(b"".join(keys), dtype="<u4").astype(np.int64)
+        window, second = np.repeat(np.arange(len(keys)), [len(k) // 4 for k in keys]), row >= _SECOND_MARK
+        a, b = row[~second], row[second] - _SECOND_MARK
+        ends_a, ends_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
+        met = np.zeros(int(ends_a[-1]) + 1, dtype=np.int8)
+        met[ends_a] += 1
+        met[ends_b] += 1
+        last_a, last_b = met[ends_a] == 2, met[ends_b] == 2
+        pairs = a[last_a] * SECOND + b[last_b]
+        counts = np.bincount(window[~second][last_a], minlength=len(keys))
+        # the ids of each group, the first tokenizer's before the second's, each with the sign behind it
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        n_a, n_b = np.bincount(group_a), np.bincount(group_b)
+        ids, last = np.empty(len(row), dtype=np.int64), np.zeros(len(row), dtype=np.uint8)
+        place_a, place_b = np.arange(len(a)) + (np.cumsum(n_b) - n_b)[group_a], np.arange(len(b)) + np.cumsum(n_a)[group_b]
+        ids[place_a], ids[place_b], last[place_a[last_a]], last[place_b[last_b]] = a, b, ord("|"), ord(";")
+        text, sizes = _cut(self.digits, self.digits_at[ids], self.n_digits[ids])
+        ends = np.cumsum(sizes)
+        text[ends[last > 0] - 1] = last[last > 0]
+        whole = text.tobytes().decode()
+        stops = ends[np.cumsum(np.bincount(window)) - 1].tolist()
+        return [Rows(pairs, counts)], list(map(whole.__getitem__, map(slice, [0, *stops[:-1]], stops)))
+
+    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], list[np.ndarray]]:
+        """Of each text: the numbers of its tokens and of its groups, its groups as text, the pairs of its links in order."""
+        spaced = [" " + t if t else "" for t in texts]
+        want = [x.encode() for x in spaced]
+        a, b = self.both.encode(spaced)
+        for i, w in enumerate(want):
+            if self.a.bytes(a[i]).tobytes() != w or self.b.bytes(b[i]).tobytes() != w:
+                a[i], b[i] = a[i][:0], b[i][:0]
+        n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+        ids, first_a = self._windows(np.concatenate(a), np.concatenate(b))
+        flat, links = self.windows.gather(ids)
+        # a window belongs to the text that its first token does
+        cuts = np.searchsorted(first_a, np.concatenate(([0], np.cumsum(n_a))))
+        in_order, strings = ids.tolist(), self.windows.marks
+        groups = ["".join(map(strings.__getitem__, in_order[i:j]))[:-1] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        ends = np.concatenate(([0], np.cumsum(links)))[cuts]
+        return n_a, n_b, np.diff(ends), groups, [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _windows(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of two rows of ids over the same bytes, as numbers in the pool, and the place of each one's first token.
+
+        Both rows start with a marked token, as every text does.
+        """
+        if not len(a):
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        starts_a, starts_b = (np.cumsum(t.size[x]) - t.size[x] for t, x in ((self.a, a), (self.b, b)))
+        anchor = np.zeros(int(starts_a[-1]) + 1 + int(self.a.size[a[-1]]), dtype=np.int8)
         marked_a, marked_b = np.flatnonzero(self.a.spaced[a]), np.flatnonzero(self.b.spaced[b])
-        _, i, j = np.intersect1d(starts_a[marked_a], starts_b[marked_b], assume_unique=True, return_indices=True)
-        cut_a, cut_b = np.append(marked_a[i], len(a)).tolist(), np.append(marked_b[j], len(b)).tolist()
-        return list(map(slice, cut_a[:-1], cut_a[1:])), list(map(slice, cut_b[:-1], cut_b[1:]))
+        anchor[starts_a[marked_a]] += 1
+        anchor[starts_b[marked_b]] += 1
+        first_a, first_b = marked_a[anchor[starts_a[marked_a]] == 2], marked_b[anchor[starts_b[marked_b]] == 2]
+        # each window's ids of the first tokenizer, then those of the second, in one row of bytes
+        n_a, n_b = np.diff(np.append(first_a, len(a))), np.diff(np.append(first_b, len(b)))
+        row = np.empty(len(a) + len(b), dtype="<u4")
+        row[np.arange(len(a)) + np.repeat(first_b, n_a)] = a
+        row[np.arange(len(b)) + np.repeat(first_a + n_a, n_b)] = b + _SECOND_MARK
+        ends = 4 * np.cumsum(n_a + n_b)
+        whole, ends = row.tobytes(), ends.tolist()
+        return self.windows.numbers(list(map(whole.__getitem__, map(slice, [0, *ends[:-1]], ends)))), first_a
+
+
+def _counted_in_texts(pairs: list[np.ndarray]) -> tuple[list[bytes], list[bytes]]:
+    """The distinct pairs of each text and how often it has them, packed."""
+    n = np.array([len(x) for x in pairs])
+    kinds, at = np.unique(np.concatenate(pairs), return_inverse=True)
+    keys, times = np.unique(np.repeat(np.arange(len(pairs)), n) * max(len(kinds), 1) + at, return_counts=True)
+    cuts = np.searchsorted(keys, np.arange(len(pairs) + 1) * max(len(kinds), 1)).tolist()
+    names, times = kinds[keys % max(len(kinds), 1)].astype("<i8").tobytes() if len(keys) else b"", times.astype("<i4").tobytes()
+    return [names[8 * i : 8 * j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], [times[4 * i : 4 * j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @lru_cache(1)
@@ -184,11 +289,10 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
         for batch in batches:
             i = 0
             for texts in _some(batch.column(1)):
-                done = tool.texts(texts)
-                both = [np.unique(x[4], return_counts=True) for x in done]
-                counts = [pa.array([x[k] for x in done], pa.int64()) for k in range(3)]
-                packed = [pa.array([p.astype("<i8").tobytes() for p, _ in both], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in both], pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), *counts, pa.array([x[3] for x in done], pa.string()), *packed], ["doc_id", "n_a", "n_b", "n_groups", "groups", "pairs", "times"])
+                n_a, n_b, n_groups, groups, pairs = tool.texts(texts)
+                kinds, times = _counted_in_texts(pairs)
+                columns = [*(pa.array(x.astype(np.int64)) for x in (n_a, n_b, n_groups)), pa.array(groups, pa.string()), pa.array(kinds, pa.binary()), pa.array(times, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), *columns], ["doc_id", "n_a", "n_b", "n_groups", "groups", "pairs", "times"])
                 i += len(texts)
 
     rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))

@@ -72,20 +72,23 @@ def expected(rows, tools):
 
 def test_ids(tools):
     a, b, _, _ = tools
-    mine = alignment.ByteLevel(A), alignment.Pieces(B)
-    for t in texts(3000):
-        assert mine[0].encode(" " + t) == a.encode(" " + t, add_special_tokens=False).ids
-        if t and "▁" not in t:
-            assert mine[1].encode(" " + t) == b.encode(t)
+    both, some = alignment.Both(alignment.ByteLevel(A), alignment.Pieces(B)), [*texts(4000), "x\n  y", "x\n ", "x\t y", "\n", "\n ", " ", "  ", "a \n b", "a\u3000  b", "a\x85  b"]
+    for i in range(0, len(some), 100):
+        part = some[i : i + 100]
+        for t, x, y in zip(part, *both.encode([" " + t if t else "" for t in part]), strict=True):
+            assert x.tolist() == (a.encode(" " + t, add_special_tokens=False).ids if t else [])
+            assert "▁" in t or y.tolist() == b.encode(t)
 
 
-def test_cache_is_halved(tools, monkeypatch):
+def test_pools_start_anew(tools, monkeypatch):
     monkeypatch.setattr(alignment, "CACHE", 5)
     tool = alignment.Aligner(alignment.ByteLevel(A), alignment.Pieces(B))
-    for t, got in zip(some := texts(200, 7), tool.texts(some), strict=True):
-        x, y, g, k = plain(t, tools)
-        assert got[:4] == (len(x), len(y), len(g), ";".join("|".join(s) for s in g))
-        assert got[4].tolist() == [i * alignment.SECOND + j for i, j in k]
+    some = texts(200, 7)
+    for i in range(0, 200, 20):
+        for t, *got in zip(some[i : i + 20], *tool.texts(some[i : i + 20]), strict=True):
+            x, y, g, k = plain(t, tools)
+            assert got[:4] == [len(x), len(y), len(g), ";".join("|".join(s) for s in g)]
+            assert got[4].tolist() == [i * alignment.SECOND + j for i, j in k]
 
 
 def order(rows):
