@@ -171,7 +171,32 @@ def card_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.select(rows.select("qid", "doc_pos", "id", "score", "n")).select("qid", "ord", "id")
 
 
-@register()
+CODE, DECIMAL = "^(第[零〇一二三四五六七八九十百千万两0-9]+条)[\\s\\p{Z}]*(.*)$", "^([0-9]{1,2}(?:\\.[0-9]{1,2}){1,2})[\\s\\p{Z}]*(.*)$"
+TITLED = "(length({0}) BETWEEN 1 AND {1} AND NOT regexp_matches({0}, '[。；，：]'))"
+
+
+@register(
+    f"""WITH t AS (SELECT doc_id, array_to_string(list_transform(string_split(text, '. '), lambda x, i: '第' || i || '条 ' || x || '。'), chr(10)) AS t FROM documents),
+l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, list_transform(string_split_regex(t, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {STRIP.format("x")}) AS x FROM t)),
+c AS (SELECT *, CASE WHEN regexp_matches(line, '{CODE}') THEN regexp_extract(line, '{CODE}', 1) WHEN regexp_matches(line, '{DECIMAL}') THEN regexp_extract(line, '{DECIMAL}', 1) END AS code,
+  {STRIP.format(f"CASE WHEN regexp_matches(line, '{CODE}') THEN regexp_extract(line, '{CODE}', 2) WHEN regexp_matches(line, '{DECIMAL}') THEN regexp_extract(line, '{DECIMAL}', 2) END")} AS rest FROM l WHERE line <> ''),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, count(code) OVER (PARTITION BY doc_id) AS codes, sum(len(regexp_extract_all(line, '[.。·…]{{5,}}'))) OVER (PARTITION BY doc_id) AS leaders FROM c)
+  WHERE NOT (codes >= 7 AND leaders >= 3) AND NOT (r = 1 AND regexp_matches(line, '^[0-9]+$')) AND NOT regexp_matches(line, '^-[0-9]+-$')),
+a AS (SELECT *, code IS NOT NULL AND CASE WHEN starts_with(code, '第') THEN {TITLED.format("rest", 32)} ELSE {TITLED.format("rest", 50)} END AS entitled, code IS NULL AND coalesce(lag(rest = '') OVER w, false) AS awaited FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT *, CASE WHEN entitled THEN rest WHEN awaited AND {TITLED.format("line", 50)} THEN line END AS begun FROM a),
+g AS (SELECT *, lag(begun) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM b),
+h AS (SELECT *, coalesce(code IS NULL AND begun IS NULL AND length(prev) <= 12 AND length(line) <= 12 AND {TITLED.format("line", 50)} AND NOT regexp_matches(line, '^[（(]?[0-9一二三四五六七八九十]+[）)．.]'), false) AS goes_on FROM g),
+m AS (SELECT *, last_value(CASE WHEN begun IS NOT NULL THEN begun WHEN goes_on THEN prev || line WHEN code IS NOT NULL OR awaited THEN '' END IGNORE NULLS) OVER w AS title, last_value(code IGNORE NULLS) OVER w AS clause,
+  count(*) FILTER (code IS NOT NULL OR goes_on) OVER w AS turn, CASE WHEN code IS NOT NULL THEN rest ELSE line END AS said FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+body AS (SELECT doc_id, turn, any_value(clause) AS clause, list(said ORDER BY i) AS lines FROM m WHERE clause IS NOT NULL AND begun IS NULL AND NOT goes_on AND said <> '' GROUP BY doc_id, turn, title),
+piece AS (SELECT doc_id, turn, clause, flatten(list_transform(lines, lambda x: CASE WHEN length(x) <= 520 THEN [x] ELSE flatten(list_transform(regexp_extract_all(x, '[^。；！？]*[。；！？]|[^。；！？]+'), lambda y: list_transform(range(0, length(y), 520), lambda j: substr(y, j + 1, 520)))) END)) AS p FROM body),
+packed AS (SELECT doc_id, turn, clause, list_reduce(list_transform(p, lambda x: [x]), lambda o, x: CASE WHEN length(o[-1]) + 1 + length(x[1]) <= 520 THEN list_append(o[1:len(o)-1], o[-1] || chr(10) || x[1]) ELSE list_append(o, x[1]) END) AS o FROM piece),
+v AS (SELECT doc_id, turn, clause, unnest(o) AS verbatim, generate_subscripts(o, 1) AS part FROM packed),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, clause, replace(regexp_replace(verbatim, '[\\s\\p{{Z}}]+', '', 'g'), '％', '%') ORDER BY turn, part) AS again FROM v) WHERE again = 1),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY turn, part) AS seq FROM once)
+SELECT doc_id || ':p0:' || lpad(seq::VARCHAR, 4, '0') AS id, doc_id::VARCHAR AS doc_id, 0 AS page, clause, 'other_clause' AS topic,
+  len(list_distinct(list_transform(regexp_extract_all(replace(verbatim, '％', '%'), '-?[0-9][0-9,]*(?:\\.[0-9]+)?\\s*%'), lambda x: regexp_replace(x, '\\s+', '', 'g'))))::INT AS n_numbers, length(verbatim)::INT AS n_chars FROM s"""
+)
 def clause_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards of documents whose sentences are numbered as clauses."""
     d = spread(table(spark, sf_dir, "documents"))
