@@ -6,6 +6,7 @@ Built-in functions throughout.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,6 +45,11 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is made once, also where functions within ``f`` read it for each element of an array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without leading and trailing Unicode white space."""
     return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
@@ -149,8 +155,10 @@ def shared_phrases(query: Column, text: Column, longest: int = 10) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1)))
         return F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), F.lit(longest)), lambda n: F.when(i + n - 1 <= F.length(run), F.substr(run, i, n)))))
 
-    phrases = F.array_distinct(F.filter(F.flatten(F.transform(runs, cuts)), lambda p: p.isNotNull() & F.contains(text, p) & ~p.isin(*GENERAL_WORDS)))
-    return F.filter(phrases, lambda p: ~F.exists(phrases, lambda q: (q != p) & F.contains(q, p)))
+    found = F.array_distinct(F.filter(F.array_distinct(F.flatten(F.transform(runs, cuts))), lambda p: p.isNotNull() & F.contains(text, p) & ~p.isin(*GENERAL_WORDS)))
+    # what a phrase without its first or last character leaves is within it; general words are as short as phrases go, so leaving them out breaks no chain of these
+    shorter = lambda q: F.array(F.substr(q, F.lit(2)), F.substr(q, F.lit(1), F.length(q) - 1))
+    return bound(found, lambda phrases: F.array_except(phrases, F.flatten(F.transform(phrases, shorter))))
 
 
 def compact(text: Column) -> Column:

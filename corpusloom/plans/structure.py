@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import cards, chunk, evidence, facts, identity, titles
+from corpusloom.operators import cards, chunk, evidence, facts, identity, index, titles
 from corpusloom.plans.catalogue import register
-from corpusloom.session import spread, table
+from corpusloom.plans.retrieval import bm25_sql
+from corpusloom.session import Scratch, spread, table
 from corpusloom.sources import html
 
 UNESCAPE = "replace(replace(replace(replace(replace(replace({0}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
@@ -175,8 +176,8 @@ CODE, DECIMAL = "^(第[零〇一二三四五六七八九十百千万两0-9]+条)
 TITLED = "(length({0}) BETWEEN 1 AND {1} AND NOT regexp_matches({0}, '[。；，：]'))"
 
 
-@register(
-    f"""WITH t AS (SELECT doc_id, array_to_string(list_transform(string_split(text, '. '), lambda x, i: '第' || i || '条 ' || x || '。'), chr(10)) AS t FROM documents),
+NUMBERS = "list_distinct(list_transform(regexp_extract_all(replace({0}, '％', '%'), '-?[0-9][0-9,]*(?:\\.[0-9]+)?\\s*%'), lambda x: regexp_replace(x, '\\s+', '', 'g')))"
+CARDS_SQL = f"""t AS (SELECT doc_id, array_to_string(list_transform(string_split(text, '. '), lambda x, i: '第' || i || '条 ' || x || '。'), chr(10)) AS t FROM documents),
 l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, list_transform(string_split_regex(t, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {STRIP.format("x")}) AS x FROM t)),
 c AS (SELECT *, CASE WHEN regexp_matches(line, '{CODE}') THEN regexp_extract(line, '{CODE}', 1) WHEN regexp_matches(line, '{DECIMAL}') THEN regexp_extract(line, '{DECIMAL}', 1) END AS code,
   {STRIP.format(f"CASE WHEN regexp_matches(line, '{CODE}') THEN regexp_extract(line, '{CODE}', 2) WHEN regexp_matches(line, '{DECIMAL}') THEN regexp_extract(line, '{DECIMAL}', 2) END")} AS rest FROM l WHERE line <> ''),
@@ -188,20 +189,27 @@ g AS (SELECT *, lag(begun) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM b)
 h AS (SELECT *, coalesce(code IS NULL AND begun IS NULL AND length(prev) <= 12 AND length(line) <= 12 AND {TITLED.format("line", 50)} AND NOT regexp_matches(line, '^[（(]?[0-9一二三四五六七八九十]+[）)．.]'), false) AS goes_on FROM g),
 m AS (SELECT *, last_value(CASE WHEN begun IS NOT NULL THEN begun WHEN goes_on THEN prev || line WHEN code IS NOT NULL OR awaited THEN '' END IGNORE NULLS) OVER w AS title, last_value(code IGNORE NULLS) OVER w AS clause,
   count(*) FILTER (code IS NOT NULL OR goes_on) OVER w AS turn, CASE WHEN code IS NOT NULL THEN rest ELSE line END AS said FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-body AS (SELECT doc_id, turn, any_value(clause) AS clause, list(said ORDER BY i) AS lines FROM m WHERE clause IS NOT NULL AND begun IS NULL AND NOT goes_on AND said <> '' GROUP BY doc_id, turn, title),
-piece AS (SELECT doc_id, turn, clause, flatten(list_transform(lines, lambda x: CASE WHEN length(x) <= 520 THEN [x] ELSE flatten(list_transform(regexp_extract_all(x, '[^。；！？]*[。；！？]|[^。；！？]+'), lambda y: list_transform(range(0, length(y), 520), lambda j: substr(y, j + 1, 520)))) END)) AS p FROM body),
-packed AS (SELECT doc_id, turn, clause, list_reduce(list_transform(p, lambda x: [x]), lambda o, x: CASE WHEN length(o[-1]) + 1 + length(x[1]) <= 520 THEN list_append(o[1:len(o)-1], o[-1] || chr(10) || x[1]) ELSE list_append(o, x[1]) END) AS o FROM piece),
-v AS (SELECT doc_id, turn, clause, unnest(o) AS verbatim, generate_subscripts(o, 1) AS part FROM packed),
+body AS (SELECT doc_id, turn, any_value(clause) AS clause, any_value(title) AS title, list(said ORDER BY i) AS lines FROM m WHERE clause IS NOT NULL AND begun IS NULL AND NOT goes_on AND said <> '' GROUP BY doc_id, turn, title),
+piece AS (SELECT doc_id, turn, clause, title, flatten(list_transform(lines, lambda x: CASE WHEN length(x) <= 520 THEN [x] ELSE flatten(list_transform(regexp_extract_all(x, '[^。；！？]*[。；！？]|[^。；！？]+'), lambda y: list_transform(range(0, length(y), 520), lambda j: substr(y, j + 1, 520)))) END)) AS p FROM body),
+packed AS (SELECT doc_id, turn, clause, title, list_reduce(list_transform(p, lambda x: [x]), lambda o, x: CASE WHEN length(o[-1]) + 1 + length(x[1]) <= 520 THEN list_append(o[1:len(o)-1], o[-1] || chr(10) || x[1]) ELSE list_append(o, x[1]) END) AS o FROM piece),
+v AS (SELECT doc_id, turn, clause, title, unnest(o) AS verbatim, generate_subscripts(o, 1) AS part FROM packed),
 once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, clause, replace(regexp_replace(verbatim, '[\\s\\p{{Z}}]+', '', 'g'), '％', '%') ORDER BY turn, part) AS again FROM v) WHERE again = 1),
-s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY turn, part) AS seq FROM once)
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY turn, part) AS seq FROM once)"""
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Documents whose sentences are numbered as clauses."""
+    numbered = F.array_join(F.transform(F.split("text", "\\. ", -1), lambda s, i: F.concat(F.lit("第"), (i + 1).cast("string"), F.lit("条 "), s, F.lit("。"))), "\n")
+    return docs.select("doc_id", numbered.alias("text"))
+
+
+@register(f"""WITH {CARDS_SQL}
 SELECT doc_id || ':p0:' || lpad(seq::VARCHAR, 4, '0') AS id, doc_id::VARCHAR AS doc_id, 0 AS page, clause, 'other_clause' AS topic,
-  len(list_distinct(list_transform(regexp_extract_all(replace(verbatim, '％', '%'), '-?[0-9][0-9,]*(?:\\.[0-9]+)?\\s*%'), lambda x: regexp_replace(x, '\\s+', '', 'g'))))::INT AS n_numbers, length(verbatim)::INT AS n_chars FROM s"""
-)
+  len({NUMBERS.format("verbatim")})::INT AS n_numbers, length(verbatim)::INT AS n_chars FROM s""")
 def clause_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards of documents whose sentences are numbered as clauses."""
     d = spread(table(spark, sf_dir, "documents"))
-    numbered = F.array_join(F.transform(F.split("text", "\\. ", -1), lambda s, i: F.concat(F.lit("第"), (i + 1).cast("string"), F.lit("条 "), s, F.lit("。"))), "\n")
-    return cards.cards(d.select("doc_id", numbered.alias("text"))).select("id", "doc_id", "page", "clause", "topic", F.size("numbers").alias("n_numbers"), F.length("verbatim").alias("n_chars"))
+    return cards.cards(_numbered(d)).select("id", "doc_id", "page", "clause", "topic", F.size("numbers").alias("n_numbers"), F.length("verbatim").alias("n_chars"))
 
 
 @register()
@@ -257,6 +265,42 @@ def card_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.overlaps(items, docs, cards.MOST_CARDS).select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), "overlap", "place")
 
 
+PHRASES = """list_filter(list_distinct(flatten(list_transform(regexp_extract_all(regexp_replace(q, '[\\s\\p{Z}]+', '', 'g'), '[A-Za-z0-9.%％一-鿿]+'),
+  lambda r: flatten(list_transform(range(1, length(r)), lambda i: list_transform(range(2, least(10, length(r) - i + 1) + 1), lambda n: substr(r, i, n))))))), lambda p: contains(verbatim, p))"""
+
+
+@register(
+    bm25_sql(
+        "'all'",
+        f""", {CARDS_SQL},
+card AS (SELECT doc_id || ':p0:' || lpad(seq::VARCHAR, 4, '0') AS id, doc_id, title, verbatim FROM s),
+pair AS (SELECT r.qid, r.rank AS doc_pos, card.*, q FROM ranked r JOIN card ON card.doc_id = r.unit JOIN q ON q.qid = r.qid WHERE r.rank <= 4 AND r.score > 0),
+toks AS (SELECT qid, id, [lower(x) FOR x IN regexp_extract_all(q, '[0-9]+(?:\\.[0-9]+)?%?|[A-Za-z]+')] AS a, regexp_extract_all(verbatim, '[0-9]+(?:\\.[0-9]+)?%?|[A-Za-z]+|[一-鿿]+') AS b FROM pair),
+tok AS (SELECT qid, id, t, len(list_filter(a, lambda x: x = t)) AS n, len(list_filter(b, lambda x: lower(x) = t)) AS m FROM (SELECT *, unnest(list_distinct(a)) AS t FROM toks)),
+overlap AS (SELECT qid, id, sum(least(n, m) * CASE WHEN regexp_matches(t, '^[0-9]|%$') THEN 4.0 ELSE 0.6 END) AS v FROM tok GROUP BY ALL),
+phrased AS (SELECT qid, id, list_sum(list_transform(list_filter(p, lambda x: len(list_filter(p, lambda y: y <> x AND contains(y, x))) = 0), lambda x: 4 * length(x) * length(x))) AS v FROM (SELECT qid, id, {PHRASES} AS p FROM pair)),
+valued AS (
+  SELECT qid, id, doc_pos, length(verbatim) AS n, round(coalesce(overlap.v, 0) + coalesce(phrased.v, 0) + 6 * len(list_intersect({NUMBERS.format("q")}, {NUMBERS.format("verbatim")}))
+    + CASE WHEN length(regexp_replace(title, '[\\s：:（）()]+', '', 'g')) >= 2 AND contains(regexp_replace(q, '\\s+', '', 'g'), regexp_replace(title, '[\\s：:（）()]+', '', 'g')) THEN 24 ELSE 0 END
+    + 60 * len(list_filter(list_distinct(list_filter(list_transform(flatten(list_transform(regexp_extract_all(q, '[“"]([^”"]{{2,80}})[”"]', 1), lambda x: string_split_regex(x, '[、,，/]|或|以及|等'))), lambda x: regexp_replace(x, '^[\\s‘’''（(]+|[\\s‘’''）)]+$', '', 'g')), lambda x: length(x) >= 2)), lambda x: contains(verbatim, x))), 3)::DOUBLE AS score
+  FROM pair LEFT JOIN overlap USING (qid, id) LEFT JOIN phrased USING (qid, id)),
+turned AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_pos ORDER BY score DESC, id) AS turn FROM valued WHERE score > 0),
+ordered AS (SELECT qid, list(struct_pack(id := id, n := n, score := score) ORDER BY least(turn, 3), CASE WHEN turn <= 2 THEN doc_pos ELSE 0 END, score DESC, id) AS c FROM turned WHERE turn <= 56 GROUP BY qid),
+taken AS (SELECT qid, list_reduce(list_transform(c, lambda x: {{'used': x.n, 'ids': [struct_pack(id := x.id, score := x.score)]}}), lambda a, x: CASE WHEN len(a.ids) < 24 AND a.used + x.used + 150 <= 8500 THEN {{'used': a.used + x.used + 150, 'ids': list_append(a.ids, x.ids[1])}} ELSE a END, {{'used': 0::BIGINT, 'ids': []::STRUCT(id VARCHAR, score DOUBLE)[]}}) AS r FROM ordered)
+SELECT qid AS item_id, (i - 1)::INT AS ord, e.id AS id, e.score AS score FROM (SELECT qid, unnest(r.ids) AS e, generate_subscripts(r.ids, 1) AS i FROM taken)""",
+    )
+)
+def card_rank_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clause cards that each item takes of the four documents that fit it best, by tokens, topics, numbers, titles, phrases and anchors."""
+    docs = table(spark, sf_dir, "documents")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    best = index.top(index.scores(docs.select(F.lit("all").alias("index_key"), F.col("doc_id").alias("unit"), "text"), items), 4)
+    chosen = Scratch(spark, "chosen").keep(best.select("qid", F.col("unit").alias("doc_id"), F.col("rank").cast("long").alias("doc_pos")), "chosen")
+    wanted = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = cards.ranked(items, chosen, cards.cards(_numbered(wanted)))
+    return cards.select(found.select("qid", "doc_pos", "id", "score", "n")).select(F.col("qid").alias("item_id"), "ord", "id", "score")
+
+
 @register()
 def policy_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identities of documents under a cover that names an insurer by the source's number and a product by the document's."""

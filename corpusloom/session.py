@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -50,11 +52,28 @@ def shared_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Where note() puts the scratch folders that are made.
+_noted: list[Scratch] | None = None
+
+
+@contextmanager
+def note() -> Iterator[list[Scratch]]:
+    """The scratch folders that are made within, for a caller that knows when their tables are read no more."""
+    global _noted
+    before, _noted = _noted, []
+    try:
+        yield _noted
+    finally:
+        _noted = before
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage so that a lost executor costs no recomputation."""
 
     def __init__(self, spark: SparkSession, what: str) -> None:
         self.spark, self.root = spark, f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+        if _noted is not None:
+            _noted.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -63,9 +82,9 @@ class Scratch:
         df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Removes a table that no later step reads."""
-        jvm, at = self.spark._jvm, self.path(name)
+    def drop(self, name: str | None = None) -> None:
+        """Removes a table, or all of them, that no later step reads."""
+        jvm, at = self.spark._jvm, self.path(name) if name else self.root
         where = jvm.org.apache.hadoop.fs.Path(at)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
