@@ -262,9 +262,9 @@ def ids_in_prose(text: Column) -> Column:
 
 
 def safe_path(path: Column) -> Column:
-    """Whether a path stays below the folder that it is taken from: relative, without steps ``.`` and ``..``, not empty."""
+    """Whether a path stays below the folder that it is taken from: relative, without steps ``.`` and ``..``, not empty. Doubled and last slashes say nothing."""
     steps = F.split(path, "/", -1)
-    return F.coalesce((F.trim(path) != "") & ~path.rlike("^([A-Za-z]:)?[/\\\\]") & ~F.arrays_overlap(steps, F.array(F.lit("."), F.lit(".."), F.lit(""))), F.lit(False))
+    return F.coalesce((F.trim(path) != "") & ~path.rlike("^([A-Za-z]:)?[/\\\\]") & ~F.arrays_overlap(steps, F.array(F.lit("."), F.lit(".."))), F.lit(False))
 
 
 def contents_like(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import leaks_credentials
+from corpusloom.operators.contain import occurrences
 
 # What a follow-up search is asked for by, the models allowed and the states of a call.
 FOLLOW_UP = "补充检索[:：]\\s*([^\\n]+)"
@@ -27,9 +28,11 @@ def call_shape(calls: DataFrame, models: str) -> DataFrame:
     """``line, problem`` of call records that lack what each must have.
 
     Takes ``line, status, qid, model, attempt, started_at, finished_at, n_messages, max_tokens, total_tokens, error_type, error``. A failed call
-    has an error and no usage, and its message no credential; a good one has no error.
+    has an error and no usage, and its message no credential; a good one has a usage and no error. Times are finite. See call_fields() for the
+    fields of the record itself.
     """
     failed = F.col("status") == "request_error"
+    finite = lambda c: F.abs(F.col(c).cast("double")) < float("inf")  # noqa: E731  (NaN is larger than infinity here)
     return _problems(
         calls,
         ["line"],
@@ -38,16 +41,49 @@ def call_shape(calls: DataFrame, models: str) -> DataFrame:
             "model": allowed_model(F.col("model"), models),
             "qid": F.trim(F.col("qid").cast("string")) != "",
             "attempt": F.col("attempt") >= 1,
-            "timestamps": ~F.isnan(F.col("started_at").cast("double")) & (F.col("finished_at") >= F.col("started_at")),
+            "timestamps": finite("started_at") & finite("finished_at") & (F.col("finished_at") >= F.col("started_at")),
             "messages": F.col("n_messages") >= 1,
             "max_tokens": F.col("max_tokens") >= 1,
-            "usage": F.when(failed, F.col("total_tokens").isNull()).otherwise(F.lit(True)),
+            "usage": F.when(failed, F.col("total_tokens").isNull()).otherwise(F.col("total_tokens").isNotNull()),
             "error": F.when(failed, (F.trim("error_type") != "") & F.col("error").isNotNull()).otherwise(F.col("error").isNull()),
             "credential": ~leaks_credentials(F.col("error")),
         },
     )
 
 
+# The fields of a call's record, those that its outcome adds, and those of its request.
+CALL_FIELDS, OK_FIELDS, ERROR_FIELDS = ("status", "qid", "tag", "model", "attempt", "started_at", "finished_at", "request"), ("response", "usage"), ("error",)
+REQUEST_FIELDS = ("messages", "max_tokens", "temperature", "extra_body")
+
+
+def call_fields(records: DataFrame) -> DataFrame:
+    """``line, problem`` of records ``line, record`` (JSON text) that have other fields than a call must have, or fields of another kind.
+
+    Numbers are no booleans or strings; attempts and most tokens are whole and 1 at least.
+    """
+    v = F.col("v")
+    at = lambda path: F.try_variant_get(v, path, "variant")
+    kind = lambda path: F.schema_of_variant(at(path))
+    keys = lambda c: F.array_sort(F.json_object_keys(c))
+    names = lambda *n: F.array(*[F.lit(x) for x in sorted(n)])
+    counted = lambda path: (kind(path) == "BIGINT") & (F.try_variant_get(v, path, "bigint") >= 1)
+    number = lambda path: kind(path).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    good = F.try_variant_get(v, "$.status", "string") == "ok"
+    rows = records.select("line", "record", F.try_parse_json("record").alias("v"))
+    return _problems(
+        rows,
+        ["line"],
+        {
+            "fields": keys(F.col("record")) == F.when(good, names(*CALL_FIELDS, *OK_FIELDS)).otherwise(names(*CALL_FIELDS, *ERROR_FIELDS)),
+            "attempt": counted("$.attempt"),
+            "timestamps": number("$.started_at") & number("$.finished_at"),
+            "request fields": keys(F.get_json_object("record", "$.request")) == names(*REQUEST_FIELDS),
+            "messages": kind("$.request.messages").startswith("ARRAY") & at("$.request.messages[0]").isNotNull(),
+            "controls": counted("$.request.max_tokens") & number("$.request.temperature") & kind("$.request.extra_body").startswith("OBJECT"),
+        },
+    )
+
+
 def concrete_evidence(entries: DataFrame) -> DataFrame:
     """``qid, problem`` of evidence that isn't there, isn't whole, is of no selected document, or is in another order than its ids.
 
@@ -92,16 +128,19 @@ def query_surface(questions: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def reasoning_origin(finals: DataFrame, calls: DataFrame) -> DataFrame:
-    """``qid, problem``: answers whose reasoning no good call of the question has, word for word, or that another question's call has alone.
+    """``qid, problem``: answers whose reasoning no good call of the question contains, word for word, or that another question's call has alone.
 
-    Takes ``qid, reasoning`` and ``qid, status, content``. Reasoning and contents meet by their digests.
+    Takes ``qid, reasoning`` and ``qid, status, content`` with, if there is one, ``reasoning_content``: either may contain it. A reasoning is looked
+    for in the question's own calls; what is not there is searched for in all others at once.
     """
-    digest = lambda c: F.sha2(F.trim(c).cast("binary"), 256)
-    said = calls.filter("status = 'ok'").select("qid", digest(F.col("content")).alias("d")).distinct()
-    own = finals.select("qid", digest(F.col("reasoning")).alias("d"), (F.trim(F.coalesce("reasoning", F.lit(""))) == "").alias("blank"))
-    there = own.join(said.withColumn("own", F.lit(True)), ["qid", "d"], "left").join(said.groupBy("d").agg(F.lit(True).alias("others")), "d", "left")
-    problem = F.when(F.col("blank"), "blank").when(F.col("own"), None).when(F.col("others"), "another question").otherwise("no call")
-    return there.select("qid", problem.alias("problem")).filter("problem is not null")
+    fields = [c for c in ("content", "reasoning_content") if c in calls.columns]
+    said = calls.filter("status = 'ok'").select("qid", F.explode(F.array(*fields)).alias("said")).filter("said is not null")
+    own = finals.select("qid", F.trim(F.coalesce("reasoning", F.lit(""))).alias("reasoning"))
+    found = own.join(said, "qid").filter((F.col("reasoning") != "") & F.contains("said", F.col("reasoning"))).select("qid").distinct()
+    rest = own.join(found, "qid", "left_anti")
+    elsewhere = occurrences(said, rest, "qid", "said", "reasoning").select("reasoning").distinct().withColumn("others", F.lit(True))
+    problem = F.when(F.col("reasoning") == "", "blank").when(F.col("others"), "another question").otherwise("no call")
+    return rest.join(elsewhere, "reasoning", "left").select("qid", problem.alias("problem"))
 
 
 def config_differences(entries: DataFrame, config: dict[str, str]) -> DataFrame:

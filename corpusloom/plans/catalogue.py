@@ -30,4 +30,4 @@ def register(sql: str | None = None):
     return add
 
 
-from corpusloom.plans import answers, audit, provenance, retrieval, routing, structure  # noqa: E402, F401  (they register their queries)
+from corpusloom.plans import answers, audit, durable, provenance, retrieval, routing, structure  # noqa: E402, F401  (they register their queries)

@@ -29,7 +29,7 @@ CALLS = """c AS (SELECT conv_id * 100 + turn AS line, CASE WHEN turn % 5 = 4 THE
     f"""WITH {CALLS}, p AS (SELECT line, unnest([
   CASE WHEN status NOT IN ('ok', 'request_error') THEN 'status' END, CASE WHEN model NOT IN ('user', 'assistant') THEN 'model' END, CASE WHEN attempt < 1 THEN 'attempt' END,
   CASE WHEN finished_at < started_at THEN 'timestamps' END, CASE WHEN n_messages < 1 THEN 'messages' END, CASE WHEN max_tokens < 1 THEN 'max_tokens' END,
-  CASE WHEN status = 'request_error' AND total_tokens IS NOT NULL THEN 'usage' END,
+  CASE WHEN (status = 'request_error') = (total_tokens IS NOT NULL) THEN 'usage' END,
   CASE WHEN CASE WHEN status = 'request_error' THEN trim(error_type) = '' OR error IS NULL ELSE error IS NOT NULL END THEN 'error' END,
   CASE WHEN {LEAK.format("coalesce(error, '')")} THEN 'credential' END]) AS problem FROM c)
 SELECT line, problem FROM p WHERE problem IS NOT NULL"""
@@ -44,6 +44,21 @@ def call_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.call_shape(calls, "user|assistant")
 
 
+@register(
+    """SELECT line, problem FROM (SELECT conv_id * 100 + turn AS line, turn, unnest([CASE WHEN turn % 3 = 2 THEN 'fields' END, CASE WHEN turn % 4 = 3 THEN 'attempt' END, CASE WHEN turn % 5 = 4 THEN 'timestamps' END, CASE WHEN turn % 6 = 5 THEN 'request fields' END,
+  CASE WHEN turn = 6 THEN 'messages' END, CASE WHEN turn % 6 = 1 THEN 'controls' END]) AS problem FROM conversations) WHERE problem IS NOT NULL"""
+)
+def call_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as records of calls, with a surplus field, an attempt that is true, a time as text, a surplus control, no messages or a temperature that is text here and there."""
+    turn = F.col("turn")
+    attempt = F.when(turn % 4 == 3, "true").otherwise("1")
+    began = F.when(turn % 5 == 4, '"1.5"').otherwise("1.5")
+    request = F.concat(F.lit('{"messages":['), F.when(turn == 6, "").otherwise(F.to_json(F.struct("role", "text"))), F.lit('],"max_tokens":9,"extra_body":{},"temperature":'), F.when(turn % 6 == 1, '"0"').otherwise("0.5"), F.when(turn % 6 == 5, ',"top_p":1').otherwise(""), F.lit("}"))
+    outcome = F.when(turn % 2 == 0, '"status":"ok","response":{},"usage":{}').otherwise('"status":"request_error","error":{}')
+    record = F.concat(F.lit("{"), outcome, F.lit(',"qid":"q","tag":"t","model":"m","finished_at":2,"attempt":'), attempt, F.lit(',"started_at":'), began, F.lit(',"request":'), request, F.when(turn % 3 == 2, ',"more":1').otherwise(""), F.lit("}"))
+    return P.call_fields(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + turn).alias("line"), record.alias("record")))
+
+
 @register(
     """WITH g AS (SELECT conv_id AS qid, list(struct_pack(e := conv_id || ':' || turn || ':' || role, d := role, q := CASE WHEN length(text) % 9 = 0 THEN ' ' ELSE text END, m := turn % 6 = 5) ORDER BY turn, role) AS chunks,
   list(DISTINCT role) FILTER (turn < 3 AND conv_id % 11 <> 0) AS selected FROM conversations GROUP BY conv_id),
@@ -86,7 +101,7 @@ def query_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     """WITH a AS (SELECT conv_id AS qid, trim(text) AS t, turn FROM conversations WHERE role = 'assistant'), f AS (SELECT qid, max_by(t, turn) AS r FROM a GROUP BY qid),
 m AS (SELECT qid, CASE WHEN qid % 5 = 0 THEN coalesce((SELECT g.r FROM f g WHERE g.qid = f.qid + 1), '') WHEN qid % 7 = 0 THEN r || '.' ELSE r END AS r FROM f),
-p AS (SELECT qid, CASE WHEN r = '' THEN 'blank' WHEN EXISTS (SELECT 1 FROM a WHERE a.qid = m.qid AND a.t = m.r) THEN NULL WHEN EXISTS (SELECT 1 FROM a WHERE a.t = m.r) THEN 'another question' ELSE 'no call' END AS problem FROM m)
+p AS (SELECT qid, CASE WHEN r = '' THEN 'blank' WHEN EXISTS (SELECT 1 FROM a WHERE a.qid = m.qid AND contains(a.t, m.r)) THEN NULL WHEN EXISTS (SELECT 1 FROM a WHERE contains(a.t, m.r)) THEN 'another question' ELSE 'no call' END AS problem FROM m)
 SELECT qid, problem FROM p WHERE problem IS NOT NULL"""
 )
 def reasoning_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
