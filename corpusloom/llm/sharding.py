@@ -1,7 +1,7 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Rows with equal texts form a group and stay together. Groups that fill much of a shard are packed first, on the driver: there are few of them
-whatever the corpus holds. All others are packed in batches, each in the task that holds it: a batch has its part of what
+Rows with equal texts form a group and stay together where they fit. Groups that fill much of a shard are packed first, on the driver: there are few of them
+whatever the corpus holds. One that fits no shard any more is cut into pieces. All others are packed in batches, each in the task that holds it: a batch has its part of what
 capacity the large ones left of every shard, and each of its groups goes where the dot product with the batch's residual capacity is highest.
 """
 
@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.words import word_count
-from corpusloom.session import Scratch
+from corpusloom.session import Scratch, ship
 
 SHARDS = 8
-#: A group is packed on the driver beyond this part of a shard; CUT is the default of ``cut``.
-LARGE, CUT = 1 / 16, 1 / 4
+#: A group is packed on the driver beyond this part of a shard; a shard may be this part over full before a group is cut.
+LARGE, TOLERANCE = 1 / 16, 1 / 100
 #: Groups of a batch that is packed in one task.
 TOGETHER = 8_192
 ROWS_PER_BUCKET = 20_000
@@ -41,6 +41,17 @@ def pack(demand: np.ndarray, residual: np.ndarray) -> np.ndarray:
     return out
 
 
+def pack_whole(demand: np.ndarray, residual: np.ndarray) -> np.ndarray:
+    """The shard of each vector that fits one, largest first, as pack() does; -1 for those that fit none. ``residual`` is used up."""
+    out = np.full(len(demand), -1, dtype=np.int32)
+    for i in np.argsort(-demand.max(axis=1), kind="stable"):
+        fits = (residual + TOLERANCE >= demand[i]).all(axis=1)
+        if fits.any():
+            out[i] = at = int(np.argmax(np.where(fits, residual @ demand[i], -np.inf)))
+            residual[at] -= demand[i]
+    return out
+
+
 def pack_batch(vectors: np.ndarray, left: np.ndarray, turn: int) -> np.ndarray:
     """Packs a batch into its part of the capacity ``left`` of every shard.
 
@@ -54,35 +65,38 @@ def pack_batch(vectors: np.ndarray, left: np.ndarray, turn: int) -> np.ndarray:
     return order[pack(vectors / np.where(whole > 0, whole / len(left), 1.0), residual)]
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, cut: float | None = CUT) -> DataFrame:
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, cut: bool = True) -> DataFrame:
     """One row per input row: ``doc_id, size, tokens, text_crc32, shard, slot``.
 
     ``size`` is the text's UTF-8 bytes plus 1. Shards get near-equal sizes, token counts and row counts. Null texts count as
-    empty, and equal ones (null and empty alike) form one group. A group that alone is over ``cut`` of a shard, in one of the three, makes
-    equal sizes impossible or nearly so: it is cut by a hash of the id, in pieces of about ``LARGE`` of a shard. With None no group is ever cut.
-    Slots count from 0 in each shard without gaps; rows equal in id and text are interchangeable. An empty table gives an empty table.
+    empty, and equal ones (null and empty alike) form one group. A group is cut only where it fits no shard within TOLERANCE of it, in one of the three, when all
+    larger ones are placed: its rows, told apart by keys of their own and not by their ids, then go in pieces of about ``LARGE`` of a shard. Without ``cut`` no group is ever cut.
+    Slots count from 0 in each shard without gaps; rows come in no order there. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
+    ship(spark)
     scratch = Scratch(spark, "shards")
     rows = scratch.keep(
-        docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), word_count(text).alias("tokens"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("grp")),
+        docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), word_count(text).alias("tokens"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("grp"), F.monotonically_increasing_id().alias("row")),
         "rows",
     )
     groups = scratch.keep(rows.groupBy("grp").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows")), "groups")
     total = groups.agg(F.count(F.lit(1)).alias("groups"), *[F.sum(d).alias(d) for d in DIMS]).first()
     even = np.array([max(1.0, (total[d] or 0) / shards) for d in DIMS])
     part = F.greatest(*[F.col(d) / float(e) for d, e in zip(DIMS, even, strict=True)])
-    # at most len(DIMS) * shards / LARGE groups are so large, and they have as many pieces or as many again
-    pieces = F.when(part > cut, F.ceil(part / LARGE)).otherwise(1) if cut is not None else F.lit(1)
-    large = spark.createDataFrame(groups.filter(part > LARGE).select("grp", pieces.cast("int").alias("pieces")).collect(), "grp long, pieces int")
-    kept = rows.join(F.broadcast(large), "grp", "left").withColumn("piece", F.expr("pmod(xxhash64(doc_id), pieces)").cast("int"))
-    hot = kept.filter("pieces is not null")
+    # at most len(DIMS) * shards / LARGE groups are so large, and those that are cut have as many pieces or as many again
+    large = sorted(groups.filter(part > LARGE).select("grp", *DIMS).collect(), key=lambda r: r.grp)
+    left, vectors = np.ones((shards, len(DIMS))), lambda found: np.array([[r[d] for d in DIMS] for r in found], dtype=float).reshape(-1, len(DIMS)) / even
+    demand = vectors(large)
+    at = pack_whole(demand, left) if cut else pack(demand, left)
+    pieces = [1 if s >= 0 else int(np.ceil(d.max() / LARGE)) for s, d in zip(at, demand, strict=True)]
+    large = spark.createDataFrame([(r.grp, int(s), n) for r, s, n in zip(large, at, pieces, strict=True)], "grp long, shard int, pieces int")
+    kept = rows.join(F.broadcast(large), "grp", "left").withColumn("piece", F.expr("pmod(xxhash64(row), pieces)").cast("int"))
+    hot = kept.filter("shard < 0").drop("shard")
     found = hot.groupBy("grp", "piece").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows")).collect()
     found.sort(key=lambda r: (r.grp, r.piece))
-    left = np.ones((shards, len(DIMS)))
-    at = pack(np.array([[r[d] for d in DIMS] for r in found], dtype=float).reshape(-1, len(DIMS)) / even, left)
-    where = spark.createDataFrame([(r.grp, r.piece, int(s)) for r, s in zip(found, at, strict=True)], "grp long, piece int, shard int")
+    where = spark.createDataFrame([(r.grp, r.piece, int(s)) for r, s in zip(found, pack(vectors(found), left), strict=True)], "grp long, piece int, shard int")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,13 +109,14 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     small = groups.filter(part <= LARGE).select("grp", *DIMS).coalesce(max(1, (total.groups or 0) // TOGETHER))
     small = scratch.keep(small.mapInArrow(place, "grp long, shard int"), "placed")
     hot = hot.join(F.broadcast(where), ["grp", "piece"])
-    rows = kept.filter("pieces is null").join(small, "grp").select("doc_id", "size", "tokens", "text_crc32", "shard")
-    rows = rows.unionByName(hot.select(*rows.columns))
+    columns = ["doc_id", "size", "tokens", "text_crc32", "shard", "row"]
+    rows = kept.filter("pieces is null").drop("shard").join(small, "grp").select(*columns)
+    rows = rows.unionByName(kept.filter("shard >= 0").select(*columns)).unionByName(hot.select(*columns))
 
     buckets = max(1, -(-(total.n_rows or 0) // (shards * ROWS_PER_BUCKET)))
-    rows = rows.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, text_crc32), {buckets}L)"))
+    rows = rows.withColumn("bucket", F.expr(f"pmod(xxhash64(row), {buckets}L)"))
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = rows.groupBy("shard", "bucket").count().withColumn("first", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
-    inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size"))
+    inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("row"))
     rows = rows.withColumn("inside", inside).join(first, ["shard", "bucket"])
     return rows.select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("first") + F.col("inside") - 1).cast("long").alias("slot"))

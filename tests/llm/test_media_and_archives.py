@@ -214,3 +214,34 @@ def test_few_rows(spark, n):
 
 def test_warc_sql(spark, sf_dir, duck):
     compare(QUERIES["op3_warc"](spark, sf_dir), duck, ORACLE["op3_warc"])
+
+
+def spread_of(spark, rows):
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    per = [(sum(r.size for r in out if r.shard == s), sum(r.shard == s for r in out)) for s in range(8)]
+    return out, per
+
+
+def test_a_group_that_fits_is_not_cut(spark):
+    rows = [(i, f"text number {i % 760 if i >= 40 else 'same'}") for i in range(800)]
+    out, per = spread_of(spark, rows)
+    assert len({r.shard for r, (i, _) in zip(sorted(out, key=lambda r: r.doc_id), rows, strict=True) if i < 40}) == 1
+    assert max(n for _, n in per) <= 103 and max(b for b, _ in per) <= 1.05 * sum(b for b, _ in per) / 8
+
+
+def test_rows_of_one_id_are_cut_apart(spark):
+    rows = [(None, "the same text for all of these rows")] * 300 + [(i, f"another text {i}") for i in range(500)]
+    out, per = spread_of(spark, rows)
+    assert len(out) == 800 and max(n for _, n in per) - min(n for _, n in per) <= 12
+    assert max(b for b, _ in per) <= 1.1 * sum(b for b, _ in per) / 8
+    for s in range(8):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(per[s][1]))
+
+
+def test_groups_that_leave_no_room_for_each_other(spark):
+    """Nine groups of five sixths of a shard: one of them is cut."""
+    rows = [(i, f"group {i % 9}") for i in range(900)] + [(900 + i, f"single {i}") for i in range(180)]
+    out, per = spread_of(spark, rows)
+    assert max(n for _, n in per) <= 1.06 * 135
+    held = [{r.shard for r in out if r.doc_id < 900 and r.doc_id % 9 == g} for g in range(9)]
+    assert sum(len(h) == 1 for h in held) == 8
