@@ -129,8 +129,9 @@ def matched(units: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: ``path, licence, cosine, origin, from_dir`` and the columns named in ``keep``.
+    """One row per input row: ``path, licence, cosine, origin, from_dir`` and the columns named in ``keep``, ``kept_`` before a name that clashes with these.
 
+    A file's SPDX identifiers come before what it resembles: all that it states, also those of a compound expression, are its licence, by name, joined by commas.
     ``origin`` is ``own`` if the file has a notice, header or text that matches a template or an SPDX identifier, ``inherited`` if it takes the licence of the nearest
     ancestor directory with a licence file (its first by path if it has several), else null. Null texts have no notice; rows
     with a null path neither have a licence nor give one. Rows that share a path share its licence. An empty table gives
@@ -139,13 +140,15 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", keep:
     scratch = Scratch(files.sparkSession, "scan")
     units = scratch.keep(notices(files, path_col, text_col).filter("path is not null"), "units")
     spdx = identified(files, path_col, text_col).filter("path is not null")
-    own = matched(units).unionByName(spdx).groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
-    own = scratch.keep(own.select("path", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine")), "own")
+    own = matched(units).withColumn("stated", F.lit(None).cast("string")).unionByName(spdx.withColumn("stated", F.col("licence")))
+    own = own.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"), F.array_sort(F.collect_set("stated")).alias("stated"))
+    licence = F.when(F.size("stated") > 0, F.array_join("stated", ", ")).otherwise(F.col("b.licence"))
+    own = scratch.keep(own.select("path", licence.alias("licence"), (-F.col("b.c")).alias("cosine")), "own")
     parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     given = own.filter(F.col("path").rlike(LICENCE_FILE)).withColumn("dir", parent)
     given = given.groupBy("dir").agg(F.min(F.struct("path", "licence")).alias("first")).select("dir", F.col("first.licence").alias("licence"))
 
-    named = files.select(F.col(path_col).alias("path"), *keep)
+    named = files.select(F.col(path_col).alias("path"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("kept"))
     rows = named.join(own.select(F.col("path").alias("p"), F.col("licence").alias("own_licence"), "cosine"), F.col("path") == F.col("p"), "left").drop("p").withColumn("dir", parent)
     # directories, not files, look for their ancestors
     dirs = rows.filter("path is not null").select("dir").distinct()
@@ -157,8 +160,9 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", keep:
     near = scratch.keep(near.select(F.col("dir").alias("d"), F.col("near.above").alias("near_dir"), F.col("near.licence").alias("near_licence")), "near")
     rows = rows.join(near, F.col("dir") == F.col("d"), "left")
     has, heir = F.col("own_licence").isNotNull(), F.col("own_licence").isNull() & F.col("near_licence").isNotNull() & F.col("path").isNotNull()
+    taken = {"path", "licence", "cosine", "origin", "from_dir"}
     return rows.select(
-        *keep,
+        *[F.col("kept")[c].alias(f"kept_{c}" if c in taken else c) for c in keep],
         "path",
         F.when(has, F.col("own_licence")).when(heir, F.col("near_licence")).alias("licence"),
         "cosine",

@@ -302,3 +302,12 @@ def test_pipeline(spark, sf_dir, reference):
     expect = collections.Counter({(i, hashlib.sha256(t.encode()).hexdigest(), len(reference.encode_ordinary(t))): n for (i, t), n in mixed.items()})
     assert collections.Counter((r.doc_id, r.decoded_sha256, r.n_tokens) for r in rows) == expect
     assert corpus_pipeline.run(spark, sf_dir).count() == len(rows)
+
+
+def test_compound_licences_and_clashing_columns(spark):
+    files = [("a/x.py", "# SPDX-License-Identifier: MIT OR Apache-2.0\n", 1), ("a/y.py", "# SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND MIT\n", 2), ("b/LICENSE", "SPDX-License-Identifier: MIT AND ISC", 3), ("b/z.py", "print()", 4), (None, "SPDX-License-Identifier: MIT", 5)]
+    df = spark.createDataFrame([(p, t, n, n, n, n, n) for p, t, n in files], "path string, text string, p int, cosine int, licence int, dir int, kept int")
+    out = licenses.scan(df, keep=("p", "cosine", "licence", "dir", "kept"))
+    assert len(set(out.columns)) == len(out.columns)
+    got = {r.p: (r.licence, r.origin, r.kept_cosine, r.kept_licence, r.dir, r.kept) for r in out.collect()}
+    assert got == {1: ("Apache-2.0, MIT", "own", 1, 1, 1, 1), 2: ("GPL-2.0, MIT", "own", 2, 2, 2, 2), 3: ("ISC, MIT", "own", 3, 3, 3, 3), 4: ("ISC, MIT", "inherited", 4, 4, 4, 4), 5: (None, None, 5, 5, 5, 5)}
