@@ -71,9 +71,11 @@ def query_terms(queries: DataFrame, text_col: str = "query") -> DataFrame:
 MOST_TERMS = 1 << 20
 
 
-def scores(units: DataFrame, queries: DataFrame, text_col: str = "text", query_col: str = "query", within: DataFrame | None = None) -> DataFrame:
+def scores(units: DataFrame, queries: DataFrame, text_col: str = "text", query_col: str = "query", within: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """``qid, index_key, unit, score``, positive BM25 scores rounded to 6 decimals.
 
+    Given ``most``, only scores that may be among a query's first so many in an index: tasks then give what their own units leave of them, and top() takes its pick of that.
+
     Texts are tokenized once, into an index that is written packed, a row a unit; lengths are read from it without the tokens.
     Only postings of the queries' tokens are kept of it: the distinct query tokens are the small side of a semi-join, which AQE
     broadcasts where they measure small. Document frequencies and scores come from these. Given ``within (qid, index_key)``, a query is
@@ -91,13 +93,54 @@ def scores(units: DataFrame, queries: DataFrame, text_col: str = "text", query_c
     gain = weight(F.col("tok")) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
     gains = hits.join(df, ["index_key", "tok"]).join(stats, "index_key").select("index_key", "unit", "tok", gain.alias("gain"))
     if within is None and terms.count() <= MOST_TERMS:
-        return _summed_in_rows(gains, terms)
+        return _summed_in_rows(gains, terms, most)
     joined = gains.join(terms, "tok") if within is None else gains.join(terms.join(within.distinct(), "qid"), ["index_key", "tok"])
     each = joined.select("qid", "index_key", "unit", (F.col("qtf") * F.col("gain")).alias("part"))
     return each.groupBy("qid", "index_key", "unit").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
-def _summed_in_rows(gains: DataFrame, terms: DataFrame) -> DataFrame:
+#: Scores held in a task before those that can't be among the first are left out, and how far apart two may be that round to one.
+_HELD, _ROUNDED = 1 << 21, 2e-6
+#: Units taken up at a time.
+_UNITS = 256
+
+
+class _Best:
+    """Scores by query, index and unit, of which those go that ``most`` others of their query and index are above."""
+
+    def __init__(self, most: int | None) -> None:
+        self.most, self.keys, self.parts, self.size = most, {}, [], 0
+
+    def add(self, query: np.ndarray, of: np.ndarray, score: np.ndarray, keys: pa.Array, units: pa.Array) -> None:
+        codes = np.array([self.keys.setdefault(k, len(self.keys)) for k in keys.to_pylist()], dtype=np.int64)
+        self.parts.append((query, codes[of], score, units.take(pa.array(of))))
+        self.size += len(query)
+        if self.most is not None and self.size > _HELD:
+            self.cut()
+
+    def cut(self) -> None:
+        query, key, score = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+        units = pa.concat_arrays([p[3] for p in self.parts])
+        order = np.lexsort((-score, key, query))
+        query, key, score = query[order], key[order], score[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (query[1:] != query[:-1]) | (key[1:] != key[:-1])
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        last = np.minimum(first + self.most - 1, np.append(first[1:], len(order)) - 1)
+        good = score >= (score[last] - _ROUNDED)[group]
+        self.parts, self.size = [(query[good], key[good], score[good], units.take(pa.array(order[good])))], int(good.sum())
+
+    def rows(self, names: pa.Array, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        if self.most is not None and self.parts:
+            self.cut()
+        keys = pa.array(list(self.keys), kind)
+        for query, key, score, units in self.parts:
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), keys.take(pa.array(key)), units, pa.array(score)], ["qid", "index_key", "unit", "score"])
+        self.parts, self.size = [], 0
+
+
+def _summed_in_rows(gains: DataFrame, terms: DataFrame, most: int | None = None) -> DataFrame:
     """scores() of units whose gains are brought to one row each, at most as many as the queries have tokens."""
     sent = terms.orderBy("tok", "qid").toArrow()
     toks, first = np.unique(np.array(sent["tok"].to_pylist(), dtype=object), return_index=True) if sent.num_rows else (np.array([], dtype=object), np.array([], dtype=int))
@@ -109,20 +152,22 @@ def _summed_in_rows(gains: DataFrame, terms: DataFrame) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, query, times, names = shared.value
+        best, key_type = _Best(most), None
         for batch in batches:
-            rows, at, score = [], [], []
-            for i, found in enumerate(batch.column(2)):
-                cuts = [place[x["tok"]] for x in found.as_py()]
-                parts = np.concatenate([times[a:b] * x["gain"] for (a, b), x in zip(cuts, found.as_py(), strict=True)])
-                which = np.concatenate([query[a:b] for a, b in cuts])
-                total = np.bincount(which, weights=parts, minlength=len(names))
-                met = np.unique(which)
-                rows.append(np.full(len(met), i))
-                at.append(met)
-                score.append(total[met])
-            if rows:
-                of = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(at))), batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(score))], ["qid", "index_key", "unit", "score"])
+            key_type = batch.column(0).type
+            for start in range(0, batch.num_rows, _UNITS):
+                part, met, of, total = batch.slice(start, _UNITS), [], [], []
+                for i, found in enumerate(part.column(2).to_pylist()):
+                    cuts = [(*place[x["tok"]], x["gain"]) for x in found]
+                    which, at = np.unique(np.concatenate([query[a:b] for a, b, _ in cuts]), return_inverse=True)
+                    met.append(which)
+                    of.append(np.full(len(which), i))
+                    total.append(np.bincount(at, weights=np.concatenate([times[a:b] * gain for a, b, gain in cuts])))
+                best.add(*map(np.concatenate, (met, of, total)), part.column(0), part.column(1))
+            if most is None:
+                yield from best.rows(names, key_type)
+        if key_type is not None:
+            yield from best.rows(names, key_type)
 
     # a number of its own: rows measure small here, and would be put into few tasks, but each meets all queries in the next step
     tasks = int(gains.sparkSession.conf.get("spark.sql.shuffle.partitions"))

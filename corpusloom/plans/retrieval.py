@@ -69,13 +69,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid, index_key ORDER BY sco
 
 @register(bm25_sql("'all'", "SELECT qid AS item_id, unit AS doc_id, score, rank::INT AS rank FROM ranked WHERE rank <= 5 AND score > 0"))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = index.scores(_units(_documents(spark, sf_dir)), _queries(spark, sf_dir))
+    scored = index.scores(_units(_documents(spark, sf_dir)), _queries(spark, sf_dir), most=5)
     return index.top(scored, 5).select(F.col("qid").alias("item_id"), F.col("unit").alias("doc_id"), "score", "rank")
 
 
 @register(bm25_sql("lang", "SELECT qid AS item_id, index_key AS lang, unit AS doc_id, score, rank::INT AS rank FROM ranked WHERE rank <= 3 AND score > 0"))
 def bm25_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = index.scores(_units(_documents(spark, sf_dir), "lang"), _queries(spark, sf_dir))
+    scored = index.scores(_units(_documents(spark, sf_dir), "lang"), _queries(spark, sf_dir), most=3)
     return index.top(scored, 3).select(F.col("qid").alias("item_id"), F.col("index_key").alias("lang"), F.col("unit").alias("doc_id"), "score", "rank")
 
 
@@ -87,7 +87,7 @@ SELECT qid AS item_id, index_key AS lang, unit AS doc_id, norm, row_number() OVE
     )
 )
 def bm25_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = index.scores(_units(_documents(spark, sf_dir), "lang"), _queries(spark, sf_dir))
+    scored = index.scores(_units(_documents(spark, sf_dir), "lang"), _queries(spark, sf_dir), most=3)
     return index.search_documents(scored, 3).select(F.col("qid").alias("item_id"), F.col("index_key").alias("lang"), F.col("unit").alias("doc_id"), "norm", "place")
 
 
@@ -256,7 +256,7 @@ def suffix_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def evidence_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = index.top(index.scores(_units(_documents(spark, sf_dir), "lang"), _queries(spark, sf_dir)), 2)
+    hits = index.top(index.scores(_units(_documents(spark, sf_dir), "lang"), _queries(spark, sf_dir), most=2), 2)
     return hits.groupBy(F.col("qid").alias("item_id"), F.col("unit").alias("doc_id")).agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n_hits"))
 
 
@@ -270,7 +270,7 @@ folded AS (SELECT qid, list_reduce(list_transform(hits, lambda h: {'total': h.n,
 @register(bm25_sql("'all'", EVIDENCE_SQL + " SELECT qid AS item_id, r.total::BIGINT AS total, len(r.kept)::BIGINT AS n_kept, array_to_string(r.kept, ',') AS kept FROM folded"))
 def evidence_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    hits = index.top(index.scores(_units(docs), _queries(spark, sf_dir)), 8).join(docs.select(F.col("doc_id").alias("unit"), F.length("text").alias("n")), "unit")
+    hits = index.top(index.scores(_units(docs), _queries(spark, sf_dir), most=8), 8).join(docs.select(F.col("doc_id").alias("unit"), F.length("text").alias("n")), "unit")
     packed = evidence.pack(hits.select("qid", "unit", "n", "score", (F.col("rank") == 1).alias("forced"), F.lit(False).alias("contents")), 3600)
     return packed.select(F.col("qid").alias("item_id"), F.col("total").cast("long").alias("total"), F.size("kept").cast("long").alias("n_kept"), F.array_join(F.transform("kept", lambda k: k["unit"].cast("string")), ",").alias("kept"))
 
@@ -278,7 +278,7 @@ def evidence_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(bm25_sql("'all'", EVIDENCE_SQL + ", k AS (SELECT qid, unnest(r.kept) AS unit FROM folded) SELECT qid AS item_id, unit AS doc_id, row_number() OVER (PARTITION BY qid ORDER BY unit::VARCHAR)::INT AS ord FROM k"))
 def evidence_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    hits = index.top(index.scores(_units(docs), _queries(spark, sf_dir)), 8).join(docs.select(F.col("doc_id").alias("unit"), F.length("text").alias("n")), "unit")
+    hits = index.top(index.scores(_units(docs), _queries(spark, sf_dir), most=8), 8).join(docs.select(F.col("doc_id").alias("unit"), F.length("text").alias("n")), "unit")
     packed = evidence.pack(hits.select("qid", "unit", "n", "score", (F.col("rank") == 1).alias("forced"), F.lit(False).alias("contents")), 3600)
     kept = packed.select("qid", F.explode("kept").alias("k")).select("qid", F.col("k.unit").alias("unit"))
     order = Window.partitionBy("qid").orderBy(F.col("unit").cast("string"))
@@ -299,7 +299,7 @@ SELECT qid AS item_id, string_agg(unit::VARCHAR, ',' ORDER BY ord) AS picked FRO
 )
 def finalize_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Picks from the hits of each item: the second and third as parsed ids of two items in three, others as fallbacks."""
-    hits = index.top(index.scores(_units(_documents(spark, sf_dir)), _queries(spark, sf_dir)), 6)
+    hits = index.top(index.scores(_units(_documents(spark, sf_dir)), _queries(spark, sf_dir), most=6), 6)
     c = hits.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "unit"))), lambda x: x["unit"].cast("string")).alias("c"))
     none = F.array().cast("array<string>")
     parsed = F.when(F.col("qid") % 3 == 0, none).otherwise(F.slice("c", 2, 2))

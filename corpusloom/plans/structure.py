@@ -294,7 +294,7 @@ def card_rank_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clause cards that each item takes of the four documents that fit it best, by tokens, topics, numbers, titles, phrases and anchors."""
     docs = table(spark, sf_dir, "documents")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    best = index.top(index.scores(docs.select(F.lit("all").alias("index_key"), F.col("doc_id").alias("unit"), "text"), items), 4)
+    best = index.top(index.scores(docs.select(F.lit("all").alias("index_key"), F.col("doc_id").alias("unit"), "text"), items, most=4), 4)
     chosen = Scratch(spark, "chosen").keep(best.select("qid", F.col("unit").alias("doc_id"), F.col("rank").cast("long").alias("doc_pos")), "chosen")
     wanted = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
     found = cards.ranked(items, chosen, cards.cards(_numbered(wanted)))
