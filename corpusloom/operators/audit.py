@@ -132,17 +132,13 @@ def reasoning(finals: DataFrame, traces: DataFrame) -> DataFrame:
     return last.select("qid", "t.stage", "t.content", "t.evidence_ids")
 
 
-def unsent_evidence(traces: DataFrame, responses: DataFrame) -> DataFrame:
-    """``qid, stage, problem``: traces without a response of the same question, tag and content, or whose block the prompt doesn't have."""
-    r = responses.select("qid", F.col("tag").alias("stage"), "content", "prompt")
-    joined = traces.join(r, ["qid", "stage", "content"], "left")
-    problem = F.when(F.col("prompt").isNull(), "no response").when(~F.contains("prompt", F.col("block")), "evidence not sent")
-    return joined.select("qid", "stage", problem.alias("problem")).filter("problem is not null").distinct()
-
-
 def embedded_mismatch(embedded: DataFrame, source: DataFrame) -> DataFrame:
-    """``line``: records ``(line, record)`` that differ from the source's record on the same line, or have none."""
-    return embedded.join(source.withColumnRenamed("record", "there"), "line", "left").filter(~F.col("record").eqNullSafe(F.col("there"))).select("line")
+    """``line, problem``: embedded records ``(line, record)`` that are ``changed``, ``repeated`` or ``not in the source``, and source records that are ``not embedded``."""
+    there = source.select("line", F.col("record").alias("there"), F.lit(True).alias("known"))
+    both = embedded.withColumn("had", F.lit(True)).join(there, "line", "full")
+    problem = F.when(F.col("known").isNull(), "not in the source").when(F.col("had").isNull(), "not embedded").when(~F.col("record").eqNullSafe(F.col("there")), "changed")
+    again = embedded.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("line", F.lit("repeated").alias("problem"))
+    return both.select("line", problem.alias("problem")).filter("problem is not null").distinct().unionByName(again)
 
 
 def card_stats(cards: DataFrame) -> DataFrame:

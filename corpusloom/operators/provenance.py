@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.answers import equivalent
 from corpusloom.functions.text import leaks_credentials
 from corpusloom.operators.contain import occurrences
 
@@ -143,6 +144,57 @@ def reasoning_origin(finals: DataFrame, calls: DataFrame) -> DataFrame:
     return rest.join(elsewhere, "reasoning", "left").select("qid", problem.alias("problem"))
 
 
+def reasoning_provenance(finals: DataFrame, sources: DataFrame) -> DataFrame:
+    """``qid, problem``: what is wrong with where an answer's reasoning is said to come from.
+
+    Takes finals ``qid, answer, reasoning`` and sources ``qid, reasoning, stage, evidence_ids, raw_answer, traces array<struct<stage,content,answer,evidence_ids>>``.
+    A source tells the submitted reasoning and its stage; of its traces, which all have a stage, a content and evidence, some have just that stage and
+    content, and among these are one with an equivalent answer and one with just the source's evidence. A raw answer, if there is one, says the same as the final one.
+    """
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    listed = lambda c: (F.size(c) > 0) & ~F.exists(c, blank)
+    rows = finals.select("qid", "answer", F.col("reasoning").alias("submitted"), F.lit(True).alias("asked")).join(sources.withColumn("told", F.lit(True)), "qid", "full")
+    both = F.col("asked") & F.col("told")
+    rows = rows.withColumn("chosen", F.filter("traces", lambda t: (t["stage"] == F.col("stage")) & (t["content"] == F.col("reasoning"))))
+    whole = lambda t: ~blank(t["stage"]) & t["content"].isNotNull() & (F.size(t["evidence_ids"]) >= 0) & ~F.exists(t["evidence_ids"], blank)
+    # null where a question or its source is missing, which the first two checks tell alone
+    alone = lambda ok: F.when(~F.coalesce(both, F.lit(False)), True).otherwise(ok)
+    return _problems(
+        rows,
+        ["qid"],
+        {
+            "source": F.col("told"),
+            "question": F.col("asked"),
+            "reasoning": alone(F.col("reasoning").eqNullSafe(F.col("submitted"))),
+            "stage": alone(~blank(F.col("stage")) & (F.size("traces") > 0)),
+            "traces": alone(F.forall("traces", whole)),
+            "no trace": alone(F.size("chosen") > 0),
+            "answer": alone(F.exists("chosen", lambda t: equivalent(t["answer"], F.col("answer")))),
+            "evidence": alone(listed(F.col("evidence_ids")) & F.exists("chosen", lambda t: t["evidence_ids"] == F.col("evidence_ids"))),
+            "raw answer": alone(blank(F.col("raw_answer")) | equivalent(F.col("raw_answer"), F.col("answer"))),
+        },
+    )
+
+
+def evidence_sent(traces: DataFrame, responses: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``qid, stage, problem`` of traces and responses that don't go with each other, one for one, and of evidence that was not sent.
+
+    Takes traces ``qid, stage, content, evidence_ids``, good responses ``qid, tag, content, prompt`` and chunks ``evidence_id, rendered``. Contents meet by their digests: as many
+    responses as traces have a question's tag and content. Each chunk that a trace cites is there, and in the prompt of a response to it.
+    """
+    key = F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256).alias("digest")
+    t = traces.select("qid", "stage", key, "evidence_ids")
+    r = responses.select("qid", F.col("tag").alias("stage"), key, "prompt")
+    by = ["qid", "stage", "digest"]
+    both = t.groupBy(*by).agg(F.count(F.lit(1)).alias("a")).join(r.groupBy(*by).agg(F.count(F.lit(1)).alias("b")), by, "full").na.fill(0)
+    counted = both.select("qid", "stage", F.when(F.col("a") > F.col("b"), "no response").when(F.col("b") > F.col("a"), "no trace").alias("problem")).filter("problem is not null")
+    cited = t.select(*by, F.explode("evidence_ids").alias("evidence_id")).distinct().join(chunks, "evidence_id", "left")
+    gone = cited.filter("rendered is null").select("qid", "stage", F.lit("no chunk").alias("problem"))
+    sent = cited.filter("rendered is not null").join(r, by).groupBy(*by, "evidence_id").agg(F.max(F.contains("prompt", F.col("rendered"))).alias("sent"))
+    unsent = sent.filter(~F.coalesce("sent", F.lit(False))).select("qid", "stage", F.lit("not sent").alias("problem"))
+    return counted.unionByName(gone).unionByName(unsent).distinct()
+
+
 def config_differences(entries: DataFrame, config: dict[str, str]) -> DataFrame:
     """``qid, key, problem``: entries ``qid, config map<string,string>`` that lack a key of the checked run, have another, or another value."""
     run = F.create_map(*[F.lit(x) for pair in sorted(config.items()) for x in pair]).cast("map<string,string>")

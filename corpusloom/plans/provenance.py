@@ -114,6 +114,49 @@ def reasoning_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.reasoning_origin(finals, c.select(F.col("conv_id").alias("qid"), F.lit("ok").alias("status"), F.col("text").alias("content")))
 
 
+@register(
+    """WITH a AS (SELECT conv_id AS qid, turn, text, 'r' || turn AS stage, substr('ABCD', 1 + turn % 4, 1) AS answer FROM conversations WHERE role = 'assistant'),
+f AS (SELECT qid, max_by(struct_pack(t := text, s := stage, a := answer, n := turn), turn) AS x FROM a GROUP BY qid)
+SELECT qid, problem FROM (SELECT qid, unnest([CASE WHEN qid % 9 = 8 THEN 'source' END, CASE WHEN qid % 9 <> 8 AND qid % 5 = 1 THEN 'reasoning' END, CASE WHEN qid % 9 <> 8 AND qid % 7 = 2 THEN 'stage' END,
+  CASE WHEN qid % 9 <> 8 AND (qid % 5 = 1 OR qid % 7 = 2) THEN 'no trace' END, CASE WHEN qid % 9 <> 8 AND (qid % 5 = 1 OR qid % 7 = 2 OR qid % 6 = 3) THEN 'answer' END, CASE WHEN qid % 9 <> 8 AND (qid % 5 = 1 OR qid % 7 = 2 OR qid % 8 = 4) THEN 'evidence' END,
+  CASE WHEN qid % 9 <> 8 AND qid % 6 <> 3 AND qid % 4 = 1 THEN 'raw answer' WHEN qid % 9 <> 8 AND qid % 6 = 3 AND qid % 4 <> 1 AND qid % 4 <> 3 THEN 'raw answer' END]) AS problem FROM f) WHERE problem IS NOT NULL"""
+)
+def reasoning_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last assistant turns as reasonings, all such turns as traces; sources are missing, changed, without stage or evidence, and answers differ, here and there."""
+    a = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    qid, turn = F.col("qid"), F.col("turn")
+    letter = F.substring(F.lit("ABCD"), (1 + turn % 4).cast("int"), F.lit(1))
+    trace = F.struct("turn", F.concat(F.lit("r"), turn.cast("string")).alias("stage"), F.col("text").alias("content"), letter.alias("answer"), F.array(F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))).alias("evidence_ids"))
+    g = a.groupBy(F.col("conv_id").alias("qid")).agg(F.array_sort(F.collect_list(trace)).alias("all"))
+    g = g.withColumn("last", F.element_at("all", -1))
+    finals = g.select("qid", F.when(qid % 6 == 3, "CD").otherwise(F.col("last.answer")).alias("answer"), F.col("last.content").alias("reasoning"))
+    traces = F.transform("all", lambda t: F.struct(t["stage"].alias("stage"), t["content"].alias("content"), t["answer"].alias("answer"), t["evidence_ids"].alias("evidence_ids")))
+    raw = F.when(qid % 4 == 1, "AB").when(qid % 4 == 3, "").otherwise(F.lower("last.answer"))
+    sources = g.filter(qid % 9 != 8).select(
+        "qid", F.when(qid % 5 == 1, F.concat("last.content", F.lit("!"))).otherwise(F.col("last.content")).alias("reasoning"), F.when(qid % 7 == 2, " ").otherwise(F.col("last.stage")).alias("stage"),
+        F.when(qid % 8 == 4, F.array(F.lit("x"))).otherwise(F.col("last.evidence_ids")).alias("evidence_ids"), F.when(qid % 6 == 3, F.when(qid % 4 == 1, "DC").otherwise(raw)).otherwise(raw).alias("raw_answer"), traces.alias("traces"),
+    )
+    return P.reasoning_provenance(finals, sources)
+
+
+@register(
+    """WITH c AS (SELECT conv_id AS qid, turn, text FROM conversations WHERE role = 'assistant'),
+p AS (SELECT DISTINCT qid, 'r' || turn AS stage, unnest([CASE WHEN turn % 7 = 5 THEN 'no response' WHEN turn % 6 = 1 THEN 'no trace' END, CASE WHEN turn % 4 = 2 THEN 'no chunk' END, CASE WHEN turn % 4 <> 2 AND turn % 7 <> 5 AND turn % 5 = 3 THEN 'not sent' END]) AS problem FROM c)
+SELECT qid, stage, problem FROM p WHERE problem IS NOT NULL"""
+)
+def evidence_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns as traces that cite a chunk; responses are missing or doubled, chunks missing, prompts without the chunk here and there."""
+    c = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    turn, stage = F.col("turn"), F.concat(F.lit("r"), F.col("turn").cast("string"))
+    chunk = F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    rendered = F.concat(F.lit("【"), chunk, F.lit("】"), F.reverse("text"))
+    traces = c.select(F.col("conv_id").alias("qid"), stage.alias("stage"), F.col("text").alias("content"), F.array(chunk).alias("evidence_ids"))
+    prompt = F.concat(F.lit("read: "), F.when(turn % 5 == 3, "").otherwise(rendered), F.lit(" and answer"))
+    times = F.when(turn % 7 == 5, 0).when(turn % 6 == 1, 2).otherwise(1)
+    responses = c.select(F.col("conv_id").alias("qid"), stage.alias("tag"), F.col("text").alias("content"), prompt.alias("prompt"), F.explode(F.array_repeat(F.lit(1), times)).alias("n")).drop("n")
+    return P.evidence_sent(traces, responses, c.filter(turn % 4 != 2).select(chunk.alias("evidence_id"), rendered.alias("rendered")))
+
+
 @register(
     """WITH t AS (SELECT doc_id, regexp_replace(text, '[^0-9A-Za-z一-鿿]+', '', 'g') AS a, regexp_replace(lang || source || (doc_id % 97), '[^0-9A-Za-z一-鿿]+', '', 'g') AS b FROM documents)
 SELECT doc_id, coalesce(len(list_filter(range(1, length(b) - 2), lambda i: contains(a, substr(b, i, 4)))) > 0, false) AS named FROM t"""
