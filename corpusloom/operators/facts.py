@@ -115,11 +115,30 @@ def char_pairs(text: Column) -> Column:
 
 
 def ranked(lines_: DataFrame, questions: DataFrame, least: int = 3) -> DataFrame:
-    """``qid, bucket, ord, line, overlap``: lines of a question's documents that share ``least`` character pairs with it, best first.
+    """``qid, bucket, ord, line, overlap``: lines of a question's documents whose labels share ``least`` character pairs with it, best first.
 
-    Takes questions ``qid, text, doc_ids``; a line's bucket is its table's title.
+    Takes questions ``qid, text, doc_ids``; a line's bucket is its table's title. Pairs of labels are postings by document, which meet the questions'
+    pairs for the same documents, so a label that shares none is not looked at.
     """
-    q = questions.select("qid", char_pairs(F.col("text")).alias("grams"), F.posexplode("doc_ids").alias("doc_pos", "doc"))
-    hit = lines_.withColumn("own", char_pairs(F.col("label"))).join(q, "doc").withColumn("overlap", F.size(F.array_intersect("own", "grams"))).filter(F.col("overlap") >= least)
+    asked = questions.select("qid", char_pairs(F.col("text")).alias("pairs"), F.posexplode("doc_ids").alias("doc_pos", "doc")).groupBy("qid", "doc").agg(F.min("doc_pos").alias("doc_pos"), F.first("pairs").alias("pairs"))
+    postings = lines_.select("doc", "page", "row", F.explode(char_pairs(F.col("label"))).alias("pair"))
+    met = postings.join(asked.select("qid", "doc", "doc_pos", F.explode("pairs").alias("pair")), ["doc", "pair"])
+    hit = met.groupBy("qid", "doc", "doc_pos", "page", "row").agg(F.count(F.lit(1)).alias("overlap")).filter(F.col("overlap") >= least)
+    hit = hit.join(lines_.select("doc", "page", "row", "title", "line"), ["doc", "page", "row"])
     order = Window.partitionBy("qid").orderBy(F.desc("overlap"), "doc_pos", "page", "row")
-    return hit.select("qid", F.col("title").alias("bucket"), F.row_number().over(order).alias("ord"), "line", "overlap")
+    return hit.select("qid", F.col("title").alias("bucket"), F.row_number().over(order).alias("ord"), "line", F.col("overlap").cast("int").alias("overlap"))
+
+
+#: Lines of a block, and turns among its buckets, empty ones included, before it ends.
+MOST_LINES, MOST_TURNS = 40, 400
+
+
+def block(ranked_: DataFrame, most: int = MOST_LINES, turns: int = MOST_TURNS) -> DataFrame:
+    """``qid, place, bucket, line``: a question's lines taken in turn from its buckets, which come in the order of their first lines."""
+    by = Window.partitionBy("qid", "bucket")
+    rows = ranked_.withColumn("turn", F.row_number().over(by.orderBy("ord"))).withColumn("first", F.min("ord").over(by))
+    whole = Window.partitionBy("qid")
+    rows = rows.withColumn("bucket_no", F.dense_rank().over(whole.orderBy("first"))).withColumn("buckets", F.max("bucket_no").over(whole))
+    at = (F.col("turn") - 1) * F.col("buckets") + F.col("bucket_no") - 1
+    rows = rows.filter(at <= turns).withColumn("place", F.row_number().over(whole.orderBy("turn", "first")))
+    return rows.filter(F.col("place") <= most).select("qid", "place", "bucket", "line")

@@ -301,6 +301,39 @@ def card_rank_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.select(found.select("qid", "doc_pos", "id", "score", "n")).select(F.col("qid").alias("item_id"), "ord", "id", "score")
 
 
+LATIN, AS_CJK = "abcdefghijklmnopqrstuvwxyz", "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥金木水火"
+PAIRS = "list_distinct(flatten(list_transform(regexp_extract_all({0}, '[一-鿿]+'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))))"
+
+
+@register(
+    bm25_sql(
+        "'all'",
+        f""", l AS (SELECT doc_id, unnest(x) AS t, generate_subscripts(x, 1) - 1 AS row FROM (SELECT doc_id, string_split(text, '. ') AS x FROM documents)),
+line AS (SELECT doc_id, row, length(t) % 7 AS bucket, t, {PAIRS.format(f"translate(lower(left(t, 40)), '{LATIN}', '{AS_CJK}')")} AS p FROM l),
+asked AS (SELECT r.qid, r.unit AS doc_id, r.rank AS doc_pos, {PAIRS.format(f"translate(lower(q), '{LATIN}', '{AS_CJK}')")} AS p FROM ranked r JOIN q ON q.qid = r.qid WHERE r.rank <= 4 AND r.score > 0),
+hit AS (SELECT qid, doc_pos, row, bucket, t, len(list_intersect(line.p, asked.p)) AS overlap FROM line JOIN asked USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, doc_pos, row) AS ord FROM hit WHERE overlap >= 3),
+d AS (SELECT *, row_number() OVER (PARTITION BY qid, bucket ORDER BY ord) AS turn, min(ord) OVER (PARTITION BY qid, bucket) AS first FROM o),
+b AS (SELECT *, dense_rank() OVER (PARTITION BY qid ORDER BY first) AS no FROM d), m AS (SELECT *, max(no) OVER (PARTITION BY qid) AS n FROM b),
+z AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY turn, first) AS place FROM m WHERE (turn - 1) * n + no - 1 <= 400)
+SELECT qid AS item_id, place::INT AS place, bucket::VARCHAR AS bucket, md5(t) AS line_md5 FROM z WHERE place <= 40""",
+    )
+)
+def fact_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of the four documents that fit an item best as lines of seven tables, their letters and the item's as CJK characters."""
+    docs = table(spark, sf_dir, "documents")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    cjk = lambda c: F.translate(F.lower(c), LATIN, AS_CJK)
+    best = index.top(index.scores(docs.select(F.lit("all").alias("index_key"), F.col("doc_id").alias("unit"), "text"), items, most=4), 4)
+    questions = best.join(items, "qid").groupBy("qid").agg(cjk(F.first("query")).alias("text"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "unit"))), lambda x: x["unit"]).alias("doc_ids"))
+    questions = Scratch(spark, "facts").keep(questions, "questions")
+    wanted = docs.join(questions.select(F.explode("doc_ids").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    rows = wanted.select(F.col("doc_id").alias("doc"), F.lit(0).alias("page"), F.posexplode(F.split("text", "\\. ", -1)).alias("row", "line"))
+    lines = rows.select("doc", "page", "row", "line", cjk(F.left("line", F.lit(40))).alias("label"), (F.length("line") % 7).cast("string").alias("title"))
+    found = facts.block(facts.ranked(lines, questions))
+    return found.select(F.col("qid").alias("item_id"), "place", "bucket", F.md5(F.col("line").cast("binary")).alias("line_md5"))
+
+
 @register()
 def policy_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identities of documents under a cover that names an insurer by the source's number and a product by the document's."""
