@@ -14,12 +14,14 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from corpusloom.llm.bitmaps import bitmap, there
 from corpusloom.session import Scratch, spread
 
 BITS, MOST_BITS = 64, 4
@@ -217,4 +219,14 @@ def unique_documents(docs: DataFrame) -> DataFrame:
     # the best of each fingerprint first: copies meet no join
     best = prints.groupBy("fp").agg(best).join(rooted(prints, scratch), "fp").groupBy("root").agg(F.min("best").alias("best"))
     kept = scratch.keep(best.select("best.row"), "kept")
-    return rows.join(kept, "row", "left_semi").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+    gone = scratch.keep(prints.select("row").join(kept, "row", "left_anti"), "gone")
+    # a bitmap of fixed size tells nearly all rows that surely stay, so only the others' texts are dealt out
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(gone, F.xxhash64("row")))
+
+    @F.pandas_udf("boolean")
+    def doubtful(hashed: pd.Series) -> pd.Series:
+        return pd.Series(there(bits.value, hashed.to_numpy()))
+
+    columns = [F.col("doc")[c].alias(c) for c in docs.columns]
+    marked = rows.withColumn("doubtful", doubtful(F.xxhash64("row")))
+    return marked.filter("not doubtful").select(*columns).unionByName(marked.filter("doubtful").join(gone, "row", "left_anti").select(*columns))
