@@ -26,6 +26,21 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.length("t").cast("long").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("text_md5"))
 
 
+@register(
+    f"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\\b.*?</script\\s*>', '', 'g'), '(?is)<style\\b.*?</style\\s*>', '', 'g'), '(?is)<head\\b.*?</head\\s*>', '', 'g') AS b FROM pages),
+n AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex(b, '<[^>]*>'), lambda x: {STRIP.format(UNESCAPE.format('x'))}), lambda x: x <> ''), chr(10)) AS n FROM b),
+d AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'page-' || page_id ELSE 'A & ' || page_id END AS title, CASE WHEN page_id % 4 = 0 THEN '' ELSE 'c' || page_id % 5 END AS col, '2024-01-0' || (1 + page_id % 9) AS day, n FROM n)
+SELECT page_id, title, day AS pub_date, col AS page_column, md5('标题：' || title || chr(10) || '栏目：' || col || chr(10) || '发布日期：' || day || chr(10) || chr(10) || regexp_replace(n, '\\n{{3,}}', chr(10) || chr(10), 'g')) AS text_md5 FROM d"""
+)
+def html_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as documents with a header, their descriptions put into their heads: no title for one in three, an empty column for one in four."""
+    i = F.col("page_id")
+    named = F.concat(F.when(i % 3 != 0, F.concat(F.lit("<META content='A &amp; "), i.cast("string"), F.lit("' name=\"ArticleTitle\">"))).otherwise(""), F.lit("<meta name=ColumnName content=\""), F.when(i % 4 != 0, F.concat(F.lit("c"), (i % 5).cast("string"))).otherwise(" "), F.lit("\"><meta name='PubDate' content=2024-01-0"), (1 + i % 9).cast("string"), F.lit("><meta name=PubDate content=later>"))
+    rows = spread(table(spark, sf_dir, "pages")).select("page_id", F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), named)).alias("html"))
+    rows = rows.select("page_id", html.document(F.col("html"), F.concat(F.lit("page-"), i.cast("string"))).alias("d"))
+    return rows.select("page_id", "d.title", "d.pub_date", F.col("d.column").alias("page_column"), F.md5(F.col("d.text").cast("binary")).alias("text_md5"))
+
+
 @register(f"SELECT page_id, trim({UNESCAPE.format(chr(114) + 'egexp_extract(html, ' + chr(39) + '(?is)<title[^>]*>(.*?)</title>' + chr(39) + ', 1)')}) AS title FROM pages")
 def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages")).select("page_id", html.title(F.col("html")).alias("title"))
