@@ -23,11 +23,14 @@ def parsed_picks(responses: DataFrame, candidates: DataFrame, most: int = MOST_P
     """``qid, parsed``: the candidates that the first list in a response names, in its order, each once, the first ``most``.
 
     Takes ``qid, content`` and ``qid, unit``. A value names the candidate equal to it, else the only one that ends in it; other values name none.
+    Of several responses to a question, each list's values count by their place in it, so a repeated response changes nothing.
     """
     values = responses.select("qid", F.posexplode(ids_in_prose(F.col("content"))).alias("pos", "value")).filter("value is not null")
     met = values.join(candidates.select("qid", F.col("unit").cast("string").alias("unit")), "qid").filter(F.endswith("unit", "value"))
     same = F.max(F.when(F.col("unit") == F.col("value"), F.col("unit")))
-    named = met.groupBy("qid", "pos").agg(F.coalesce(same, F.when(F.count(F.lit(1)) == 1, F.min("unit"))).alias("unit")).filter("unit is not null")
+    # a question may have several responses, equal ones too: units are told apart, not rows
+    only = F.when(F.min("unit") == F.max("unit"), F.min("unit"))
+    named = met.groupBy("qid", "pos", "value").agg(F.coalesce(same, only).alias("unit")).filter("unit is not null")
     lists = named.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "unit"))).alias("p"))
     return lists.select("qid", F.slice(F.array_distinct(F.transform("p", lambda x: x["unit"])), 1, most).alias("parsed"))
 

@@ -78,3 +78,9 @@ def test_replay(spark):
     assert bag(out) == [(1, "input", ["z"], 0), (2, "code", ["x", "y"], 0), (3, "model", ["a", "b"], 0), (4, "model", ["d_4", "b_2", "a_1", "e_5"], 1), (5, "model", ["a_1", "b_2"], 1), (6, "model", [], 0)]
     log = frame([(1, "input", ["z"]), (2, "model", ["x", "y"]), (3, "model", ["b", "a"]), (4, "model", ["d_4", "b_2", "a_1", "e_5"]), (4, "model", ["d_4"]), (5, None, None), (9, "code", ["z"])], "qid long, selector string, picked array<string>")
     assert bag(replay.differences(out, log, said)) == [(2, "selector"), (3, "picked"), (4, "decisions"), (4, "picked"), (5, "picked"), (5, "selector"), (6, "decisions"), (9, "unknown")]
+
+
+def test_repeated_responses_pick_as_one(spark):
+    said = spark.createDataFrame([(1, '["7", "2"]'), (1, '["7", "2"]'), (2, '["2"]')], "qid long, content string")
+    cand = spark.createDataFrame([(q, u) for q in (1, 2) for u in ("a_2", "b_7", "c_7x")], "qid long, unit string")
+    assert bag(replay.parsed_picks(said, cand)) == [(1, ["b_7", "a_2"]), (2, ["a_2"])]
