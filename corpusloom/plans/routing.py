@@ -167,8 +167,8 @@ def routing_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "replay")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
     qid = F.col("qid")
-    hits = index.scores(docs.select(F.lit("all").alias("index_key"), F.col("doc_id").alias("unit"), "text"), items.select("qid", F.col("text").alias("query")))
-    hits = scratch.keep(hits.join(docs.select(F.col("doc_id").alias("unit"), "lang", "source"), "unit"), "hits")
+    hits = index.scores(docs.select(F.lit("all").alias("index_key"), F.col("doc_id").alias("unit"), "text", "lang"), items.select("qid", F.col("text").alias("query")), most=6, part="lang")
+    hits = scratch.keep(hits, "hits")
     candidates = index.top(hits, 6).filter((qid % 7 != 0) | (F.col("rank") <= 2)).select("qid", "unit", F.col("rank").alias("ord"))
     tops = index.top(candidates.select("qid", F.lit("all").alias("index_key"), "unit", (-F.col("ord")).alias("minus")).withColumn("score", F.col("minus") + 100.0), 1).select("qid", F.lit("surface").alias("part"), F.lit("").alias("opt"), "unit")
     tops = tops.unionByName(index.top(hits.filter("lang is not null"), 1, by=("qid", "lang")).select("qid", F.lit("option").alias("part"), F.col("lang").alias("opt"), "unit"))
