@@ -60,11 +60,35 @@ def named_companies(questions: DataFrame, identities: DataFrame) -> DataFrame:
 
     Takes questions ``qid, domain, normal`` and identities ``domain, company_key, aliases``.
     """
-    aliases = identities.select("domain", "company_key", F.explode("aliases").alias("alias")).distinct()
-    asked = questions.select("qid", "domain", "normal")
-    met = occurrences(asked, aliases, "qid", "normal", "alias").distinct().join(asked.select("qid", "domain"), "qid").join(aliases, ["domain", "alias"])
+    return _longest(_aliases_met(questions, identities), _aliases(identities))
+
+
+def _aliases(identities: DataFrame) -> DataFrame:
+    return identities.select("domain", "company_key", F.explode("aliases").alias("alias")).distinct()
+
+
+def _aliases_met(questions: DataFrame, identities: DataFrame) -> DataFrame:
+    """``qid, domain, alias``: the aliases in a question, of whichever companies."""
+    met = occurrences(questions.select("qid", "normal"), _aliases(identities), "qid", "normal", "alias").distinct()
+    return met.join(questions.select("qid", "domain"), "qid")
+
+
+def _longest(met: DataFrame, aliases: DataFrame) -> DataFrame:
     best = F.min(F.struct((-F.length("alias")).alias("minus"), "alias"))["alias"]
-    return met.groupBy("qid", "domain", "company_key").agg(best.alias("alias"))
+    return met.join(aliases, ["domain", "alias"]).groupBy("qid", "domain", "company_key").agg(best.alias("alias"))
+
+
+def _too_wide(met: DataFrame, identities: DataFrame, most: int) -> DataFrame:
+    """``qid`` of questions with an alias of more than ``most`` companies that have documents of their own, and so with more documents than that.
+
+    Whatever years are asked for, a company gives a document. Only companies none of whose documents is another's are counted, so no document is
+    counted twice.
+    """
+    held = identities.filter("company_key is not null and domain is not null").select("domain", "company_key", "doc_id").distinct()
+    several = held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumn("other", F.col("n") > 1)
+    own = held.join(several, held["doc_id"].eqNullSafe(several["doc_id"])).groupBy("domain", "company_key").agg(F.max("other").alias("other")).filter(~F.col("other"))
+    wide = _aliases(identities).join(own, ["domain", "company_key"]).groupBy("domain", "alias").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    return met.join(wide, ["domain", "alias"], "left_semi").select("qid").distinct()
 
 
 def _few(found: DataFrame, most: int) -> DataFrame:
@@ -84,7 +108,11 @@ def by_company(questions: DataFrame, identities: DataFrame, years: tuple[str, ..
     document, more than MOST_BY_COMPANY, or one where several are asked for: no decision.
     """
     several = wants_several_documents(F.col("text"))
-    named = named_companies(questions, identities)
+    scratch = Scratch(questions.sparkSession, "companies")
+    met = scratch.keep(_aliases_met(questions, identities), "met")
+    # no question meets all companies of a common alias: such questions have no decision, and of the others' aliases few companies are owners
+    met = met.join(_too_wide(met, identities, MOST_BY_COMPANY), "qid", "left_anti")
+    named = scratch.keep(_longest(met, _aliases(identities)), "named")
     groups = named.groupBy("qid").agg(F.count(F.lit(1)).alias("groups"))
     q = questions.join(groups, "qid").select("qid", several.alias("several"), F.regexp_extract_all("text", F.lit("20\\d{2}"), F.lit(0)).alias("asked"), "groups", "n_options")
     q = q.filter((F.col("n_options") > 0) | F.col("several") | (F.col("groups") == 1))
@@ -105,16 +133,23 @@ def by_policy(questions: DataFrame, policies: DataFrame) -> DataFrame:
     for: no decision.
     """
     alias = policies.select("doc_id", F.explode("aliases").alias("alias")).distinct()
-    owners = alias.groupBy("alias").agg(F.count(F.lit(1)).alias("owners"))
+    owners = alias.groupBy("alias").agg(F.count(F.lit(1)).alias("owners"), F.count("doc_id").alias("known"))
     branded = policies.select("doc_id", F.explode("aliases").alias("alias"), "brands").select("doc_id", "alias", F.explode("brands").alias("brand")).select("doc_id", "alias", F.concat("brand", "alias").alias("name")).distinct()
     product = policies.select("doc_id", F.col("product").alias("name"))
     names = alias.select(F.col("alias").alias("name")).unionByName(branded.select("name")).unionByName(product.select("name"))
-    met = Scratch(questions.sparkSession, "policies").keep(occurrences(questions, names, "qid", "normal", "name").distinct(), "met")
-    by_brand = met.join(branded, "name").select("qid", "alias", "doc_id").distinct()
+    scratch = Scratch(questions.sparkSession, "policies")
+    met = scratch.keep(occurrences(questions, names, "qid", "normal", "name").distinct(), "met")
     bare = met.withColumnRenamed("name", "alias").join(owners, "alias")
     # an alias that one of its owners' brands stands before is not bare
-    bare = bare.join(by_brand.select("qid", "alias", F.lit(True).alias("claimed")).distinct(), ["qid", "alias"], "left")
-    bare = bare.filter((F.col("owners") == 1) | F.col("claimed").isNull()).join(alias, "alias")
+    claimed = met.join(branded.select("name", "alias").distinct(), "name").select("qid", "alias", F.lit(True).alias("claimed")).distinct()
+    bare = bare.join(claimed, ["qid", "alias"], "left").filter((F.col("owners") == 1) | F.col("claimed").isNull())
+    # names of more documents than are decided on meet none of them: their questions are left out first
+    wide = branded.select("name", "doc_id").unionByName(product.select("name", "doc_id")).groupBy("name").agg(F.countDistinct("doc_id").alias("n")).filter(F.col("n") > MOST_BY_POLICY)
+    over = met.join(wide, "name", "left_semi").select("qid").unionByName(bare.filter(F.col("known") > MOST_BY_POLICY).select("qid")).distinct()
+    over = scratch.keep(over, "over")
+    met, bare = (df.join(over, "qid", "left_anti") for df in (met, bare))
+    by_brand = met.join(branded, "name")
+    bare = bare.join(alias, "alias")
     found = by_brand.select("qid", "doc_id").unionByName(bare.select("qid", "doc_id")).unionByName(met.join(product, "name").select("qid", "doc_id")).distinct()
     out = _few(found.join(policies.select("doc_id", "pos"), "doc_id"), MOST_BY_POLICY)
     out = out.join(questions.select("qid", wants_several_documents(F.col("text")).alias("several")), "qid")

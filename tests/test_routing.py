@@ -84,3 +84,19 @@ def test_repeated_responses_pick_as_one(spark):
     said = spark.createDataFrame([(1, '["7", "2"]'), (1, '["7", "2"]'), (2, '["2"]')], "qid long, content string")
     cand = spark.createDataFrame([(q, u) for q in (1, 2) for u in ("a_2", "b_7", "c_7x")], "qid long, unit string")
     assert bag(replay.parsed_picks(said, cand)) == [(1, ["b_7", "a_2"]), (2, ["a_2"])]
+
+
+def test_common_names_meet_no_documents(spark, monkeypatch):
+    sizes = []
+    few = route._few
+    monkeypatch.setattr(route, "_few", lambda found, most: sizes.append(found.count()) or few(found, most))
+    # "sea" is of 30 companies, "side" of one with two years; two companies share the document x100
+    ids = [(f"x{i}", i, "d", f"k{i}", ["sea"], "2020") for i in range(30)] + [("y", 50, "d", "one", ["side"], "2021"), ("z", 51, "d", "one", ["side"], "2022"), *(("x100", 100, "d", f"s{i}", ["both"], None) for i in range(12))]
+    ids = spark.createDataFrame(ids, "doc_id string, pos int, domain string, company_key string, aliases array<string>, year string")
+    q = spark.createDataFrame([(1, "d", "2022", "sea side", 1), (2, "d", "2022", "side", 1), (3, "d", "", "both", 1), (4, "d", "", "sea", 1)], "qid long, domain string, text string, normal string, n_options int")
+    assert bag(route.by_company(q, ids, years=("d",))) == [(2, ["z"]), (3, ["x100"])]
+    policies = [(i, i, "tide" if i < 20 else None, ["wave"], ["north"] if i == 3 else ["south"]) for i in range(30)] + [(40, 40, "reef", ["sand"], ["north"])]
+    policies = spark.createDataFrame(policies, "doc_id long, pos long, product string, aliases array<string>, brands array<string>")
+    q = spark.createDataFrame([(1, "", "atide"), (2, "", "wave"), (3, "", "northwave"), (4, "", "southwave"), (5, "", "sandreef"), (6, "", "reeftide")], "qid long, text string, normal string")
+    assert bag(route.by_policy(q, policies)) == [(3, [3]), (5, [40])]
+    assert sizes == [13, 2]
