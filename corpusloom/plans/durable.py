@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.plans.catalogue import register
@@ -37,6 +37,10 @@ def resumed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("qid").alias("conv_id"), "answer", "n")
 
 
+#: Files that the logs of all conversations lie in.
+LOG_FILES = 32
+
+
 @register(
     """WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS line FROM conversations)
 SELECT conv_id, line::BIGINT AS line, problem FROM (SELECT conv_id, line, CASE WHEN line % 5 = 0 THEN 'blank' WHEN line % 7 = 0 THEN 'malformed' WHEN line % 6 = 0 THEN 'no object' WHEN line % 4 = 0 AND (line - 1) % 5 <> 0 AND (line - 1) % 6 <> 0 AND (line - 1) % 7 <> 0 THEN 'duplicate' END AS problem FROM r) WHERE problem IS NOT NULL"""
@@ -51,8 +55,16 @@ def log_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
         record = F.to_json(F.struct(key.alias("key"), x["role"].alias("role")))
         return F.when(n % 5 == 0, " ").when(n % 7 == 0, F.substring(record, 1, 9)).when(n % 6 == 0, F.to_json(F.array(x["role"]))).otherwise(record)
 
-    at = Scratch(spark, "logs").path("logs")
-    turns.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("log"), F.array_join(F.transform("t", line), "\n").alias("value")).write.partitionBy("log").text(at)
+    # logs lie one after another in a fixed number of files: files for each log would be more than their lines are worth
+    scratch = Scratch(spark, "logs")
+    before = Window.partitionBy("file_no").orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("file_no", F.pmod(F.xxhash64("conv_id"), F.lit(LOG_FILES)).cast("int")).withColumn("before", F.coalesce(F.sum(F.size("t")).over(before), F.lit(0)))
+    turns = scratch.keep(turns, "turns")
+    at = scratch.path("logs")
+    text = turns.select("file_no", "before", F.array_join(F.transform("t", line), "\n").alias("value")).repartition("file_no").sortWithinPartitions("file_no", "before")
+    text.select("file_no", "value").write.partitionBy("file_no").option("maxRecordsPerFile", 0).text(at)
     rows = logs.records(logs.numbered_lines(spark, at), "key string, role string")
     found = logs.log_problems(rows, ["key"])
-    return found.select(F.regexp_extract("file", "log=c(\\d+)", 1).cast("long").alias("conv_id"), "line", "problem")
+    found = found.select(F.regexp_extract("file", "file_no=(\\d+)", 1).cast("int").alias("file_no"), F.col("line").alias("in_file"), "problem")
+    places = turns.select("file_no", "conv_id", "before", F.explode(F.sequence(F.lit(1), F.size("t")).cast("array<bigint>")).alias("line")).withColumn("in_file", F.col("before") + F.col("line"))
+    return found.join(places, ["file_no", "in_file"]).select("conv_id", "line", "problem")

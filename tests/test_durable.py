@@ -2,11 +2,14 @@
 
 import json
 import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corpusloom import session
+from corpusloom.plans import durable
 from corpusloom.sources import artifacts, logs
 from corpusloom.streaming import answers
 
@@ -125,3 +128,12 @@ def test_answer_stream_asks_once(spark, tmp_path):
 def test_audited_calls_hold_no_credentials(spark):
     df = spark.createDataFrame([("sk-abcdefgh12 failed",), (None,)], "error string")
     assert [r.error for r in answers.audited(df).collect()] == ["[REDACTED] failed", None]
+
+
+def test_files_of_logs_do_not_grow_with_the_logs(spark, tmp_path):
+    turns = spark.range(1_500).selectExpr("id % 300 as conv_id", "id div 300 as turn", "'user' as role", "'x' as text")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    with session.note() as noted:
+        found = sorted(tuple(r) for r in durable.log_strict(spark, str(tmp_path)).collect())
+    assert found == sorted((c, *p) for c in range(300) for p in [(4, "duplicate"), (5, "blank")])
+    assert 0 < sum(len(list(Path(s.path("logs").removeprefix("file:")).rglob("*.txt"))) for s in noted) <= durable.LOG_FILES
