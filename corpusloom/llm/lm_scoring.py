@@ -1,10 +1,11 @@
 """Language-model scoring: stupid backoff over word bigrams.
 
-Two count tables cover all documents: of every word, and of every bigram that two documents share. Bigrams are dealt out by hash once:
+Two count tables cover all documents: of every word, and of every bigram that two documents share or, with ``own_pairs``, of every bigram. Bigrams are dealt out by hash once:
 the count table is summed from the exploded bigrams and joined back to them. Words with high counts have numbers that every
 task knows, a short cut that changes no count; any other word has a 63-bit hash for a number, and its count is joined from the word table.
-Bigrams that no other document has back off: else a document would know all of its
+Bigrams that no other document has back off, unless ``own_pairs`` is set: else a document would know all of its
 own. Pairs with a word that the whole corpus has once are of that kind, and need not travel; a bitmap of fixed size tells most of them.
+With ``own_pairs`` their count is 1, and they travel only if the count of their first word is not known in the task.
 """
 
 from __future__ import annotations
@@ -91,13 +92,14 @@ class _Known:
         return (w < 0) & ~there(self.repeated, w)
 
 
-def _explode(batches: Iterator[pa.RecordBatch], known: _Known, ids: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _explode(batches: Iterator[pa.RecordBatch], known: _Known, ids: pa.DataType, own_pairs: bool) -> Iterator[pa.RecordBatch]:
     """``pair, a, b, doc_id, own`` for the distinct bigrams of each row, and two rows for the row itself, with a negative ``pair``.
 
     ``pair`` is made of the numbers of the frequent words, 0 in the place of a hashed one; ``a`` and ``b`` are the hashed first and second
     word, 0 for a frequent one. ``own`` says how often the row has the bigram. The row's own two have the number of its words, with its first
     word, and its score so far: that of pairs with a word that occurs once, if it is the second or the second is frequent.
-    They can't be in another document, and back off to a count that is known here.
+    They can't be in another document, and back off to a count that is known here. With ``own_pairs`` they are found once among
+    the occurrences of their first word: if that occurs once too, or is frequent, the count is known here.
     """
     numbers, held = _Numbers(known.numbers), []
     size = serial = 0
@@ -117,8 +119,12 @@ def _explode(batches: Iterator[pa.RecordBatch], known: _Known, ids: pa.DataType)
             first, second = both // k, both % k
             hashed, single = kinds < 0, known.single(kinds)
             number, rare = np.where(hashed, 0, kinds), np.where(hashed, kinds, 0)
-            here = single[second] | single[first] & ~hashed[second]
-            local = (own[here] * (known.logs[number[second[here]]] + (math.log(BACKOFF) - known.log_total))).sum()
+            if own_pairs:
+                here = single[first] | single[second] & ~hashed[first]
+                local = -known.logs[number[first[here]]].sum()
+            else:
+                here = single[second] | single[first] & ~hashed[second]
+                local = (own[here] * (known.logs[number[second[here]]] + (math.log(BACKOFF) - known.log_total))).sum()
             first, second, own = first[~here], second[~here], own[~here]
             spread_over = serial % _SPREAD
             head = -1 - (number[at[0]] * _SPREAD + spread_over) if len(w) else -1 - spread_over
@@ -133,13 +139,15 @@ def _explode(batches: Iterator[pa.RecordBatch], known: _Known, ids: pa.DataType)
         yield batched()
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, own_pairs: bool = False) -> DataFrame:
     """``doc_id, n_words, log_score, mean_log_score``: natural logarithms of stupid-backoff scores, summed over the words.
 
     A word scores count(pair) / count(previous word) if another document has its pair with the previous word too, else
     BACKOFF * count(word) / words of the corpus; a first word scores count / words of the corpus. ASCII letters are lower-cased. A null
     or blank text has 0 words, log_score 0 and a null mean. Rows that share an id, null included, count as parts of one
     document and give one row (its parts' first words each as such); documents with a null id make no pair known to others.
+    With ``own_pairs`` every pair is counted and scores count(pair) / count(previous word), whichever documents have it, those with a null id
+    included: plain stupid backoff, which never backs off on the texts that it was counted on.
     An empty table gives an empty table. ``frequent`` only says how the counts are held. Any
     two of n hashed words have one number, and are counted as one word, with a probability of n * n / 2 ** 64: 1 in 18 for a billion words.
     """
@@ -164,13 +172,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
 
     kind = docs.schema[id_col].dataType.simpleString()
     ids = to_arrow_type(docs.schema[id_col].dataType)
-    exploded = rows.mapInArrow(lambda batches: _explode(batches, shared.value, ids), f"pair long, a long, b long, doc_id {kind}, own double")
+    exploded = rows.mapInArrow(lambda batches: _explode(batches, shared.value, ids, own_pairs), f"pair long, a long, b long, doc_id {kind}, own double")
     # both the count table and the join take this exchange; rows of documents' own find no count
     key = ["pair", "a", "b"]
     exploded = exploded.filter("pair is not null and a is not null and b is not null").repartition(*key)
-    pairs = exploded.groupBy(*key).agg(F.sum("own").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select(*key, "n")
-    # distinct bigrams spread evenly over the hash partitions, so no partition of the table is larger than the others
-    met = exploded.join(pairs.hint("shuffle_hash"), key, "left")
+    if own_pairs:
+        # a table of all bigrams is about as large as what meets it, so the join is left to Spark, which sorts and spills
+        pairs = exploded.filter("pair >= 0").groupBy(*key).agg(F.sum("own").alias("n"))
+    else:
+        pairs = exploded.groupBy(*key).agg(F.sum("own").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select(*key, "n")
+        # distinct bigrams spread evenly over the hash partitions, so no partition of the table is larger than the others
+        pairs = pairs.hint("shuffle_hash")
+    met = exploded.join(pairs, key, "left")
     local, document, seen, own = F.col("pair") <= _LOCAL, F.col("pair") < 0, F.col("n").isNotNull(), F.col("own")
     first = F.when(local, 0).when(document, F.floor((-1 - F.col("pair")) / _SPREAD)).otherwise(F.floor(F.col("pair") / _SECOND))
     met = met.withColumn("first", first).withColumn("second", F.when(document, 0).otherwise(F.col("pair") % _SECOND))

@@ -200,6 +200,34 @@ def test_scores_of_repeated_null_and_text_ids(spark):
     assert lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string").limit(0)).count() == 0
 
 
+def lm_plain(docs):
+    """Plain stupid backoff, every pair counted, whichever documents have it."""
+    rows = [(d, (t or "").encode().lower().split()) for d, t in docs]
+    one = collections.Counter(w for _, x in rows for w in x)
+    two = collections.Counter(p for _, x in rows for p in zip(x, x[1:]))
+    n = sum(one.values())
+    out = collections.defaultdict(lambda: (0, 0.0))
+    for d, x in rows:
+        s = math.log(one[x[0]] / n) if x else 0.0
+        s += sum(math.log(two[p] / one[p[0]]) for p in zip(x, x[1:]))
+        out[d] = out[d][0] + len(x), out[d][1] + s
+    return out
+
+
+def test_pairs_that_one_document_alone_has_are_counted(spark):
+    docs = [(1, "a b a b a c"), (2, "a d"), (2, "e a d once"), (3, "once2 a d twice x twice y"), (None, "p q p r"), (None, "p q"), (4, None)]
+    expect = lm_plain(docs)
+    assert expect[1][1] == pytest.approx(math.log(6 / 25) + 2 * math.log(2 / 6) + math.log(1 / 6)) and expect[None][0] == 6
+    for frequent in (1 << 18, 1, 0):
+        same_scores(lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string"), frequent=frequent, own_pairs=True), expect)
+
+
+@pytest.mark.parametrize("frequent", [1 << 18, 200, 0])
+def test_plain_scores_by_brute_force(spark, sf_dir, frequent):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + ODD
+    same_scores(lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string"), frequent=frequent, own_pairs=True), lm_plain(docs))
+
+
 def test_scores_sql(spark, sf_dir, duck):
     compare(QUERIES["op1_lm_scoring"](spark, sf_dir), duck, ORACLE["op1_lm_scoring"])
 
